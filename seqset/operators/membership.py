@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqset.operators.skew import ROWS_PER_TASK, collect_parts, names, skew_join
+from seqset.operators.skew import ROWS_PER_TASK, collect_parts, hot_keys, names, skew_join
+from seqset.session import saved
 
 
 def prefix_filter(df: DataFrame, column: str, prefix: str) -> DataFrame:
@@ -60,7 +61,7 @@ def _asked_lengths(requests: DataFrame, prefix: str, max_len: int) -> list[int]:
 def _join_prefixes(requests: DataFrame, words: DataFrame, on: list[str], rows: int) -> DataFrame:
     if requests.isStreaming:
         return requests.join(words, on)
-    return skew_join(words, requests, on, rows)
+    return skew_join(words, requests, on, hot_keys(words, on, rows), hot_keys(requests, on, rows))
 
 
 def prefix_join(
@@ -75,7 +76,7 @@ def prefix_join(
     """
     lengths = _asked_lengths(requests, prefix, max_len)
     asked = requests.withColumn("_key", _request_key(prefix, max_len))
-    words = _prefix_keys(vocabulary.select(word).distinct(), word, lengths)
+    words = _prefix_keys(saved(vocabulary.select(word).distinct()), word, lengths)
     joined = _join_prefixes(asked, words, ["_key"], rows)
     return joined.filter(F.col(word).startswith(F.coalesce(F.col(prefix), F.lit("")))).drop("_key")
 
@@ -125,7 +126,8 @@ def _complete(
 ) -> DataFrame:
     lengths = _asked_lengths(requests, "prefix", max_len)
     key = _request_key("prefix", max_len)
-    known = _prefix_keys(membership.select("container", "item").distinct(), "item", lengths)
+    # saved, so that the membership is made once and read per branch and per batch
+    known = _prefix_keys(saved(membership.select("container", "item").distinct()), "item", lengths)
     in_scope = (
         in_scope.filter(F.col("alias").isNull() | (F.col("alias") == F.col("_entry_alias")))
         .drop("_entry_alias")
@@ -168,25 +170,27 @@ def contains_all(
     request = names(request)
     held = membership.select(container, item).distinct()
     wanted = required.select(*request, item).distinct()
+    hot_held, hot_wanted = hot_keys(held, [item], rows), hot_keys(wanted, [item], rows)
     holders = held.groupBy(item).agg(F.count(F.lit(1)).alias("_holders"))
-    priced = skew_join(wanted, holders, [item], rows)
+    priced = skew_join(wanted, holders, item, hot_wanted)
     needs = wanted.groupBy(*request).agg(F.count(F.lit(1)).alias("_needed"))
     rarest = priced.groupBy(*request).agg(
         F.min_by(item, F.struct("_holders", item)).alias(item), F.count(F.lit(1)).alias("_known")
     )
     # an item that nobody holds leaves the request without an answer
-    open_requests = rarest.join(needs, request).filter(F.col("_known") == F.col("_needed"))
-    candidates = skew_join(held, open_requests.drop("_known"), [item], rows).withColumnRenamed(item, "_first")
-    alone = candidates.filter(F.col("_needed") == 1).select(*request, container)
-    checks = candidates.filter(F.col("_needed") > 1).join(wanted, request).filter(F.col(item) != F.col("_first"))
-    confirmed = (
+    answerable = rarest.join(needs, request).filter(F.col("_known") == F.col("_needed")).drop("_known")
+    candidates = skew_join(held, answerable, item, hot_held, hot_wanted).withColumnRenamed(item, "_first")
+    checks = skew_join(
+        candidates, wanted, request, hot_right=hot_keys(wanted, request, rows)
+    )
+    # (item, container) is a fine key; what skew is left there is split at run time
+    return (
         checks.join(held, [item, container], "left_semi")
         .groupBy(*request, container, "_needed")
         .agg(F.count(F.lit(1)).alias("_held"))
-        .filter(F.col("_held") == F.col("_needed") - 1)
+        .filter(F.col("_held") == F.col("_needed"))
         .select(*request, container)
     )
-    return alone.unionByName(confirmed)
 
 
 def last_wins(df: DataFrame, key: str | Sequence[str], order: str | Sequence[str]) -> DataFrame:

@@ -24,7 +24,7 @@ from seqset.operators.running import (
     ordered,
     running,
 )
-from seqset.operators.skew import ROWS_PER_TASK, names
+from seqset.operators.skew import ROWS_PER_TASK, hot_keys, names
 
 Names = str | Sequence[str]
 
@@ -159,6 +159,11 @@ def split_by_markers(
     return o.done().drop("_after", *counts)
 
 
+def _if_long(df: DataFrame, seq: list[str], rows: int | None) -> int | None:
+    """`rows` if any sequence is longer; else None, as then no part of one is."""
+    return rows if rows is not None and hot_keys(df, seq, rows) else None
+
+
 def _depth(o: Ordered, step: Column) -> Ordered:
     """Add `_depth` after each row; a closer at depth 0 leaves it at 0."""
     o = running(o, _sum=Running("sum", step))
@@ -178,6 +183,7 @@ def balanced_spans(
     """
     seq = names(seq)
     marks = df.filter(F.col(kind).isin(*pairs.keys(), *pairs.values()))
+    rows = _if_long(marks, seq, rows)
     if len(pairs) > 1:
         return _spans_of_kinds(marks, seq, pos, kind, pairs, rows)
     is_open = F.col(kind).isin(*pairs.keys())
@@ -268,6 +274,7 @@ def marked_spans(
     spans and itself, `parent` is the start of the innermost enclosing one.
     """
     seq = names(seq)
+    rows = _if_long(df, seq, rows)
     spans = balanced_spans(df, seq, pos, kind, {opener: closer}, rows).drop(kind)
     marked = (
         following(ordered(df.select(*seq, pos, kind), seq, pos, rows), "_inner", F.col(kind))

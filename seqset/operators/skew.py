@@ -33,16 +33,19 @@ def hot_keys(df: DataFrame, keys: Sequence[str], rows: int) -> dict[tuple, int]:
 def skew_join(
     left: DataFrame,
     right: DataFrame,
-    on: Sequence[str],
-    rows: int = ROWS_PER_TASK,
+    on: str | Sequence[str],
+    hot_left: dict[tuple, int] | None = None,
+    hot_right: dict[tuple, int] | None = None,
 ) -> DataFrame:
-    """Inner equi-join that splits hot keys of either side over several tasks.
+    """Inner equi-join that splits given hot keys of either side over several tasks.
 
     The rows of a hot key are dealt out by a hash of the whole row, and the
-    matching rows of the other side are repeated once per piece.
+    matching rows of the other side are repeated once per piece. Hot keys come from
+    `hot_keys`, best of a table that is read anyway and has at least as many rows
+    per key as the input.
     """
     on = names(on)
-    hot_left, hot_right = hot_keys(left, on, rows), hot_keys(right, on, rows)
+    hot_left, hot_right = hot_left or {}, hot_right or {}
     hot = {k for k in hot_left.keys() | hot_right.keys() if None not in k}
     if not hot:
         return left.join(right, on)

@@ -20,7 +20,7 @@ def prefix_filter(spark: SparkSession, d: str) -> DataFrame:
 def prefix_type_filter(spark: SparkSession, d: str) -> DataFrame:
     part = table(spark, d, "part").select("p_partkey", "p_brand", "p_name", "p_type")
     return M.prefix_type_filter(
-        part, "p_brand", ["Brand#1", "Brand#2", "Brand#3"], "p_name", "b", "p_type", ["ECONOMY", "SMALL"]
+        part, "p_brand", ["Brand#1", "Brand#2", "Brand#3", "Brand#4"], "p_name", "b", "p_type", ["ECONOMY", "SMALL", "STANDARD"]
     )
 
 
@@ -34,31 +34,27 @@ def source_words(spark: SparkSession, d: str) -> DataFrame:
 def suggestion_requests(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Requests for the first two letters of each benchmark item, with a scope.
 
-    Every third request names an alias. Every fifth has no scope at all; the others
-    see two sources under aliases, an unknown one, and one limited to two items.
+    Items that begin with T name an alias. Items that begin with R have no scope;
+    the others see two sources under aliases, an unknown one, and one limited to
+    two items.
     """
-    item = F.col("item_id")
+    begins = F.substring("text", 1, 1)
     benchmark = table(spark, d, "benchmark").select("item_id", "text")
     requests = benchmark.select(
-        item.alias("request_id"),
+        F.col("item_id").alias("request_id"),
         F.substring("text", 1, 2).alias("prefix"),
-        F.when(item % 3 == 0, F.lit("a")).alias("alias"),
+        F.when(begins == "T", F.lit("a")).alias("alias"),
     )
-    none = F.lit(None).cast("array<string>")
-
-    def entry(container, alias, items):
-        return F.struct(container.alias("container"), F.lit(alias).alias("alias"), items.alias("items"))
-
-    scope = benchmark.filter(item % 5 != 0).select(
-        item.alias("request_id"),
-        F.explode(
-            F.array(
-                entry(F.concat(F.lit("src"), item % 20), "a", none),
-                entry(F.concat(F.lit("src"), (item + 7) % 20), "b", none),
-                entry(F.lit("nowhere"), "a", none),
-                entry(F.concat(F.lit("src"), (item + 3) % 20), "c", F.array(F.lit("The"), F.lit("That"))),
-            )
-        ).alias("e"),
+
+    def entry(container: str, alias: str, items: list[str] | None = None) -> Column:
+        limited = F.array(*[F.lit(i) for i in items]) if items else F.lit(None).cast("array<string>")
+        return F.struct(F.lit(container).alias("container"), F.lit(alias).alias("alias"), limited.alias("items"))
+
+    entries = F.array(
+        entry("src7", "a"), entry("src1", "b"), entry("nowhere", "a"), entry("src14", "c", ["The", "Of"])
+    )
+    scope = benchmark.filter(begins != "R").select(
+        F.col("item_id").alias("request_id"), F.explode(entries).alias("e")
     )
     return requests, scope.select("request_id", "e.*")
 
@@ -73,12 +69,11 @@ WITH words AS (
     SELECT DISTINCT source AS container, unnest(regexp_extract_all(text, '[a-zA-Z]+')) AS item FROM documents
 ), requests AS (
     SELECT item_id AS request_id, substr(text, 1, 2) AS prefix,
-           CASE WHEN item_id % 3 = 0 THEN 'a' END AS alias FROM benchmark
+           CASE WHEN text LIKE 'T%' THEN 'a' END AS alias FROM benchmark
+), entries(container, alias, items) AS (
+    VALUES ('src7', 'a', NULL), ('src1', 'b', NULL), ('nowhere', 'a', NULL), ('src14', 'c', ['The', 'Of'])
 ), scope AS (
-    SELECT item_id AS request_id, 'src' || (item_id % 20) AS container, 'a' AS alias, NULL AS items FROM benchmark WHERE item_id % 5 <> 0
-    UNION ALL SELECT item_id, 'src' || ((item_id + 7) % 20), 'b', NULL FROM benchmark WHERE item_id % 5 <> 0
-    UNION ALL SELECT item_id, 'nowhere', 'a', NULL FROM benchmark WHERE item_id % 5 <> 0
-    UNION ALL SELECT item_id, 'src' || ((item_id + 3) % 20), 'c', ['The', 'That'] FROM benchmark WHERE item_id % 5 <> 0
+    SELECT item_id AS request_id, container, alias, items FROM benchmark, entries WHERE text NOT LIKE 'R%'
 ), found AS (
     SELECT r.request_id, r.alias, w.container, w.item
     FROM requests r JOIN scope s ON s.request_id = r.request_id AND (r.alias IS NULL OR r.alias = s.alias)
@@ -306,8 +301,8 @@ QUERIES = {
     ),
     "prefix_type_filter": Query(
         prefix_type_filter,
-        "SELECT p_partkey, p_brand, p_name, p_type FROM part WHERE p_brand IN ('Brand#1','Brand#2','Brand#3') "
-        "AND p_name LIKE 'b%' AND p_type IN ('ECONOMY','SMALL')",
+        "SELECT p_partkey, p_brand, p_name, p_type FROM part WHERE p_brand IN ('Brand#1','Brand#2','Brand#3','Brand#4') "
+        "AND p_name LIKE 'b%' AND p_type IN ('ECONOMY','SMALL','STANDARD')",
     ),
     "scoped_candidates": Query(scoped_candidates, CANDIDATE_SQL),
     "prefix_join": Query(prefix_join, PREFIX_JOIN_SQL),

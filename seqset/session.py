@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: int = 8, name: str = "seqset") -> SparkSession:
@@ -38,3 +38,14 @@ def work_dir(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = os.path.join(tempfile.gettempdir(), "seqset")
     return f"{base.rstrip('/')}/run-{uuid.uuid4().hex}"
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """The rows written to the work folder and read back.
+
+    For a result that several later jobs read: it is computed once, and its lineage
+    ends at files that survive the loss of executors.
+    """
+    path = f"{work_dir(df.sparkSession)}/rows"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -6,12 +6,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # a line with its line break, or what follows the last break
 _PIECE = r"[^\r\n]*(?:\r\n|\r|\n)|[^\r\n]+"
 
 
-@F.pandas_udf("array<bigint>")
+@F.pandas_udf(T.ArrayType(T.LongType()))
 def starts_of(lengths: pd.Series) -> pd.Series:
     """1-based start of each piece from the lengths of the pieces of a text."""
     return lengths.map(lambda n: np.cumsum(np.asarray(n, dtype="int64")) - n + 1)

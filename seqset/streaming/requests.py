@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-REQUEST = T.StructType.fromDDL("token bigint, verb string, args array<string>, damaged string")
+REQUEST = "token bigint, verb string, args array<string>, damaged string"
 
 Answerer = Callable[[DataFrame], DataFrame]
 
