@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seqset.operators.running import Running, ordered, running
 from seqset.operators.skew import ROWS_PER_TASK, collect_parts, hot_keys, names, skew_join
 from seqset.session import saved
 
@@ -164,33 +165,45 @@ def contains_all(
 ) -> DataFrame:
     """Containers that hold every item a request requires (relational division).
 
-    Candidates come from the request's rarest item; each is then looked up with
-    the other items, so frequent items are never expanded.
+    The holders of the request's rarest item are the candidates. They are looked up
+    with its second rarest item, and the few that are left with all the others, so
+    frequent items are never expanded.
     """
     request = names(request)
     held = membership.select(container, item).distinct()
     wanted = required.select(*request, item).distinct()
     hot_held, hot_wanted = hot_keys(held, [item], rows), hot_keys(wanted, [item], rows)
+    hot_requests = hot_keys(wanted, request, rows)
+
     holders = held.groupBy(item).agg(F.count(F.lit(1)).alias("_holders"))
-    priced = skew_join(wanted, holders, item, hot_wanted)
     needs = wanted.groupBy(*request).agg(F.count(F.lit(1)).alias("_needed"))
-    rarest = priced.groupBy(*request).agg(
-        F.min_by(item, F.struct("_holders", item)).alias(item), F.count(F.lit(1)).alias("_known")
-    )
-    # an item that nobody holds leaves the request without an answer
-    answerable = rarest.join(needs, request).filter(F.col("_known") == F.col("_needed")).drop("_known")
-    candidates = skew_join(held, answerable, item, hot_held, hot_wanted).withColumnRenamed(item, "_first")
-    checks = skew_join(
-        candidates, wanted, request, hot_right=hot_keys(wanted, request, rows)
-    )
+    # an item that nobody holds is lost here, and its request gets no answer
+    priced = skew_join(wanted, holders, item, hot_wanted)
+    ranked = running(
+        ordered(priced, request, ["_holders", item], rows if hot_requests else None),
+        _place=Running("sum", F.lit(1)),
+    ).done().drop("_holders")
+
+    first = ranked.filter(F.col("_place") == 1).drop("_place").join(needs, request)
+    by_first = skew_join(held, first, item, hot_held, hot_wanted).drop(item)
     # (item, container) is a fine key; what skew is left there is split at run time
-    return (
-        checks.join(held, [item, container], "left_semi")
+    second = ranked.filter(F.col("_place") == 2).drop("_place")
+    by_second = (
+        by_first.filter(F.col("_needed") > 1).join(second, request)
+        .join(held, [item, container], "left_semi")
+        .drop(item)
+    )
+    others = ranked.filter(F.col("_place") > 2).drop("_place")
+    by_all = (
+        skew_join(by_second.filter(F.col("_needed") > 2), others, request, hot_right=hot_requests)
+        .join(held, [item, container], "left_semi")
         .groupBy(*request, container, "_needed")
         .agg(F.count(F.lit(1)).alias("_held"))
-        .filter(F.col("_held") == F.col("_needed"))
-        .select(*request, container)
+        .filter(F.col("_held") == F.col("_needed") - 2)
     )
+    parts = (by_first.filter(F.col("_needed") == 1), by_second.filter(F.col("_needed") == 2), by_all)
+    one, two, more = (part.select(*request, container) for part in parts)
+    return one.unionByName(two).unionByName(more)
 
 
 def last_wins(df: DataFrame, key: str | Sequence[str], order: str | Sequence[str]) -> DataFrame:

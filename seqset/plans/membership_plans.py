@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from seqset.functions.render import render_from, render_request
 from seqset.operators import covers as C
 from seqset.operators import membership as M
-from seqset.plans.base import Query, table
+from seqset.plans.base import Query, spread, table
 
 WORD = r"[a-zA-Z]+"
 
@@ -26,7 +26,7 @@ def prefix_type_filter(spark: SparkSession, d: str) -> DataFrame:
 
 def source_words(spark: SparkSession, d: str) -> DataFrame:
     """Membership of words in document sources."""
-    documents = table(spark, d, "documents").select("source", "text")
+    documents = spread(table(spark, d, "documents").select("source", "text"))
     words = F.array_distinct(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)))
     return documents.select(F.col("source").alias("container"), F.explode(words).alias("item"))
 
@@ -90,7 +90,7 @@ SELECT request_id, container, item, CASE WHEN alias IS NULL THEN item ELSE alias
 
 def prefix_join(spark: SparkSession, d: str) -> DataFrame:
     words = F.explode(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("word")
-    vocabulary = table(spark, d, "documents").select(words)
+    vocabulary = spread(table(spark, d, "documents").select("text")).select(words)
     prefixes = table(spark, d, "benchmark").select(words).select(F.substring("word", 1, 5).alias("prefix")).distinct()
     return M.prefix_join(prefixes, vocabulary, "prefix", "word", max_len=4)
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqset.operators import sequences as S
-from seqset.plans.base import Query, table
+from seqset.plans.base import Query, spread, table
 
 SEQ, ORDER = "user_id", ["ts", "event_id"]
 TAG = "</?[a-z][a-z0-9]*"
@@ -91,7 +91,8 @@ def take_until(spark: SparkSession, d: str) -> DataFrame:
 
 def _tags(spark: SparkSession, d: str) -> DataFrame:
     found = F.regexp_extract_all("html", F.lit(TAG), F.lit(0))
-    return table(spark, d, "pages").select("page_id", F.posexplode(found).alias("pos", "tag"))
+    pages = spread(table(spark, d, "pages").select("page_id", "html"))
+    return pages.select("page_id", F.posexplode(found).alias("pos", "tag"))
 
 
 def balanced_spans(spark: SparkSession, d: str) -> DataFrame:
@@ -122,7 +123,7 @@ BEFORE = W + " ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
 RECORDS = f"""
 s AS (SELECT *, sum(CASE event_type WHEN 'signup' THEN 1 WHEN 'error' THEN -1 ELSE 0 END) {SO_FAR} AS cum FROM events),
 l AS (SELECT *, cum - least(0, min(cum) {SO_FAR}) AS depth FROM s),
-r AS (SELECT *, 1 + coalesce(sum(CASE WHEN event_type = 'purchase' AND depth = 0 THEN 1 ELSE 0 END) {BEFORE}, 0) AS record FROM l)
+r AS (SELECT *, (1 + coalesce(sum(CASE WHEN event_type = 'purchase' AND depth = 0 THEN 1 ELSE 0 END) {BEFORE}, 0))::BIGINT AS record FROM l)
 """
 
 TAGS = f"""

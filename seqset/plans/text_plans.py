@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqset.functions import tagline, text as X
-from seqset.plans.base import Query, table
+from seqset.plans.base import Query, spread, table
 from seqset.session import work_dir
 from seqset.sources import catalog, lines, paths, tags
 
@@ -16,7 +16,7 @@ CLASSES = {"the": "ARTICLE", "la": "ARTICLE", "le": "ARTICLE", "der": "ARTICLE",
 
 
 def _documents(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", "text")
+    return spread(table(spark, d, "documents").select("doc_id", "text"))
 
 
 def ordered_symbols(spark: SparkSession, d: str) -> DataFrame:
@@ -124,7 +124,7 @@ PAGE_DECLARATIONS = (
 
 def _pages(spark: SparkSession, d: str) -> DataFrame:
     """Pages broken into lines between neighbouring tags, named by number and address."""
-    return table(spark, d, "pages").select(
+    return spread(table(spark, d, "pages").select("page_id", "url", "html")).select(
         F.concat("page_id", F.lit(" "), "url").alias("path"),
         F.replace("html", F.lit("><"), F.lit(">\n<")).alias("text"),
     )
@@ -172,8 +172,10 @@ def locate_from(spark: SparkSession, d: str) -> DataFrame:
 
 def _order_dumps(spark: SparkSession, d: str) -> DataFrame:
     """One dump file per order: comments, settings, two tables and a payload."""
-    orders = table(spark, d, "orders").select(
-        "o_orderkey", "o_orderstatus", "o_orderpriority", F.dayofmonth("o_orderdate").cast("string").alias("day")
+    orders = spread(
+        table(spark, d, "orders").select(
+            "o_orderkey", "o_orderstatus", "o_orderpriority", F.dayofmonth("o_orderdate").cast("string").alias("day")
+        )
     )
     key = F.col("o_orderkey").cast("string")
     text = F.concat(
@@ -238,7 +240,7 @@ o AS (SELECT *, last_value(CASE WHEN owns THEN name END IGNORE NULLS)
 tags AS (
     SELECT path, n_chars, kind, CASE WHEN owns THEN '' ELSE last_owner END AS scope, CASE WHEN NOT owns THEN last_owner END AS owner, name,
            CASE WHEN owns THEN '\' || name ELSE last_owner || ':' || name END AS full_name,
-           substr(text, 1, instr(text, name) + length(name) - 1) AS prefix, line, start + place - 1 AS "offset"
+           substr(text, 1, instr(text, name) + length(name) - 1) AS prefix, line, (start + place - 1)::BIGINT AS "offset"
     FROM o WHERE owns OR last_owner IS NOT NULL)
 """
 
@@ -253,7 +255,7 @@ QUERIES = {
     ),
     "read_lines": Query(
         read_lines,
-        r"""SELECT doc_id, line, 1 + sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY line) - length(piece) AS "offset",
+        r"""SELECT doc_id, line, (1 + sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY line) - length(piece))::BIGINT AS "offset",
         rtrim(piece, chr(13) || chr(10)) AS text
         FROM (SELECT doc_id, unnest(m) AS piece, unnest(range(1, len(m) + 1)) AS line
               FROM (SELECT doc_id, regexp_extract_all(text, '[^\r\n]*(?:\r\n|\r|\n)|[^\r\n]+') AS m FROM documents))""",

@@ -170,7 +170,7 @@ def locate_from(
     word = F.regexp_extract(name, r"\$?([a-z0-9A-Z_]+)", 1)
     at = F.when(word != "", F.call_function("locate", word, F.col(text), F.col(start).cast("int")))
     upto = F.substring(F.col(text), F.lit(1), at + F.length(word) - 1)
-    found = F.when(at > 0, F.regexp_extract(upto, r"[^\r\n]*\z", 0))
+    found = F.when(at > 0, F.substring_index(F.translate(upto, "\r", "\n"), "\n", -1))
     return df.select(key, name, found.alias("found"))
 
 
