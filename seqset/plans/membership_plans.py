@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from seqset.functions.render import render_from, render_request
 from seqset.operators import covers as C
 from seqset.operators import membership as M
+from seqset.operators import termination as T
 from seqset.plans.base import Query, spread, table
 
 WORD = r"[a-zA-Z]+"
@@ -213,6 +214,38 @@ FROM answers"""
 )
 
 
+def terminate_requests(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as requests for their parts; finished ones already name a source."""
+    orders = table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
+    status, priority = F.col("o_orderstatus"), F.col("o_orderpriority")
+    none = F.lit(None).cast("string")
+    sections = orders.select(
+        F.col("o_orderkey").alias("l_orderkey"),
+        F.concat(F.lit("SELECT order"), "o_orderkey").alias("select"),
+        F.when(status == "F", "FROM stock").alias("from"),
+        F.when(priority != "5-LOW", F.concat(F.lit("WHERE p = "), priority)).alias("where"),
+        F.when(priority == "2-HIGH", "GROUP BY p").alias("group_by"),
+        none.alias("having"),
+        F.when(status == "O", "ORDER BY p").alias("order_by"),
+    )
+    lines = table(spark, d, "lineitem").select(
+        "l_orderkey", "l_partkey", F.when(F.col("l_returnflag") == "R", "returned").alias("qualifier")
+    )
+    return T.terminate_requests(
+        sections, lines, largest_lots(spark, d), "l_orderkey", "qualifier", "l_partkey", "l_suppkey"
+    )
+
+
+TERMINATE_TAIL = """
+SELECT l_orderkey, size, row_number() OVER (PARTITION BY l_orderkey ORDER BY size DESC, cover) AS rank,
+       concat_ws(' ', 'SELECT order' || l_orderkey, 'FROM ' || array_to_string(cover, ' , '),
+                 CASE WHEN o_orderpriority <> '5-LOW' THEN 'WHERE p = ' || o_orderpriority END,
+                 CASE WHEN o_orderstatus = 'O' THEN 'ORDER BY p' END, ';') AS text
+FROM answers JOIN orders ON o_orderkey = l_orderkey
+WHERE o_orderstatus <> 'F' AND o_orderpriority <> '2-HIGH'
+"""
+
+
 def group_by_qualifier(spark: SparkSession, d: str) -> DataFrame:
     flag = F.col("l_returnflag")
     lines = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", F.when(flag != "N", flag).alias("flag"))
@@ -315,6 +348,9 @@ QUERIES = {
     "covers": Query(covers, COVERS_SQL),
     "rank_by_size": Query(rank_by_size, RANK_SQL),
     "pinned_covers": Query(pinned_covers, PINNED_SQL),
+    "terminate_requests": Query(
+        terminate_requests, PINNED_SQL[: PINNED_SQL.rindex("SELECT l_orderkey, size, row_number()")] + TERMINATE_TAIL
+    ),
     "group_by_qualifier": Query(
         group_by_qualifier,
         "SELECT l_orderkey, CASE WHEN l_returnflag = 'N' THEN 'all' ELSE l_returnflag END AS qualifier, 0 AS part, "

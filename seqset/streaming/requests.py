@@ -109,21 +109,30 @@ def serve(
 
 def stream_correlate(
     requests: DataFrame, responses: DataFrame, key: str, asked: str, answered: str,
-    within: str, late: str = "1 hour", how: str = "inner",
+    within: str, late: str = "1 hour", how: str = "inner", salts: int = 4,
 ) -> DataFrame:
     """Match two streams: same key, answered within the time limit.
 
     Times must be timestamps. Watermarks on both sides bound the state that is
-    kept. All answers in the limit are matched; the first is taken downstream.
+    kept. An inner match deals the responses of a key out over `salts` tasks, each
+    of which sees all its requests. All answers in the limit are matched; the first
+    is taken downstream.
     """
-    answers = responses.withColumnRenamed(key, "_key").withWatermark(answered, late)
-    limit = F.expr(f"INTERVAL {within}")
+    salts = salts if how == "inner" else 1
+    answers = (
+        responses.withColumn("_salt", F.pmod(F.xxhash64(*responses.columns), F.lit(salts)))
+        .withColumnRenamed(key, "_key")
+        .withWatermark(answered, late)
+    )
+    every = F.explode(F.array(*[F.lit(i).cast("bigint") for i in range(salts)]))
+    asking = requests.withColumn("_place", every).withWatermark(asked, late)
     on = (
         (F.col(key) == F.col("_key"))
+        & (F.col("_place") == F.col("_salt"))
         & (F.col(answered) >= F.col(asked))
-        & (F.col(answered) <= F.col(asked) + limit)
+        & (F.col(answered) <= F.col(asked) + F.expr(f"INTERVAL {within}"))
     )
-    return requests.withWatermark(asked, late).join(answers, on, how).drop("_key")
+    return asking.join(answers, on, how).drop("_key", "_salt", "_place")
 
 
 def refresh_static(
