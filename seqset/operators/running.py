@@ -91,26 +91,26 @@ def ordered(
         keys = [*seq, CHUNK]
         long = (
             frame.groupBy(*keys)
-            .agg(F.count(F.lit(1)).alias("_n"), F.min(number).alias("_lo"), F.max(number).alias("_hi"))
+            .agg(F.count(F.lit(1)).alias("_n"), F.min(number).alias("_cut_low"), F.max(number).alias("_cut_high"))
             .filter(F.col("_n") > rows)
             .collect()
         )
         if not long:
             break
         cut = [
-            (*r[:-3], r["_lo"], -(-(r["_hi"] - r["_lo"] + 1) // min(-(-r["_n"] // rows), _FAN - 2)))
+            (*r[:-3], r["_cut_low"], -(-(r["_cut_high"] - r["_cut_low"] + 1) // min(-(-r["_n"] // rows), _FAN - 2)))
             for r in long
-            if r["_hi"] is not None and r["_hi"] > r["_lo"]
+            if r["_cut_high"] is not None and r["_cut_high"] > r["_cut_low"]
         ]
         if not cut:
             continue
-        schema = frame.select(*keys).schema.add("_lo", "bigint").add("_step", "bigint")
+        schema = frame.select(*keys).schema.add("_cut_low", "long").add("_cut_step", "long")
         ranges = F.broadcast(df.sparkSession.createDataFrame(cut, schema))
-        place = F.call_function("div", F.coalesce(number, F.col("_lo")) - F.col("_lo"), F.col("_step"))
+        place = F.call_function("div", F.coalesce(number, F.col("_cut_low")) - F.col("_cut_low"), F.col("_cut_step"))
         frame = (
             null_safe_left(frame, ranges, keys)
             .withColumn(CHUNK, F.col(CHUNK) * _FAN + F.coalesce(place + 1, F.lit(0)))
-            .drop("_lo", "_step")
+            .drop("_cut_low", "_cut_step")
         )
         split = True
     return Ordered(frame, seq, order, split)

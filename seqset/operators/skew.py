@@ -49,7 +49,7 @@ def skew_join(
     hot = {k for k in hot_left.keys() | hot_right.keys() if None not in k}
     if not hot:
         return left.join(right, on)
-    schema = left.select(*on).schema.add("_nl", "int").add("_nr", "int")
+    schema = left.select(*on).schema.add("_nl", "integer").add("_nr", "integer")
     pieces = F.broadcast(
         left.sparkSession.createDataFrame(
             [(*k, hot_left.get(k, 1), hot_right.get(k, 1)) for k in hot], schema
@@ -101,7 +101,7 @@ def collect_parts(
     part: Column = F.lit(0).cast("bigint")
     if totals:
         large = [(*r[:-1], -(-r["_total"] // part_size)) for r in totals]
-        schema = counted.select(*keys).schema.add("_parts", "bigint")
+        schema = counted.select(*keys).schema.add("_parts", "long")
         pieces = F.broadcast(df.sparkSession.createDataFrame(large, schema))
         counted = null_safe_left(counted, pieces, keys)
         # a value repeated more often than a part may hold goes to several parts
