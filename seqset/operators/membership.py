@@ -172,8 +172,9 @@ def contains_all(
     request = names(request)
     held = membership.select(container, item).distinct()
     wanted = required.select(*request, item).distinct()
-    hot_held, hot_wanted = hot_keys(held, [item], rows), hot_keys(wanted, [item], rows)
-    hot_requests = hot_keys(wanted, request, rows)
+    # counted before repeats are removed, which is cheaper and never too low
+    hot_held, hot_wanted = hot_keys(membership, [item], rows), hot_keys(required, [item], rows)
+    hot_requests = hot_keys(required, request, rows)
 
     holders = held.groupBy(item).agg(F.count(F.lit(1)).alias("_holders"))
     needs = wanted.groupBy(*request).agg(F.count(F.lit(1)).alias("_needed"))
