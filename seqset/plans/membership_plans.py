@@ -169,7 +169,7 @@ held AS (
     SELECT g.l_orderkey, g.n, w.k, list_sort(list_distinct(list_append(g.cover, h.l_suppkey)))
     FROM grown g JOIN wanted w ON w.l_orderkey = g.l_orderkey AND w.k = g.k + 1 JOIN held h ON h.l_partkey = w.l_partkey
 ), covers AS (
-    SELECT DISTINCT l_orderkey, cover, len(cover) AS size FROM grown WHERE k = n
+    SELECT DISTINCT l_orderkey, cover, len(cover)::INT AS size FROM grown WHERE k = n
 )"""
 
 COVERS_SQL = (
@@ -206,7 +206,7 @@ pins AS (
     SELECT DISTINCT c.l_orderkey, c.cover, c.size FROM covers c JOIN pins p
       ON p.l_orderkey = c.l_orderkey AND list_contains(c.cover, p.l_suppkey)
     UNION ALL
-    SELECT l_orderkey, [l_suppkey], 1 FROM pins WHERE l_orderkey NOT IN (SELECT l_orderkey FROM wanted)
+    SELECT l_orderkey, [l_suppkey], 1::INT FROM pins WHERE l_orderkey NOT IN (SELECT l_orderkey FROM wanted)
 )
 SELECT l_orderkey, size, row_number() OVER (PARTITION BY l_orderkey ORDER BY size DESC, cover) AS rank,
        'SELECT l_partkey FROM ' || array_to_string(cover, ' , ') || ' ;' AS request
@@ -341,7 +341,7 @@ QUERIES = {
     "prefix_join": Query(prefix_join, PREFIX_JOIN_SQL),
     "invert": Query(
         invert,
-        "SELECT l_partkey, 0 AS part, array_to_string(list_sort(list(DISTINCT l_suppkey)), ',') AS containers "
+        "SELECT l_partkey, 0::BIGINT AS part, array_to_string(list_sort(list(DISTINCT l_suppkey)), ',') AS containers "
         "FROM lineitem GROUP BY 1",
     ),
     "contains_all": Query(contains_all, CONTAINS_ALL_SQL),
@@ -353,7 +353,7 @@ QUERIES = {
     ),
     "group_by_qualifier": Query(
         group_by_qualifier,
-        "SELECT l_orderkey, CASE WHEN l_returnflag = 'N' THEN 'all' ELSE l_returnflag END AS qualifier, 0 AS part, "
+        "SELECT l_orderkey, CASE WHEN l_returnflag = 'N' THEN 'all' ELSE l_returnflag END AS qualifier, 0::BIGINT AS part, "
         "array_to_string(list_sort(list(l_partkey)), ',') AS names FROM lineitem GROUP BY 1, 2",
     ),
     "distinct_rows": Query(distinct_rows, "SELECT DISTINCT p_brand, p_type FROM part"),

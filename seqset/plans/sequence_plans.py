@@ -92,7 +92,8 @@ def take_until(spark: SparkSession, d: str) -> DataFrame:
 def _tags(spark: SparkSession, d: str) -> DataFrame:
     found = F.regexp_extract_all("html", F.lit(TAG), F.lit(0))
     pages = spread(table(spark, d, "pages").select("page_id", "html"))
-    return pages.select("page_id", F.posexplode(found).alias("pos", "tag"))
+    tags = pages.select("page_id", F.posexplode(found).alias("pos", "tag"))
+    return tags.withColumn("pos", F.col("pos").cast("bigint"))
 
 
 def balanced_spans(spark: SparkSession, d: str) -> DataFrame:

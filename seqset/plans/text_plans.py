@@ -208,7 +208,7 @@ def catalog_round_trip(spark: SparkSession, d: str) -> DataFrame:
 
 DDL_SQL = """
 WITH o AS (SELECT 'order' || o_orderkey || '.sql' AS source, 'order' || o_orderkey AS t, o_orderstatus AS s,
-                  o_orderpriority AS p, day(o_orderdate) AS d FROM orders)
+                  o_orderpriority AS p, day(o_orderdate)::INT AS d FROM orders)
 SELECT source, t AS table_name, 'id' AS column_name, 1 AS ordinal, 'int' AS type, 'integer' AS raw_type, NULL::INT AS size,
        NULL::INT AS scale, FALSE AS nullable, 'nothing' AS default_kind, NULL::VARCHAR AS default_text FROM o
 UNION ALL SELECT source, t, 's_' || s, 2, 'character', 'character(' || d || ')', d, NULL, FALSE, 'typed_string', '''' || p || '''::text' FROM o
@@ -220,7 +220,7 @@ UNION ALL SELECT source, 'lines', 'note', 4, 'varchar', 'varchar(9)', 9, NULL, T
 """
 
 SYMBOLS = r"""
-SELECT doc_id, symbol, row_number() OVER (PARTITION BY doc_id ORDER BY min(pos)) AS rank
+SELECT doc_id, symbol, row_number() OVER (PARTITION BY doc_id ORDER BY min(pos))::INT AS rank
 FROM (SELECT doc_id, unnest(m) AS symbol, unnest(range(len(m))) AS pos
       FROM (SELECT doc_id, regexp_extract_all(text, '[a-zA-Z_0-9#%*+$^/-]+') AS m FROM documents))
 {where} GROUP BY doc_id, symbol
@@ -228,8 +228,8 @@ FROM (SELECT doc_id, unnest(m) AS symbol, unnest(range(len(m))) AS pos
 
 PAGE_LINES = r"""
 l AS (SELECT *, 1 + sum(length(text) + 1) OVER (PARTITION BY path ORDER BY line) - (length(text) + 1) AS start FROM (
-      SELECT page_id || ' ' || url AS path, unnest(s) AS text, unnest(range(1, len(s) + 1)) AS line,
-             length(replace(html, chr(10), '')) AS n_chars
+      SELECT page_id || ' ' || url AS path, unnest(s) AS text, unnest(range(1, len(s) + 1))::INT AS line,
+             length(replace(html, chr(10), ''))::INT AS n_chars
       FROM (SELECT *, string_split(replace(html, '><', '>' || chr(10) || '<'), chr(10)) AS s FROM pages))),
 k AS (SELECT * FROM (VALUES (1, 'list', 'ul', TRUE), (2, 'article', 'article', TRUE), (3, 'item', 'li', FALSE), (4, 'paragraph', 'p', FALSE)) v(d, kind, name, owns)),
 hits AS (SELECT DISTINCT l.path, l.n_chars, l.line, l.start, l.text, k.d, k.kind, k.name, k.owns,
@@ -255,13 +255,13 @@ QUERIES = {
     ),
     "read_lines": Query(
         read_lines,
-        r"""SELECT doc_id, line, (1 + sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY line) - length(piece))::BIGINT AS "offset",
+        r"""SELECT doc_id, line::INT AS line, (1 + sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY line) - length(piece))::BIGINT AS "offset",
         rtrim(piece, chr(13) || chr(10)) AS text
         FROM (SELECT doc_id, unnest(m) AS piece, unnest(range(1, len(m) + 1)) AS line
               FROM (SELECT doc_id, regexp_extract_all(text, '[^\r\n]*(?:\r\n|\r|\n)|[^\r\n]+') AS m FROM documents))""",
     ),
     "section_size": Query(
-        section_size, "SELECT doc_id, length(replace(replace(text, chr(13), ''), chr(10), '')) AS n_chars FROM documents"
+        section_size, "SELECT doc_id, length(replace(replace(text, chr(13), ''), chr(10), ''))::INT AS n_chars FROM documents"
     ),
     "read_until": Query(
         read_until,
@@ -312,7 +312,7 @@ QUERIES = {
         regexp_extract(bare || ':' || full_name, '[^:]+:(.+)', 1) AS candidate_text FROM b""",
     ),
     "tag_index": Query(
-        tag_index, f"WITH {PAGE_LINES} SELECT path, n_chars, full_name AS name, prefix, line FROM tags"
+        tag_index, f"WITH {PAGE_LINES} SELECT path, n_chars::BIGINT AS n_chars, full_name AS name, prefix, line FROM tags"
     ),
     "locate_from": Query(
         locate_from,
