@@ -136,8 +136,12 @@ def split_by_markers(
     `markers` maps section names to one or two element kinds. Only the first
     occurrence of a marker opens its section; later ones are content. Rows before
     the first marker belong to the section `head` = (name, kind) if the sequence
-    begins with that kind, else to none.
+    begins with that kind, else to none. The second kind of a marker cannot begin
+    another marker.
     """
+    firsts = {kinds[0] for kinds in markers.values()}
+    if any(len(kinds) > 2 or firsts & set(kinds[1:]) for kinds in markers.values()):
+        raise ValueError("markers are one or two kinds, and a second kind begins no marker")
     o = following(ordered(df, seq, order, rows), "_after", F.col(kind))
     hits = {}
     for section, kinds in markers.items():

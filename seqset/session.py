@@ -9,12 +9,14 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def local_session(cpus: int = 8, name: str = "seqset") -> SparkSession:
-    """A local session for tests and benchmarks."""
+def local_session(
+    cpus: int = 8, name: str = "seqset", partitions: int | None = None
+) -> SparkSession:
+    """A local session for tests and benchmarks, with a shuffle partition per core."""
     spark = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(name)
-        .config("spark.sql.shuffle.partitions", str(cpus))
+        .config("spark.sql.shuffle.partitions", str(partitions or cpus))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")

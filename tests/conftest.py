@@ -11,6 +11,6 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 def spark():
     from seqset.session import local_session
 
-    session = local_session(4, "seqset-tests")
+    session = local_session(4, "seqset-tests", partitions=2)
     yield session
     session.stop()
