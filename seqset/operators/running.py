@@ -19,7 +19,8 @@ from pyspark.sql import types as T
 from seqset.operators.skew import ROWS_PER_TASK, names, null_safe_left
 
 CHUNK = "_chunk"
-_FAN = 1 << 20
+# chunk numbers hold four rounds of cutting, 15 bits each
+_FAN, _ROUNDS = 1 << 15, 4
 
 
 @dataclass(frozen=True)
@@ -58,7 +59,8 @@ def _numbers(column: Column, kind: T.DataType) -> list[Column]:
         return [F.unix_date(column).cast("bigint")]
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
         day = F.unix_date(column.cast("date")).cast("bigint")
-        return [day * 86400 + F.hour(column) * 3600 + F.minute(column) * 60 + F.second(column)]
+        second = day * 86400 + F.hour(column) * 3600 + F.minute(column) * 60 + F.second(column)
+        return [second, F.date_format(column, "SSSSSS").cast("bigint")]
     if isinstance(kind, T.StringType):
         padded = F.rpad(F.hex(column.cast("binary")), 28, "0")
         return [F.conv(F.substring(padded, at, 14), 16, 10).cast("bigint") for at in (1, 15)]
@@ -79,28 +81,38 @@ def ordered(
     short, because each was made from one text cell.
 
     Equal steps of the first order column cut first; chunks that are still too
-    long are cut again inside their own range, then by the next order column.
+    long are cut again inside their own range. A chunk is cut by a later order column
+    only if the earlier ones are the same in all its rows.
     Only counts and ranges of long groups reach the driver, at most
     `count(df) / rows` of them.
     """
     seq, order = names(seq), names(order)
     frame, split = df.withColumn(CHUNK, F.lit(0).cast("bigint")), False
-    per_column = [_numbers(F.col(c), df.schema[c].dataType) for c in order]
-    cuts = [n for numbers in per_column for n in numbers]
-    for number in [] if rows is None else (cuts[:1] + cuts)[:3]:
+    cuts: list[tuple[Column, list[Column]]] = []
+    for i, c in enumerate(order):
+        numbers = _numbers(F.col(c), df.schema[c].dataType)
+        cuts += [(n, [F.col(x) for x in order[:i]] + numbers[:k]) for k, n in enumerate(numbers)]
+    for number, same in [] if rows is None else (cuts[:1] + cuts)[:_ROUNDS]:
         keys = [*seq, CHUNK]
+        constant = F.lit(True)
+        for c in same:
+            # all null, or one value and no null
+            constant = constant & F.min(c).eqNullSafe(F.max(c)) & F.count(c).isin(F.lit(0), F.count(F.lit(1)))
         long = (
             frame.groupBy(*keys)
-            .agg(F.count(F.lit(1)).alias("_n"), F.min(number).alias("_cut_low"), F.max(number).alias("_cut_high"))
+            .agg(
+                F.count(F.lit(1)).alias("_n"), constant.alias("_same"),
+                F.min(number).alias("_cut_low"), F.max(number).alias("_cut_high"),
+            )
             .filter(F.col("_n") > rows)
             .collect()
         )
         if not long:
             break
         cut = [
-            (*r[:-3], r["_cut_low"], -(-(r["_cut_high"] - r["_cut_low"] + 1) // min(-(-r["_n"] // rows), _FAN - 2)))
+            (*r[:-4], r["_cut_low"], -(-(r["_cut_high"] - r["_cut_low"] + 1) // min(-(-r["_n"] // rows), _FAN - 2)))
             for r in long
-            if r["_cut_high"] is not None and r["_cut_high"] > r["_cut_low"]
+            if r["_same"] and r["_cut_high"] is not None and r["_cut_high"] > r["_cut_low"]
         ]
         if not cut:
             continue

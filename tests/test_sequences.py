@@ -59,6 +59,20 @@ def test_cutting_uses_the_second_order_column(spark):
     assert [r["n"] for r in got] == list(range(1, 54))
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_cutting_keeps_the_order_of_several_columns(spark, seed):
+    rng = random.Random(seed)
+    at = [rng.choice([0, 1, 1, 1, 2, 500]) for _ in range(60)]
+    rows = [("s", t, rng.randrange(2), i) for i, t in enumerate(at)]
+    df = spark.createDataFrame(rows, "seq string, t long, side int, id long")
+    df = df.withColumn("ts", F.timestamp_micros(F.col("t") * 1000).cast("timestamp_ntz"))
+    for order, wanted in ((["t", "side", "id"], lambda r: (r[1], r[2], r[3])), (["ts", "id"], lambda r: (r[1], r[3]))):
+        o = ordered(df, "seq", order, 4)
+        assert o.split
+        got = running(o, n=Running("sum", F.lit(1))).done().collect()
+        assert {r["id"]: r["n"] for r in got} == {r[3]: i + 1 for i, r in enumerate(sorted(rows, key=wanted))}
+
+
 def test_cutting_by_text_and_time(spark):
     rows = [("s", f"{i:05d}" * 3, i) for i in range(40)]
     df = spark.createDataFrame(rows, "seq string, name string, n long")
