@@ -12,8 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 def local_session(
     cpus: int = 8, name: str = "seqset", partitions: int | None = None
 ) -> SparkSession:
-    """A local session for tests and benchmarks, with a shuffle partition per core."""
-    spark = (
+    """A local session for tests and benchmarks, with a shuffle partition per core.
+
+    Its work folder is a temporary one, unless Spark's defaults name another.
+    """
+    builder = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(name)
         .config("spark.sql.shuffle.partitions", str(partitions or cpus))
@@ -23,22 +26,19 @@ def local_session(
         .config("spark.driver.memory", "16g")
         .config("spark.driver.bindAddress", "127.0.0.1")
         .config("spark.driver.host", "127.0.0.1")
-        .getOrCreate()
     )
+    spark = builder.getOrCreate()
+    if not spark.conf.get("spark.checkpoint.dir", None):
+        spark.conf.set("spark.checkpoint.dir", os.path.join(tempfile.gettempdir(), "seqset"))
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
 
 def work_dir(spark: SparkSession) -> str:
-    """A new folder below the shared folder that `spark.checkpoint.dir` names.
-
-    Only a local session may go without that setting; it gets a temporary folder.
-    """
+    """A new folder below the shared folder that `spark.checkpoint.dir` names."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = os.path.join(tempfile.gettempdir(), "seqset")
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"{base.rstrip('/')}/run-{uuid.uuid4().hex}"
 
 
