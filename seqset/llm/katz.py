@@ -206,7 +206,7 @@ def _word_answers(buckets: int):
         number[np.argsort(-totals, kind="stable")] = np.arange(len(words)) * buckets + int(group["bucket"].iloc[0])
         cuts = np.cumsum([len(p) for p in parts])[:-1]
         rows = [
-            {"bucket": bucket, "chunk": chunk, "totals": _packed(totals[w].astype("<u8")), "numbers": _packed(number[w].astype("<u8"))}
+            {"bucket": bucket, "chunk": chunk, "totals": _packed(totals[w].astype("<u8")), "numbers": _packed(number[w].astype("<u8")), "stats": None}
             for bucket, chunk, w in zip(group["bucket"], group["chunk"], np.split(which, cuts))
         ]
         rows[0]["stats"] = [int(totals.sum()), int((totals > 0).sum()), *_of_counts(totals)]
@@ -304,6 +304,7 @@ def _pair_answers(unigrams: Unigrams):
                 "totals": _packed(totals[w].astype("<u8")),
                 "few": _packed(np.concatenate([f[h] for f in few])),
                 "mass": _packed(mass[h].astype("<f8")),
+                "stats": None,
             }
             for bucket, chunk, w, h in zip(group["bucket"], group["chunk"], np.split(which, pair_cuts), np.split(head, head_cuts))
         ]
