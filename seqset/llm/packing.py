@@ -26,7 +26,7 @@ from seqset.session import saved
 
 WINDOW = 4096
 END_ID = 2
-#: Words and word parts whose ids a worker remembers.
+#: Words and word parts whose ids a worker remembers, about; half of each are the older ones.
 CACHED_WORDS, CACHED_PARTS = 250_000, 500_000
 
 # The word pattern of the tokenizer file word_bpe_49k.json
@@ -34,16 +34,20 @@ PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 class _Cache(dict):
-    """A dict that computes what it lacks and starts anew when full."""
+    """A dict that computes what it lacks. Full, it becomes the older half, and what is used again comes back from there."""
 
     def __init__(self, compute, size: int):
         super().__init__()
-        self.compute, self.size = compute, size
+        self.compute, self.size, self.older = compute, size, {}
 
     def __missing__(self, key):
+        value = self.older.get(key)
+        if value is None:
+            value = self.compute(key)
         if len(self) >= self.size:
+            self.older = dict(self)
             self.clear()
-        self[key] = value = self.compute(key)
+        self[key] = value
         return value
 
 
@@ -55,7 +59,7 @@ class WordTokenizer:
     tokenizer. Ids are bytes, four for each, little-endian.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cached: tuple[int, int] = (CACHED_WORDS, CACHED_PARTS)):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -67,12 +71,13 @@ class WordTokenizer:
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in shown]
         self.letters = {b: chr(256 + k) for k, b in enumerate(hidden)}
-        self.parts = _Cache(self._part, CACHED_PARTS)
-        self.words = _Cache(self._word, CACHED_WORDS)
+        self.written = [k.to_bytes(4, "little") for k in range(self.whole.get_vocab_size())]
+        self.parts = _Cache(self._part, cached[1] // 2)
+        self.words = _Cache(self._word, cached[0] // 2)
 
     def _part(self, part: str) -> bytes:
         shown = part.encode().decode("latin-1").translate(self.letters)
-        return np.array([t.id for t in self.model.tokenize(shown)], dtype="<u4").tobytes()
+        return b"".join([self.written[t.id] for t in self.model.tokenize(shown)])
 
     def _word(self, word: bytes) -> bytes:
         text = word.decode()
@@ -85,17 +90,24 @@ class WordTokenizer:
         return b"".join(map(self.words.__getitem__, text.encode().split())) if text else b""
 
 
-_TOKENIZERS: dict[str, WordTokenizer] = {}
+_TOKENIZERS: dict[tuple, WordTokenizer] = {}
 
 
-def tokenizer(path: str) -> WordTokenizer:
+def tokenizer(path: str, cached: tuple[int, int] = (CACHED_WORDS, CACHED_PARTS)) -> WordTokenizer:
     """The tokenizer of a file, loaded once per worker."""
-    if path not in _TOKENIZERS:
-        _TOKENIZERS[path] = WordTokenizer(path)
-    return _TOKENIZERS[path]
+    if (path, cached) not in _TOKENIZERS:
+        _TOKENIZERS[path, cached] = WordTokenizer(path, cached)
+    return _TOKENIZERS[path, cached]
 
 
-def token_pieces(docs: DataFrame, path: str, id_column: str, text_column: str, window: int = WINDOW) -> DataFrame:
+def token_pieces(
+    docs: DataFrame,
+    path: str,
+    id_column: str,
+    text_column: str,
+    window: int = WINDOW,
+    cached: tuple[int, int] = (CACHED_WORDS, CACHED_PARTS),
+) -> DataFrame:
     """The pieces of every document: (id, start, length, doc_tokens, ids, part, place).
 
     A document is its ids and one end id. Full windows are cut off it; the rest is one more piece.
@@ -104,7 +116,7 @@ def token_pieces(docs: DataFrame, path: str, id_column: str, text_column: str, w
     end = np.array([END_ID], dtype="<u4").tobytes()
 
     def cut(batches):
-        tokens, part, places = tokenizer(path), TaskContext.get().partitionId(), {}
+        tokens, part, places = tokenizer(path, cached), TaskContext.get().partitionId(), {}
         for batch in batches:
             ids, whole = batch["id"], batch["text"]
             out = {k: [] for k in ("row", "start", "length", "doc_tokens", "ids", "place")}
@@ -241,16 +253,17 @@ def pack(
     text_column: str = "text",
     window: int = WINDOW,
     payload: dict | None = None,
+    cached: tuple[int, int] = (CACHED_WORDS, CACHED_PARTS),
 ) -> DataFrame:
     """Every piece of every document and its place: (id, start, length, doc_tokens, …, sequence_id, offset).
 
     `payload` names columns made from `ids`, the piece's token ids as little-endian 32-bit bytes; by
-    default `ids` itself is kept. A null or empty text is its end id alone. A null id is kept as it is.
+    default `ids` itself is kept. `cached` bounds the words and word parts that a worker remembers. A null or empty text is its end id alone. A null id is kept as it is.
     Repeated rows are packed as often as they come. A document longer than a window, however long, is
     cut into full windows and a rest. Pieces of equal length rank by partition and place there, and a
     piece written once keeps its rank. Only the two named columns are read. No rows give no rows.
     """
-    made = token_pieces(docs, path, id_column, text_column, window)
+    made = token_pieces(docs, path, id_column, text_column, window, cached)
     extra = payload or {"ids": F.col("ids")}
     pieces = saved(made.select("id", "start", "length", "doc_tokens", "part", "place", *[c.alias(n) for n, c in extra.items()]))
     per_part = pieces.groupBy("part", "length").agg(F.count("*").alias("pieces"))
