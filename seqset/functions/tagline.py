@@ -29,12 +29,12 @@ def format_header(path: Column, chars: Column) -> Column:
 
 
 def parse_tag(line: Column) -> dict[str, Column]:
-    """Prefix, name (null if left out) and line number; null if it is no tag line."""
-    pattern = "^([^\u007f]+)\u007f(?:([^\u0001]+)\u0001)?([0-9]+)"
+    """Prefix and name (null if left out) and line number; null if it is no tag line."""
+    pattern = "^([^\u007f]*)\u007f(?:([^\u0001]+)\u0001)?([0-9]+)"
     is_tag = F.rlike(line, F.lit(pattern))
     name = F.regexp_extract(line, pattern, 2)
     return {
-        "prefix": F.when(is_tag, F.regexp_extract(line, pattern, 1)),
+        "prefix": F.when(is_tag, F.nullif(F.regexp_extract(line, pattern, 1), F.lit(""))),
         "name": F.when(is_tag & (name != ""), name),
         "line": F.when(is_tag, F.regexp_extract(line, pattern, 3)).cast("int"),
     }

@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seqset.operators.lists import PART_SIZE, collect_parts
 from seqset.operators.running import Running, ordered, running
-from seqset.operators.skew import ROWS_PER_TASK, collect_parts, hot_keys, names, skew_join
+from seqset.operators.skew import ROWS_PER_TASK, hot_keys, names, skew_join
 from seqset.session import saved
 
 
@@ -145,18 +146,19 @@ def _complete(
 
 
 def invert(
-    membership: DataFrame, container: str, item: str, part_size: int = 100_000
+    membership: DataFrame, container: str, item: str, part_size: int = PART_SIZE
 ) -> DataFrame:
     """Item to sorted set of containers, in parts of bounded size."""
     return collect_parts(membership, [item], container, "containers", True, part_size)
 
 
 def group_by_qualifier(
-    df: DataFrame, request: str, qualifier: str, name: str, part_size: int = 100_000
+    df: DataFrame, request: str, qualifier: str, name: str, part_size: int = PART_SIZE
 ) -> DataFrame:
     """Names per qualifier of a request, repeats kept; `all` stands for none."""
-    rows = df.select(request, F.coalesce(F.col(qualifier), F.lit("all")).alias("qualifier"), name)
-    return collect_parts(rows, [request, "qualifier"], name, "names", False, part_size)
+    rows = df.select(request, F.col(qualifier).alias("qualifier"), name)
+    listed = collect_parts(rows, [request, "qualifier"], name, "names", False, part_size)
+    return listed.withColumn("qualifier", F.coalesce("qualifier", F.lit("all")))
 
 
 def contains_all(

@@ -74,50 +74,6 @@ def skew_join(
     return joined.drop("_l", "_r")
 
 
-def collect_parts(
-    df: DataFrame,
-    keys: Sequence[str],
-    value: str,
-    name: str,
-    distinct: bool = True,
-    part_size: int = 100_000,
-) -> DataFrame:
-    """Sorted list of values per key, cut into parts of about `part_size` values.
-
-    Rows are (keys…, part, values). Keys with few values have one part, numbered
-    0; a key with many has several rows, whose lists together are its values.
-    Repeats, kept unless `distinct`, are counted before anything is shuffled.
-    """
-    keys = names(keys)
-    counted = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
-    if distinct:
-        counted = counted.withColumn("_n", F.lit(1).cast("bigint"))
-    totals = (
-        counted.groupBy(*keys)
-        .agg(F.sum("_n").alias("_total"))
-        .filter(F.col("_total") > part_size)
-        .collect()  # at most rows / part_size keys
-    )
-    part: Column = F.lit(0).cast("bigint")
-    if totals:
-        large = [(*r[:-1], -(-r["_total"] // part_size)) for r in totals]
-        schema = counted.select(*keys).schema.add("_parts", "long")
-        pieces = F.broadcast(df.sparkSession.createDataFrame(large, schema))
-        counted = null_safe_left(counted, pieces, keys)
-        # a value repeated more often than a part may hold goes to several parts
-        runs = F.floor((F.col("_n") - 1) / part_size).cast("bigint")
-        counted = counted.withColumn("_run", F.explode(F.sequence(F.lit(0).cast("bigint"), runs)))
-        counted = counted.withColumn("_n", F.least(F.lit(part_size), F.col("_n") - F.col("_run") * part_size))
-        part = F.pmod(F.xxhash64(value) + F.col("_run"), F.coalesce("_parts", F.lit(1)))
-    repeated = F.flatten(F.collect_list(F.array_repeat(value, F.col("_n").cast("int"))))
-    listed = F.collect_list(value) if distinct else repeated
-    return (
-        counted.withColumn("part", part)
-        .groupBy(*keys, "part")
-        .agg(F.sort_array(listed).alias(name))
-    )
-
-
 def null_safe_left(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Left join on keys where null equals null; keeps the left key columns."""
     renamed = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})

@@ -22,11 +22,9 @@ def distinct_and_all(spark: SparkSession, d: str) -> DataFrame:
 
 def comma_list(spark: SparkSession, d: str) -> DataFrame:
     """Tables listed with alias and column list; the condition makes it an equi-join."""
-    table(spark, d, "region").createOrReplaceTempView("region")
-    table(spark, d, "nation").createOrReplaceTempView("nation")
-    return spark.sql(
-        "SELECT r.label, n.n_name FROM region AS r (id, label), nation n WHERE r.id = n.n_regionkey"
-    )
+    regions = table(spark, d, "region").toDF("id", "label").alias("r")
+    nations = table(spark, d, "nation").alias("n")
+    return regions.join(nations, F.col("r.id") == F.col("n.n_regionkey")).select("r.label", "n.n_name")
 
 
 def _orders(spark: SparkSession, d: str) -> DataFrame:

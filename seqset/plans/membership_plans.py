@@ -105,13 +105,32 @@ SELECT prefix, word FROM prefixes JOIN vocabulary
 """
 
 
-def invert(spark: SparkSession, d: str) -> DataFrame:
+def invert(spark: SparkSession, d: str, **parts: int) -> DataFrame:
     shipped = table(spark, d, "lineitem").select("l_suppkey", "l_partkey")
-    return M.invert(shipped, "l_suppkey", "l_partkey").select(
+    return M.invert(shipped, "l_suppkey", "l_partkey", **parts).select(
         "l_partkey", "part", F.array_join(F.col("containers").cast("array<string>"), ",").alias("containers")
     )
 
 
+def invert_small_parts(spark: SparkSession, d: str) -> DataFrame:
+    return invert(spark, d, part_size=5)
+
+
+INVERT_SQL = """
+WITH held AS (SELECT l_partkey, l_suppkey, row_number() OVER (PARTITION BY l_partkey ORDER BY l_suppkey) AS n
+              FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem))
+SELECT l_partkey, (n - 1) // {size} AS part, string_agg(l_suppkey, ',' ORDER BY l_suppkey) AS containers
+FROM held GROUP BY 1, 2
+"""
+GROUP_SQL = """
+WITH numbered AS (SELECT l_orderkey, l_returnflag, l_partkey,
+                         row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY l_partkey) AS n FROM lineitem)
+SELECT l_orderkey, CASE WHEN l_returnflag = 'N' THEN 'all' ELSE l_returnflag END AS qualifier, (n - 1) // 100000 AS part,
+       string_agg(l_partkey, ',' ORDER BY l_partkey) AS names
+FROM numbered GROUP BY 1, 2, 3
+"""
+
+
 def contains_all(spark: SparkSession, d: str) -> DataFrame:
     lines = table(spark, d, "lineitem")
     return M.contains_all(
@@ -130,26 +149,33 @@ GROUP BY l_orderkey, l_suppkey, n HAVING count(*) = n
 """
 
 
-def largest_lots(spark: SparkSession, d: str) -> DataFrame:
-    """Membership of parts in the suppliers that shipped them in their largest lot."""
-    lines = table(spark, d, "lineitem").select("l_partkey", "l_suppkey", "l_quantity")
-    most = lines.groupBy("l_partkey").agg(F.max("l_quantity").alias("l_quantity"))
-    return lines.join(most, ["l_partkey", "l_quantity"], "left_semi").select("l_suppkey", "l_partkey")
+def regional_stock(spark: SparkSession, d: str) -> DataFrame:
+    """Membership of parts in the regions whose suppliers have shipped them."""
+    lines = table(spark, d, "lineitem").select("l_partkey", "l_suppkey")
+    suppliers = table(spark, d, "supplier").select("s_suppkey", "s_nationkey")
+    nations = table(spark, d, "nation").select("n_nationkey", "n_regionkey")
+    of_region = suppliers.join(nations, F.col("s_nationkey") == F.col("n_nationkey"))
+    return lines.join(of_region, F.col("l_suppkey") == F.col("s_suppkey")).select("n_regionkey", "l_partkey")
 
 
 def _joined(name: str) -> Column:
     return F.array_join(F.col(name).cast("array<string>"), ",").alias(name)
 
 
-def _covers(spark: SparkSession, d: str) -> DataFrame:
+def _covers(spark: SparkSession, d: str, **limits: int) -> DataFrame:
     wanted = table(spark, d, "lineitem").select("l_orderkey", "l_partkey")
-    return C.covers(wanted, largest_lots(spark, d), "l_orderkey", "l_partkey", "l_suppkey")
+    return C.covers(wanted, regional_stock(spark, d), "l_orderkey", "l_partkey", "n_regionkey", **limits)
 
 
 def covers(spark: SparkSession, d: str) -> DataFrame:
     return _covers(spark, d).select("l_orderkey", _joined("cover"), "size")
 
 
+def covers_grown(spark: SparkSession, d: str) -> DataFrame:
+    """The same covers, every request grown item by item as distributed rows."""
+    return _covers(spark, d, local_limit=1).select("l_orderkey", _joined("cover"), "size")
+
+
 def rank_by_size(spark: SparkSession, d: str) -> DataFrame:
     ranked = C.rank_by_size(_covers(spark, d), "l_orderkey", "cover")
     return ranked.select("l_orderkey", _joined("cover"), "rank")
@@ -157,16 +183,15 @@ def rank_by_size(spark: SparkSession, d: str) -> DataFrame:
 
 COVERS_CTE = """
 held AS (
-    SELECT DISTINCT l_suppkey, l_partkey FROM lineitem
-    JOIN (SELECT l_partkey, max(l_quantity) AS q FROM lineitem GROUP BY 1) m USING (l_partkey) WHERE l_quantity = q
+    SELECT DISTINCT n_regionkey, l_partkey FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey
 ), wanted AS (
     SELECT l_orderkey, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey) AS k,
            count(*) OVER (PARTITION BY l_orderkey) AS n
     FROM (SELECT DISTINCT l_orderkey, l_partkey FROM {items})
 ), grown AS (
-    SELECT DISTINCT l_orderkey, n, 0::BIGINT AS k, []::BIGINT[] AS cover FROM wanted
+    SELECT DISTINCT l_orderkey, n, 0::BIGINT AS k, []::INTEGER[] AS cover FROM wanted
     UNION
-    SELECT g.l_orderkey, g.n, w.k, list_sort(list_distinct(list_append(g.cover, h.l_suppkey)))
+    SELECT g.l_orderkey, g.n, w.k, list_sort(list_distinct(list_append(g.cover, h.n_regionkey)))
     FROM grown g JOIN wanted w ON w.l_orderkey = g.l_orderkey AND w.k = g.k + 1 JOIN held h ON h.l_partkey = w.l_partkey
 ), covers AS (
     SELECT DISTINCT l_orderkey, cover, len(cover)::INT AS size FROM grown WHERE k = n
@@ -187,7 +212,7 @@ def pinned_covers(spark: SparkSession, d: str) -> DataFrame:
     lines = table(spark, d, "lineitem").select(
         "l_orderkey", "l_partkey", F.when(F.col("l_returnflag") == "R", "returned").alias("qualifier")
     )
-    found = C.pinned_covers(lines, largest_lots(spark, d), "l_orderkey", "qualifier", "l_partkey", "l_suppkey")
+    found = C.pinned_covers(lines, regional_stock(spark, d), "l_orderkey", "qualifier", "l_partkey", "n_regionkey")
     text = render_request({"select": F.lit("SELECT l_partkey"), "from": render_from(F.col("cover"))})
     return found.select("l_orderkey", "size", "rank", text.alias("request"))
 
@@ -198,15 +223,15 @@ PINNED_SQL = (
     + """, pinned AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem WHERE l_returnflag = 'R'),
 needed AS (SELECT l_orderkey, count(*) AS n FROM pinned GROUP BY 1),
 pins AS (
-    SELECT l_orderkey, l_suppkey FROM pinned JOIN held USING (l_partkey) JOIN needed USING (l_orderkey)
-    GROUP BY l_orderkey, l_suppkey, n HAVING count(*) = n
+    SELECT l_orderkey, n_regionkey FROM pinned JOIN held USING (l_partkey) JOIN needed USING (l_orderkey)
+    GROUP BY l_orderkey, n_regionkey, n HAVING count(*) = n
 ), answers AS (
     SELECT l_orderkey, cover, size FROM covers WHERE l_orderkey NOT IN (SELECT l_orderkey FROM pinned)
     UNION ALL
     SELECT DISTINCT c.l_orderkey, c.cover, c.size FROM covers c JOIN pins p
-      ON p.l_orderkey = c.l_orderkey AND list_contains(c.cover, p.l_suppkey)
+      ON p.l_orderkey = c.l_orderkey AND list_contains(c.cover, p.n_regionkey)
     UNION ALL
-    SELECT l_orderkey, [l_suppkey], 1::INT FROM pins WHERE l_orderkey NOT IN (SELECT l_orderkey FROM wanted)
+    SELECT l_orderkey, [n_regionkey], 1::INT FROM pins WHERE l_orderkey NOT IN (SELECT l_orderkey FROM wanted)
 )
 SELECT l_orderkey, size, row_number() OVER (PARTITION BY l_orderkey ORDER BY size DESC, cover) AS rank,
        'SELECT l_partkey FROM ' || array_to_string(cover, ' , ') || ' ;' AS request
@@ -232,7 +257,7 @@ def terminate_requests(spark: SparkSession, d: str) -> DataFrame:
         "l_orderkey", "l_partkey", F.when(F.col("l_returnflag") == "R", "returned").alias("qualifier")
     )
     return T.terminate_requests(
-        sections, lines, largest_lots(spark, d), "l_orderkey", "qualifier", "l_partkey", "l_suppkey"
+        sections, lines, regional_stock(spark, d), "l_orderkey", "qualifier", "l_partkey", "n_regionkey"
     )
 
 
@@ -339,23 +364,17 @@ QUERIES = {
     ),
     "scoped_candidates": Query(scoped_candidates, CANDIDATE_SQL),
     "prefix_join": Query(prefix_join, PREFIX_JOIN_SQL),
-    "invert": Query(
-        invert,
-        "SELECT l_partkey, 0::BIGINT AS part, array_to_string(list_sort(list(DISTINCT l_suppkey)), ',') AS containers "
-        "FROM lineitem GROUP BY 1",
-    ),
+    "invert": Query(invert, INVERT_SQL.format(size=100_000)),
+    "invert_small_parts": Query(invert_small_parts, INVERT_SQL.format(size=5)),
     "contains_all": Query(contains_all, CONTAINS_ALL_SQL),
     "covers": Query(covers, COVERS_SQL),
+    "covers_grown": Query(covers_grown, COVERS_SQL),
     "rank_by_size": Query(rank_by_size, RANK_SQL),
     "pinned_covers": Query(pinned_covers, PINNED_SQL),
     "terminate_requests": Query(
         terminate_requests, PINNED_SQL[: PINNED_SQL.rindex("SELECT l_orderkey, size, row_number()")] + TERMINATE_TAIL
     ),
-    "group_by_qualifier": Query(
-        group_by_qualifier,
-        "SELECT l_orderkey, CASE WHEN l_returnflag = 'N' THEN 'all' ELSE l_returnflag END AS qualifier, 0::BIGINT AS part, "
-        "array_to_string(list_sort(list(l_partkey)), ',') AS names FROM lineitem GROUP BY 1, 2",
-    ),
+    "group_by_qualifier": Query(group_by_qualifier, GROUP_SQL),
     "distinct_rows": Query(distinct_rows, "SELECT DISTINCT p_brand, p_type FROM part"),
     "distinct_sets": Query(
         distinct_sets,

@@ -108,12 +108,6 @@ def select_paths(spark: SparkSession, d: str) -> DataFrame:
     return paths.select_paths(pages, "url", r"\.example\.com", r"\?page=", extra)
 
 
-def list_files(spark: SparkSession, d: str) -> DataFrame:
-    """The table files themselves, as a recursive file listing."""
-    found = paths.list_files(spark, d, ".parquet", exclude="embeddings")
-    return found.select(F.regexp_extract("path", "[^/]+$", 0).alias("file"), F.col("length").alias("bytes"))
-
-
 PAGE_DECLARATIONS = (
     tags.Declaration("list", r"<(ul)\b", "owner"),
     tags.Declaration("article", r"<(article)\b", "owner"),
@@ -298,7 +292,6 @@ QUERIES = {
         r"""SELECT url FROM (SELECT url FROM pages WHERE regexp_matches(url, '\.example\.com')
         UNION ALL SELECT url FROM pages WHERE url LIKE '%#top') WHERE NOT regexp_matches(url, '\?page=')""",
     ),
-    "list_files": Query(list_files),
     "declarations": Query(declarations, f"WITH {PAGE_LINES} SELECT * FROM tags"),
     "format_tag": Query(
         format_tag,

@@ -212,7 +212,7 @@ def read_tag_index(spark: SparkSession, path: str) -> DataFrame:
     sections = spark.read.option("lineSep", SECTION).text(path)
     each = sections.filter(F.length("value") > 0).select(F.split("value", "\n").alias("_lines"))
     header = F.get(F.col("_lines"), 0)
-    pattern = r"^([^,]+),([0-9]+)$"
+    pattern = r"^(.+),([0-9]+)$"
     tagged = (
         each.filter(F.rlike(header, F.lit(pattern)) & ~F.contains(header, F.lit(AFTER_PREFIX)))
         .select(

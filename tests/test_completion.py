@@ -6,7 +6,12 @@ import pytest
 
 from seqset.operators import completion as C
 
-SCHEMA = {"driver": ["id", "name", "rank", "year"], "truck": ["id", "type", "seat"], "depot": ["id", "name", "address", "workforce"]}
+SCHEMA = {
+    "orbit": ["body", "period", "tilt"],
+    "moon": ["body", "mass", "period", "radius", "seen"],
+    "comet": ["period", "tail"],
+    "probe": ["body", "launch", "mass"],
+}
 SIGNS = {".": "DOT", ",": "COMMA", "(": "OPAREN", ")": "CPAREN", "=": "EQUAL", ";": "SEMICOLON"}
 WORDS = "SELECT FROM WHERE JOIN AS ON ORDER BY LEFT".split()
 
@@ -26,38 +31,39 @@ def run(spark, cases):
     return tokens, C.cursor_requests(tokens, cursors, "s")
 
 
+# the cursor is at the bar
 CASES = [
-    ("SELECT d.n FROM driver AS d", 11, ("SELECT", "n", "d"), ["d.name"]),
-    ("SELECT d.n FROM driver AS d", 10, ("SELECT", None, "d"), ["d.id", "d.name", "d.rank", "d.year"]),
-    ("SELECT dp.a FROM driver AS dr, depot AS dp", 12, ("SELECT", "a", "dp"), ["dp.address"]),
-    ("SELECT n FROM driver, depot dp WHERE x = 2", 9, ("SELECT", "n", None), ["name", "name"]),
-    ("SELECT n FROM dri", 18, ("FROM", "dri", None), ["driver"]),
-    ("SELECT n FROM ", 15, ("FROM", None, None), ["depot", "driver", "truck"]),
-    ("SELECT id FROM truck LEFT JOIN de", 34, ("FROM", "de", None), ["depot"]),
-    ("SELECT id FROM truck t JOIN depot p ON t.id = p.id WHERE p.w", 61, ("WHERE", "w", "p"), ["p.workforce"]),
-    ("SELECT s FROM truck t (id, seat) ORDER BY id", 9, ("SELECT", "s", None), ["seat"]),
-    ("SELECT n", 9, ("SELECT", "n", None), ["name", "name"]),
-    ("nothing", 8, (None, "nothing", None), []),
-    ("SELECT id", 3, (None, None, None), []),
+    ("FROM orbit o WHERE o.t|", ("WHERE", "t", "o"), ["o.tilt"]),
+    ("SELECT c.| FROM comet AS c", ("SELECT", None, "c"), ["c.period", "c.tail"]),
+    ("SELECT m.ra| FROM comet AS c, moon AS m", ("SELECT", "ra", "m"), ["m.radius"]),
+    ("SELECT ma| FROM moon, probe p WHERE x = 2", ("SELECT", "ma", None), ["mass", "mass"]),
+    ("SELECT seen FROM mo|", ("FROM", "mo", None), ["moon"]),
+    ("SELECT seen FROM |", ("FROM", None, None), ["comet", "moon", "orbit", "probe"]),
+    ("SELECT body FROM orbit LEFT JOIN pr|", ("FROM", "pr", None), ["probe"]),
+    ("SELECT body FROM moon m JOIN probe p ON m.body = p.body WHERE p.l|", ("WHERE", "l", "p"), ["p.launch"]),
+    ("SELECT s| FROM moon m (mass, seen) ORDER BY mass", ("SELECT", "s", None), ["seen"]),
+    ("SELECT ta|", ("SELECT", "ta", None), ["tail"]),
+    ("nothing|", (None, "nothing", None), []),
+    ("SE|LECT body", (None, None, None), []),
 ]
 
 
 def test_cursor_requests_and_candidates(spark):
-    tokens, requests = run(spark, [c[:2] for c in CASES])
+    tokens, requests = run(spark, [(c[0].replace("|", ""), c[0].index("|") + 1) for c in CASES])
     got = {r["request_id"]: (r["context"], r["prefix"], r["alias"]) for r in requests.collect()}
-    assert [got[i] for i in range(len(CASES))] == [c[2] for c in CASES]
+    assert [got[i] for i in range(len(CASES))] == [c[1] for c in CASES]
     scope = C.scope_entries(tokens, "s").withColumnRenamed("s", "request_id")
     membership = spark.createDataFrame([(t, c) for t, cs in SCHEMA.items() for c in cs], "container string, item string")
     found = {}
     for r in C.complete(requests, scope, membership, max_len=2).collect():
         found.setdefault(r["request_id"], []).append(r["candidate"])
-    assert [sorted(found.get(i, [])) for i in range(len(CASES))] == [c[3] for c in CASES]
+    assert [sorted(found.get(i, [])) for i in range(len(CASES))] == [c[2] for c in CASES]
 
 
 @pytest.mark.parametrize(
     "text, wanted",
     [
-        ("SELECT house FROM car, truck WHERE id = 2", [("car", None, None), ("truck", None, None)]),
+        ("SELECT tilt FROM orbit, comet ORDER BY tilt", [("comet", None, None), ("orbit", None, None)]),
         ("SELECT a FROM old WHERE x FROM t AS x (p, q), u", [("t", "x", ["p", "q"]), ("u", None, None)]),
         ("SELECT a", []),
     ],

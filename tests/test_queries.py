@@ -10,7 +10,7 @@ from compare import differences, duck
 import __spark_entry__ as entry
 
 FOLDER = "/root/testdata/sf0.001"
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+QUERIES, SQL = {n: q.run for n, q in entry._ALL.items()}, entry.oracle_sql()
 
 
 @pytest.fixture(scope="module")

@@ -144,11 +144,11 @@ def test_forward_fill_and_context(spark, rows):
 
 
 def test_context_of_a_statement(spark):
-    """Words of `SELECT house FROM car, truck WHERE id = 2` with their end offsets."""
-    marks = spark.createDataFrame([("q", 7, "SELECT"), ("q", 18, "FROM"), ("q", 36, "WHERE")], "seq string, pos int, word string")
-    points = spark.createDataFrame([("q", p) for p in (3, 7, 11, 14, 19, 23, 30, 41, 44)], "seq string, pos int")
+    """Words of `FROM orbit GROUP BY tilt HAVING tilt > 3` with their end offsets."""
+    marks = spark.createDataFrame([("q", 5, "FROM"), ("q", 20, "GROUP"), ("q", 32, "HAVING")], "seq string, pos int, word string")
+    points = spark.createDataFrame([("q", p) for p in (2, 5, 9, 19, 20, 27, 33)], "seq string, pos int")
     got = S.context_at(points, marks, "seq", "pos", "word", "context")
-    assert [r["context"] for r in got.orderBy("pos").collect()] == [None] + ["SELECT"] * 3 + ["FROM"] * 3 + ["WHERE"] * 2
+    assert [r["context"] for r in got.orderBy("pos").collect()] == [None, "FROM", "FROM", "FROM", "GROUP", "GROUP", "HAVING"]
 
 
 @pytest.mark.parametrize("keep_start", [True, False])

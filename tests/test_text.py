@@ -99,12 +99,15 @@ def test_paths(spark, tmp_path):
 
 
 SOURCE = """<?php
-namespace Garden\\Tool;
+namespace Port;
 
-class Rake {
-  public function methA() { return 12; }
-  public $propA = null;
-  public $propB;
+abstract class Winch
+{
+    protected $load;
+    private static $rope = 'steel';
+    public function lift($kg) { return $kg; }
+    public function lower() {}
+    public $hook;
 }
 """
 MORE = """<?php
@@ -134,13 +137,15 @@ def declared(spark, *sources):
 
 def test_declarations(spark):
     got = declared(spark, SOURCE).orderBy("offset").collect()
+    at = lambda piece: SOURCE.index(piece) + 1
     assert [(r["prefix"], r["full_name"], r["line"], r["offset"]) for r in got] == [
-        ("class Rake", "Garden\\Tool\\Rake", 4, 31),
-        ("  public function methA", "Garden\\Tool\\Rake:methA", 5, 46),
-        ("  public $propA", "Garden\\Tool\\Rake$propA", 6, 87),
-        ("  public $propB", "Garden\\Tool\\Rake$propB", 7, 111),
+        ("abstract class Winch", "Port\\Winch", 4, at("abstract")),
+        ("    protected $load", "Port\\Winch$load", 6, at("protected")),
+        ("    private static $rope", "Port\\Winch$rope", 7, at("private")),
+        ("    public function lift", "Port\\Winch:lift", 8, at("public function lift")),
+        ("    public function lower", "Port\\Winch:lower", 9, at("public function lower")),
+        ("    public $hook", "Port\\Winch$hook", 10, at("public $hook")),
     ]
-    assert SOURCE[30:].startswith("class Rake") and SOURCE[110:].startswith("public $propB")
 
 
 def test_declarations_know_where_classes_end(spark):
@@ -156,13 +161,18 @@ def test_tag_index_round_trip(spark):
     folder = work_dir(spark)
     tags.write_tag_index(found, folder, scoped=True)
     whole = "".join(p.read_text() for p in Path(folder).glob("part-*"))
-    assert "\x0c\nf0.php,119\nclass Rake\x7fGarden\\Tool\\Rake\x014,31\n  public function methA\x7f" in whole
-    assert len(SOURCE.replace("\n", "")) == 119
+    chars = len(SOURCE.replace("\n", ""))
+    assert f"\x0c\nf0.php,{chars}\nabstract class Winch\x7fPort\\Winch\x014,24\n    protected $load\x7f" in whole
     assert "f2.php" not in whole
     back = tags.read_tag_index(spark, folder)
     want = sorted((r["path"], r["n_chars"], r["full_name"], r["line"]) for r in found.collect())
     assert sorted((r["path"], r["n_chars"], r["name"], r["line"]) for r in back.collect()) == want
-    assert len(want) == 15
+    assert len(want) == 17
+
+
+def test_comments_and_quotes(spark):
+    df = texts(spark, "SELECT 'a--b  c' , x -- y", 'a  "b  --c"\n\t--d\n e', "it's  --x", "  a   b ")
+    assert one(df.select("id", T.strip_comments(F.col("text")))) == ["SELECT 'a--b  c' , x", 'a "b  --c" e', "it's", "a b"]
 
 
 def test_tag_lines(spark):
@@ -172,7 +182,7 @@ def test_tag_lines(spark):
     tag = G.parse_tag(F.col("text"))
     got = df.select("id", tag["prefix"], tag["name"], tag["line"]).orderBy("id").collect()
     assert [tuple(r)[1:] for r in got] == [
-        ("class B", None, 5), ("class B", "B", 5), (None, None, None), (None, None, None), (None, None, None),
+        ("class B", None, 5), ("class B", "B", 5), (None, None, None), (None, None, None), (None, "B", 5),
     ]
     c = texts(spark, "a/b.php:A:b", "alone")
     assert one(c.select("id", G.candidate_path(F.col("text")))) == ["a/b.php", "alone"]
