@@ -172,7 +172,7 @@ def test_tag_index_round_trip(spark):
 
 def test_comments_and_quotes(spark):
     df = texts(spark, "SELECT 'a--b  c' , x -- y", 'a  "b  --c"\n\t--d\n e', "it's  --x", "  a   b ")
-    assert one(df.select("id", T.strip_comments(F.col("text")))) == ["SELECT 'a--b  c' , x", 'a "b  --c" e', "it's", "a b"]
+    assert one(df.select("id", X.strip_comments(F.col("text")))) == ["SELECT 'a--b  c' , x", 'a "b  --c" e', "it's", "a b"]
 
 
 def test_tag_lines(spark):
