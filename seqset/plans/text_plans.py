@@ -164,8 +164,13 @@ def locate_from(spark: SparkSession, d: str) -> DataFrame:
     return tags.locate_from(later, "doc_id", "text", "name", "start")
 
 
+ITEM_TABLE = """CREATE TABLE IF NOT EXISTS shop.item (code int PRIMARY KEY, qty int NOT NULL DEFAULT 5 CHECK (qty IS NOT NULL),
+    CONSTRAINT ck CHECK (qty > 0), FOREIGN KEY (code) REFERENCES "order" (id)) WITH (fillfactor = 70);
+"""
+
+
 def _order_dumps(spark: SparkSession, d: str) -> DataFrame:
-    """One dump file per order: comments, settings, two tables and a payload."""
+    """One dump file per order: comments, settings, two or three tables and a payload."""
     orders = spread(
         table(spark, d, "orders").select(
             "o_orderkey", "o_orderstatus", "o_orderpriority", F.dayofmonth("o_orderdate").cast("string").alias("day")
@@ -180,6 +185,7 @@ def _order_dumps(spark: SparkSession, d: str) -> DataFrame:
         F.lit(", 2) DEFAULT 0,\n    at timestamp without time zone DEFAULT now(),\n    CONSTRAINT pk_"), key,
         F.lit(" PRIMARY KEY (id, s_"), F.col("o_orderstatus"),
         F.lit(")\n);\nCOPY x (id) FROM stdin;\nCREATE TABLE payload (id int);\n\\.\n"),
+        F.when(F.col("o_orderstatus") == "F", ITEM_TABLE).otherwise(""),
         F.lit("Create Table lines (n bigint, ok boolean DEFAULT TRUE, UNIQUE (n), note varchar(9) DEFAULT 'a, (b')"),
     )
     return orders.select(F.concat(F.lit("order"), key, F.lit(".sql")).alias("source"), text.alias("text"))
@@ -211,6 +217,8 @@ UNION ALL SELECT source, t, 'at', 4, 'timezone', 'timestamp without time zone',
 UNION ALL SELECT source, 'lines', 'n', 1, 'bigint', 'bigint', NULL, NULL, TRUE, 'nothing', NULL FROM o
 UNION ALL SELECT source, 'lines', 'ok', 2, 'bool', 'boolean', NULL, NULL, TRUE, 'bool', 'TRUE' FROM o
 UNION ALL SELECT source, 'lines', 'note', 4, 'varchar', 'varchar(9)', 9, NULL, TRUE, 'string', '''a, (b''' FROM o
+UNION ALL SELECT source, 'shop.item', 'code', 1, 'int', 'int', NULL, NULL, FALSE, 'nothing', NULL FROM o WHERE s = 'F'
+UNION ALL SELECT source, 'shop.item', 'qty', 2, 'int', 'int', NULL, NULL, FALSE, 'int', '5' FROM o WHERE s = 'F'
 """
 
 SYMBOLS = r"""
@@ -318,7 +326,9 @@ QUERIES = {
         ddl_constraints,
         """SELECT 'order' || o_orderkey || '.sql' AS source, 'order' || o_orderkey AS table_name, 'pk_' || o_orderkey AS name,
         'primary_key' AS kind, 'id,s_' || o_orderstatus AS columns FROM orders
-        UNION ALL SELECT 'order' || o_orderkey || '.sql', 'lines', NULL, 'unique', 'n' FROM orders""",
+        UNION ALL SELECT 'order' || o_orderkey || '.sql', 'lines', NULL, 'unique', 'n' FROM orders
+        UNION ALL SELECT 'order' || o_orderkey || '.sql', 'shop.item', name, kind, columns FROM orders,
+        (VALUES ('ck', 'other', ''), (NULL, 'other', 'code'), (NULL, 'primary_key', 'code')) k(name, kind, columns) WHERE o_orderstatus = 'F'""",
     ),
     "catalog_round_trip": Query(catalog_round_trip, DDL_SQL),
 }

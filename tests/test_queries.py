@@ -53,7 +53,7 @@ def test_filters_and_columns_reach_the_scan(spark):
     assert "ReadSchema: struct<l_partkey:bigint,l_suppkey:bigint>" in plan(QUERIES["invert"](spark, FOLDER))
 
 
-@pytest.mark.parametrize("name", ["ordered_symbols", "read_lines", "take_chars", "select_paths"])
+@pytest.mark.parametrize("name", ["ordered_symbols", "read_lines", "take_chars", "select_paths", "ddl_columns", "ddl_constraints"])
 def test_texts_are_cut_without_a_shuffle_by_key(spark, name):
     assert "hashpartitioning" not in plan(QUERIES[name](spark, FOLDER))
 

@@ -276,3 +276,36 @@ def test_dump_files(spark, tmp_path):
     (tmp_path / "a.sql").write_text(DUMP)
     dumps = catalog.read_dumps(spark, str(tmp_path))
     assert catalog.read_ddl_catalog(dumps)[0].select("table_name").distinct().count() == 3
+
+
+ODD_DUMP = """/* CREATE TABLE hidden (a int); */
+CREATE TABLE IF NOT EXISTS farm.barn (
+    no integer PRIMARY KEY, goats int NOT NULL DEFAULT 5, hay numeric(3, 1) DEFAULT 0.5 NOT NULL CHECK (hay IS NOT NULL AND hay > 0),
+    door text CONSTRAINT one_door UNIQUE, CONSTRAINT fed CHECK (goats > 0), FOREIGN KEY (no, hay) REFERENCES farm.field (x, y),
+    LIKE shed, EXCLUDE USING gist (c WITH &&), "check" int
+) WITH (fillfactor = 70, x = 1);
+CREATE FUNCTION f() AS $body$ x; CREATE TABLE inner_one (z int); $body$;
+create unlogged table "old farm"."cow shed" (x int REFERENCES barn (no) NOT NULL, d text DEFAULT (a IS NOT NULL), e text DEFAULT NULL NULL);
+CREATE TABLE made AS SELECT f(a, b) FROM x;
+CREATE TABLE bare ();
+CREATE TABLE cut (a int DEFAULT"""
+
+
+def test_catalog_of_odd_dumps(spark):
+    dumps = spark.createDataFrame([("s", ODD_DUMP), ("n", None), ("t", "CREATE TABLE ;;CREATE TABLE x")], "source string, text string")
+    columns, constraints = catalog.read_ddl_catalog(dumps)
+    got = {(r["table_name"], r["column_name"]): (r["ordinal"], r["raw_type"], r["nullable"], r["default_text"]) for r in columns.collect()}
+    assert got == {
+        ("farm.barn", "no"): (1, "integer", False, None), ("farm.barn", "goats"): (2, "int", False, "5"),
+        ("farm.barn", "hay"): (3, "numeric(3, 1)", False, "0.5"), ("farm.barn", "door"): (4, "text", True, None),
+        ("farm.barn", "check"): (9, "int", True, None), ("old farm.cow shed", "x"): (1, "int", False, None),
+        ("old farm.cow shed", "d"): (2, "text", True, "(a IS NOT NULL)"), ("old farm.cow shed", "e"): (3, "text", True, "NULL"),
+        ("cut", "a"): (1, "int", True, None),
+    }
+    assert sorted(((r["name"], r["kind"], r["columns"]) for r in constraints.collect()), key=str) == sorted(
+        [
+            ("fed", "other", []), (None, "other", ["no", "hay"]), (None, "other", []), (None, "other", []),
+            (None, "primary_key", ["no"]), ("one_door", "unique", ["door"]),
+        ],
+        key=str,
+    )
