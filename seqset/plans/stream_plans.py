@@ -75,10 +75,10 @@ def _payloads(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _price(calls: DataFrame) -> DataFrame:
-    # prices below 20 have no answer, which is then left out
+    # prices below 20 have no answer, which is then left out; those from 80 on are refused
     price = F.get("args", 1).try_cast("double")
-    answer = F.when(price >= 20, F.concat(F.lit("price "), F.floor(price).cast("string")))
-    return calls.select("request_id", answer.alias("answer"))
+    answer = F.when((price >= 20) & (price < 80), F.concat(F.lit("price "), F.floor(price).cast("string")))
+    return calls.select("request_id", answer.alias("answer"), F.when(price >= 80, "over limit").alias("error"))
 
 
 def _kind(calls: DataFrame) -> DataFrame:
@@ -102,14 +102,19 @@ def request_sessions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def serve_requests(spark: SparkSession, d: str) -> DataFrame:
+    """Requests served in three batches, by time; a user's exit ends that user's day."""
     folder = work_dir(spark)
-    stream = _staged(spark, _payloads(spark, d), f"{folder}/in")
-    R.serve(stream, VERBS, f"{folder}/out", f"{folder}/state").awaitTermination()
-    answers = spark.read.schema("request_id bigint, answer string").parquet(f"{folder}/out/answers")
-    errors = spark.read.schema("request_id bigint, error string").parquet(f"{folder}/out/errors")
-    return answers.select("request_id", "answer").unionByName(
-        errors.select("request_id", "error"), allowMissingColumns=True
-    )
+    day = F.concat_ws("/", "user_id", F.to_date("ts"))
+    payloads = _payloads(spark, d).withColumn("session", day).drop("user_id")
+    early, late = payloads.agg(F.percentile_approx("ts", [0.3, 0.6])).first()[0]
+    slices = [F.col("ts") <= early, (F.col("ts") > early) & (F.col("ts") <= late), F.col("ts") > late]
+    for part in slices:
+        payloads.filter(part).write.mode("append").parquet(f"{folder}/in")
+        stream = R.request_source(spark, f"{folder}/in", payloads.schema)
+        R.serve(stream, VERBS, f"{folder}/out", f"{folder}/state", "session", ["ts", "request_id"]).awaitTermination()
+    fields = "request_id bigint, token bigint, answer string, error string"
+    outputs = [spark.read.schema(fields).parquet(f"{folder}/out/{name}") for name in ("answers", "errors", "silent")]
+    return outputs[0].unionByName(outputs[1]).unionByName(outputs[2]).select("request_id", "token", "answer", "error")
 
 
 def refresh_static(spark: SparkSession, d: str) -> DataFrame:
@@ -168,10 +173,13 @@ QUERIES = {
     ),
     "serve_requests": Query(
         serve_requests,
-        f"""WITH {ROUTES}
-        SELECT request_id, 'price ' || floor(value)::BIGINT AS answer, NULL AS error FROM r WHERE verb = 'price' AND value >= 20
-        UNION ALL SELECT request_id, event_type, NULL FROM r WHERE verb = 'kind'
-        UNION ALL SELECT request_id, NULL, route FROM r WHERE route IN ('unknown', 'malformed')""",
+        f"""WITH {ROUTES}, s AS (SELECT *, max((route = 'exit')::INT) OVER (PARTITION BY user_id, ts::DATE
+        ORDER BY ts, request_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS stopped FROM r)
+        SELECT request_id, token,
+        CASE WHEN stopped = 1 THEN NULL WHEN verb = 'kind' THEN event_type
+             WHEN verb = 'price' AND value >= 20 AND value < 80 THEN 'price ' || floor(value)::BIGINT END AS answer,
+        CASE WHEN stopped = 1 THEN 'ended' WHEN route IN ('unknown', 'malformed') THEN route
+             WHEN verb = 'price' AND value >= 80 THEN 'over limit' END AS error FROM s""",
     ),
     "refresh_static": Query(
         refresh_static,

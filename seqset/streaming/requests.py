@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Mapping
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from seqset.session import saved
+
 REQUEST = "token bigint, verb string, args array<string>, damaged string"
 
 Answerer = Callable[[DataFrame], DataFrame]
 
+# SQL's classes of data exceptions and of exceptions in a user's function
+_DATA_ERROR = re.compile(r"SQLSTATE: (22|38|39)")
+
 
 def request_source(
     spark: SparkSession, folder: str, schema: T.StructType, files_per_batch: int | None = None
@@ -66,38 +73,90 @@ def route_requests(df: DataFrame, payload: str, verbs: list[str]) -> DataFrame:
     )
 
 
-def answer_requests(
-    routed: DataFrame, registry: Mapping[str, Answerer]
-) -> tuple[DataFrame, DataFrame]:
-    """Answers of the routed calls by their verb's function, and the error rows.
+def until_exit(routed: DataFrame, session: str, order: list[str], ended: DataFrame | None = None) -> DataFrame:
+    """Routed requests with the route `ended` for all that come after their session's first exit.
 
-    A function maps its requests to rows (request_id, answer). Malformed requests
-    and unknown verbs become error rows (request_id, error); the others go on.
+    `ended` (column `session`) lists sessions that ended before, none of whose requests counts any more. A null session never
+    ends. The first exits are a grouped minimum, so that a session of any length is no task of its own.
+    """
+    at = F.struct(*order)
+    exits = routed.filter(F.col("route") == "exit").groupBy(F.col(session).alias("_session")).agg(F.min(at).alias("_exit"))
+    late = F.col("_exit").isNotNull() & (at > F.col("_exit"))
+    found = routed.join(exits, F.col(session) == F.col("_session"), "left")
+    if ended is not None:
+        before = ended.select(F.col(session).alias("_over")).distinct()
+        found = found.join(before, F.col(session) == F.col("_over"), "left")
+        late = late | F.col("_over").isNotNull()
+    return found.withColumn("route", F.when(late, "ended").otherwise(F.col("route"))).select(*routed.columns)
+
+
+def answer_requests(routed: DataFrame, registry: Mapping[str, Answerer], evaluate: Answerer = lambda df: df) -> DataFrame:
+    """What becomes of each request: rows (request_id, token, answer, error).
+
+    A verb's function maps its requests to rows (request_id, answer) or (request_id, answer, error); a row with neither
+    declares that there is nothing to say. Requests that get no row are errors `unanswered`; malformed, unknown and ended
+    ones are errors of that name; an exit has neither answer nor error. Functions refuse a request by its error and use
+    `try_` functions on what clients send. With an `evaluate` that runs a function's rows, a function that fails on
+    the data all the same makes errors `failed` of its verb's requests, and the other verbs go on; other
+    failures, such as lost executors, are raised.
     """
     calls = routed.filter(F.col("route").isin("call", "token_call"))
-    answers = None
-    for verb, function in registry.items():
-        part = function(calls.filter(F.col("verb") == verb)).select("request_id", "answer")
-        answers = part if answers is None else answers.unionByName(part)
-    errors = routed.filter(F.col("route").isin("malformed", "unknown")).select(
-        "request_id", F.col("route").alias("error")
+    refused = F.when(F.col("route") != "exit", F.col("route"))
+    done = routed.filter(~F.col("route").isin("call", "token_call")).select(
+        "request_id", "token", F.lit(None).cast("string").alias("answer"), refused.alias("error")
     )
-    return answers, errors
+    for verb, function in registry.items():
+        own = calls.filter(F.col("verb") == verb)
+        asked = own.select("request_id", "token")
+        try:
+            given = function(own)
+            error = F.col("error") if "error" in given.columns else F.lit(None).cast("string")
+            given = evaluate(given.select(F.col("request_id").alias("_id"), "answer", error.alias("error")))
+        except PySparkException as failure:
+            if not _DATA_ERROR.search(str(failure)):
+                raise
+            given = asked.select(F.col("request_id").alias("_id"), F.lit(None).cast("string").alias("answer"), F.lit("failed").alias("error"))
+        joined = asked.join(given, F.col("request_id") == F.col("_id"), "left")
+        error = F.when(F.col("_id").isNull(), "unanswered").otherwise(F.col("error"))
+        answer = F.when(error.isNull(), F.col("answer"))
+        done = done.unionByName(joined.select("request_id", "token", answer.alias("answer"), error.alias("error")))
+    return done
 
 
 def serve(
-    stream: DataFrame, registry: Mapping[str, Answerer], folder: str, checkpoint: str
+    stream: DataFrame, registry: Mapping[str, Answerer], folder: str, checkpoint: str,
+    session: str | None = None, order: list[str] | None = None,
 ) -> StreamingQuery:
-    """Route and answer a stream of requests(request_id, payload) into two outputs.
+    """Route and answer a stream of requests(request_id, payload) into three outputs.
 
-    Each batch writes folders of its own number, so a batch that is run again
-    replaces its own output.
+    `answers` has (request_id, token, answer), `errors` (request_id, token, error), `silent` (request_id, token); each
+    request is in exactly one of them. With `session` and `order` columns an exit ends its session, in later batches too. Each
+    batch writes folders of its own number, so a batch that is run again replaces its own output.
     """
+    spark = stream.sparkSession
 
     def batch(df: DataFrame, number: int) -> None:
-        answers, errors = answer_requests(route_requests(df, "payload", list(registry)), registry)
-        drop_empty(answers, "answer").write.mode("overwrite").parquet(f"{folder}/answers/batch={number}")
-        errors.write.mode("overwrite").parquet(f"{folder}/errors/batch={number}")
+        routed = route_requests(df, "payload", list(registry))
+        if session is not None:
+            kind = df.schema[session].dataType
+            ended = None
+            if number:
+                known = T.StructType([T.StructField(session, kind), T.StructField("batch", T.LongType())])
+                ended = spark.read.schema(known).parquet(f"{folder}/ended").filter(F.col("batch") < number)
+            # read once for each verb
+            routed = saved(until_exit(routed, session, order, ended))
+            over = routed.filter(F.col("route") == "exit").select(session).distinct()
+            over.write.mode("overwrite").parquet(f"{folder}/ended/batch={number}")
+        else:
+            routed = saved(routed)
+        done = saved(answer_requests(routed, registry, saved))
+        out = {
+            "answers": done.filter(F.col("answer").isNotNull()).drop("error"),
+            "errors": done.filter(F.col("error").isNotNull()).drop("answer"),
+            "silent": done.filter(F.col("answer").isNull() & F.col("error").isNull()).select("request_id", "token"),
+        }
+        for name, rows in out.items():
+            rows.write.mode("overwrite").parquet(f"{folder}/{name}/batch={number}")
 
     return (
         stream.writeStream.foreachBatch(batch)

@@ -43,19 +43,59 @@ def test_routes(spark):
     assert got[0]["token"] == 7 and got[0]["args"] == ["a"]
 
 
-def test_a_failing_request_does_not_stop_the_others(spark):
+def refused(calls):
+    number = F.get("args", 0).try_cast("int")
+    return calls.select("request_id", (number + 1).cast("string").alias("answer"), F.when(number.isNull(), "no number").alias("error"))
+
+
+def careless(calls):
+    return calls.select("request_id", F.get("args", 0).cast("int").cast("string").alias("answer"))
+
+
+def picky(calls):
+    return calls.filter(F.size("args") > 0).select("request_id", F.lit(None).cast("string").alias("answer"))
+
+
+def served(spark, rows, registry, schema="request_id long, payload string", **how):
     folder = work_dir(spark)
-    payloads(spark).repartition(3).write.parquet(f"{folder}/in")
-    stream = R.request_source(spark, f"{folder}/in", payloads(spark).schema, files_per_batch=1)
-    R.serve(stream, REGISTRY, f"{folder}/out", f"{folder}/state").awaitTermination()
-    answers = spark.read.schema("request_id long, answer string").parquet(f"{folder}/out/answers")
-    errors = spark.read.schema("request_id long, error string").parquet(f"{folder}/out/errors")
-    assert sorted((r["request_id"], r["answer"]) for r in answers.collect()) == [(1, "a"), (2, "12")]
-    assert sorted((r["request_id"], r["error"]) for r in errors.collect()) == [
-        (4, "malformed"), (5, "malformed"), (6, "unknown"), (9, "malformed"), (10, "malformed"),
+    for part in rows:
+        spark.createDataFrame(part, schema).write.mode("append").parquet(f"{folder}/in")
+        stream = R.request_source(spark, f"{folder}/in", spark.createDataFrame(part, schema).schema)
+        R.serve(stream, registry, f"{folder}/out", f"{folder}/state", **how).awaitTermination()
+    fields = "request_id long, token long, answer string, error string"
+    read = [spark.read.schema(fields).parquet(f"{folder}/out/{name}").collect() for name in ("answers", "errors", "silent")]
+    got = [tuple(r)[:4] for part in read for r in part]
+    assert len({g[0] for g in got}) == len(got)
+    return sorted(got)
+
+
+def test_a_failing_request_does_not_stop_the_others(spark):
+    registry = {**REGISTRY, "add": refused, "careless": careless, "picky": picky}
+    more = [
+        (11, '{"verb": "add", "token": 3, "args": ["x"]}'), (12, '{"verb": "add", "args": ["4"]}'), (13, '{"verb": "careless", "args": ["x"]}'),
+        (14, '{"verb": "careless", "args": ["5"]}'), (15, '{"verb": "picky", "args": []}'), (16, '{"verb": "picky", "args": ["a"]}'),
+    ]
+    assert served(spark, [[p[:2] for p in PAYLOADS], more], registry) == [
+        (1, 7, "a", None), (2, None, "12", None), (3, None, None, None), (4, None, None, "malformed"), (5, None, None, "malformed"),
+        (6, None, None, "unknown"), (7, None, None, None), (8, None, None, None), (9, None, None, "malformed"), (10, None, None, "malformed"),
+        (11, 3, None, "no number"), (12, None, "5", None), (13, None, None, "failed"), (14, None, None, "failed"),
+        (15, None, None, "unanswered"), (16, None, None, None),
     ]
 
 
+def test_an_exit_ends_its_session(spark):
+    def ask(number, session, verb="kind"):
+        return (number, session, f'{{"verb": "{verb}", "args": ["v"]}}')
+
+    first = [ask(1, "a"), ask(2, "a", "exit"), ask(3, "a"), ask(4, "b"), ask(5, None, "exit"), ask(6, None)]
+    second = [ask(7, "a"), ask(8, "b"), ask(9, "b", "exit"), ask(10, None)]
+    got = served(
+        spark, [first, second], REGISTRY, "request_id long, session string, payload string", session="session", order=["request_id"]
+    )
+    assert [g[0] for g in got if g[3] == "ended"] == [3, 7]
+    assert [g[0] for g in got if g[2] == "v"] == [1, 4, 6, 8, 10]
+
+
 def test_correlated_streams(spark):
     folder = work_dir(spark)
     asked = [(1, "a", at(0)), (2, "a", at(30)), (3, "b", at(5)), (4, "late", at(0))]
