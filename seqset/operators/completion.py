@@ -55,14 +55,15 @@ def cursor_requests(tokens: DataFrame, cursors: DataFrame, seq: str) -> DataFram
 def scope_entries(tokens: DataFrame, seq: str) -> DataFrame:
     """Containers listed after the last FROM: rows (seq, container, alias, items).
 
-    `items` holds the names in brackets behind a container, null without brackets.
+    `items` holds the names in brackets right behind a container or its alias, null without such brackets;
+    those of a join condition or a call are no items.
     """
     kind = F.col("kind")
     is_from = (kind == "FROM").cast("int")
     o = ordered(tokens, seq, "pos", rows=None)
     o = following(o, "_next", F.struct("kind", "value"))
     o = following(o, "_next2", F.col("_next"))
-    o = latest(o, "_last", kind, 2)
+    o = latest(o, "_last", kind, 5)
     o = running(o, _opened=Running("max", is_from))
     o = running(o, reverse=True, _later=Running("sum", is_from))
     inside = (F.col("_opened") == 1) & (F.col("_later") == 0)
@@ -71,12 +72,22 @@ def scope_entries(tokens: DataFrame, seq: str) -> DataFrame:
     o = running(o, _ended=Running("sum", ends), _depth=Running("sum", step))
     names = inside & (F.col("_ended") == 0) & (kind == "IDENTIFIER")
     container = names & (F.col("_depth") == 0) & F.get("_last", 1).isin(*BEFORE_CONTAINER)
-    o = running(o, _owner=Running("last", F.when(container, F.col("pos"))))
+    before = [F.get("_last", i) for i in range(1, 5)]
+    behind = (before[0] == "IDENTIFIER") & (
+        before[1].isin(*BEFORE_CONTAINER)
+        | (before[1] == "IDENTIFIER") & before[2].isin(*BEFORE_CONTAINER)
+        | (before[1] == "AS") & (before[2] == "IDENTIFIER") & before[3].isin(*BEFORE_CONTAINER)
+    )
+    opening = inside & (kind == "OPAREN") & (F.col("_depth") == 1)
+    o = running(
+        o, _owner=Running("last", F.when(container, F.col("pos"))),
+        _own=Running("last", F.when(opening, F.coalesce(behind, F.lit(False)))),
+    )
 
     alias = F.when(F.col("_next.kind") == "AS", F.col("_next2.value")).when(
         F.col("_next.kind") == "IDENTIFIER", F.col("_next.value")
     )
-    listed = F.array_sort(F.collect_list(F.when(F.col("_depth") > 0, F.struct("pos", "value"))))
+    listed = F.array_sort(F.collect_list(F.when((F.col("_depth") > 0) & F.col("_own"), F.struct("pos", "value"))))
     return (
         o.done()
         .filter(names & F.col("_owner").isNotNull())

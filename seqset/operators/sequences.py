@@ -247,6 +247,17 @@ def _spans_of_kinds(
     which streams them in order for the whole sequence and holds the open ones.
     """
 
+    # one text for all key columns, as pandas knows no null in whole numbers; it is taken apart at the end
+    packed = T.StructType([T.StructField(f"k{i}", marks.schema[c].dataType) for i, c in enumerate(seq)])
+    exact = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+    key = F.to_json(F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(seq)]), exact)
+    own, seq = seq, ["_seq"]
+    marks = marks.select(key.alias("_seq"), pos, kind)
+
+    def unpacked(df: DataFrame) -> DataFrame:
+        parts = F.from_json("_seq", packed, exact)
+        return df.withColumn("_seq", parts).select(*[F.col(f"_seq.k{i}").alias(c) for i, c in enumerate(own)], "start", "end", kind)
+
     def matched(df: DataFrame, keys: list[str], whole: bool) -> DataFrame:
         fields = df.select(*keys, F.col(pos).alias("start"), F.col(pos).alias("end"), kind).schema
         schema = T.StructType([T.StructField(f.name, f.dataType) for f in fields]).add("_open", "boolean")
@@ -258,14 +269,10 @@ def _spans_of_kinds(
 
     o = ordered(marks.select(*seq, pos, kind), seq, pos, rows)
     if not o.split:
-        return matched(o.done(), seq, True).drop("_open")
+        return unpacked(matched(o.done(), seq, True))
     first = matched(o.frame, o.keys, False).drop(CHUNK)
     rest = first.filter(F.col("end").isNull()).select(*seq, F.col("start").alias(pos), kind)
-    return (
-        first.filter(F.col("end").isNotNull())
-        .unionByName(matched(rest, seq, True))
-        .drop("_open")
-    )
+    return unpacked(first.filter(F.col("end").isNotNull()).unionByName(matched(rest, seq, True)))
 
 
 def marked_spans(

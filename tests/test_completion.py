@@ -65,6 +65,8 @@ def test_cursor_requests_and_candidates(spark):
     [
         ("SELECT tilt FROM orbit, comet ORDER BY tilt", [("comet", None, None), ("orbit", None, None)]),
         ("SELECT a FROM old WHERE x FROM t AS x (p, q), u", [("t", "x", ["p", "q"]), ("u", None, None)]),
+        ("FROM orbit JOIN moon ON ( orbit . body = moon . body ) WHERE x", [("moon", None, None), ("orbit", None, None)]),
+        ("FROM orbit o ( tilt ) JOIN moon ON near ( o . tilt )", [("moon", None, None), ("orbit", "o", ["tilt"])]),
         ("SELECT a", []),
     ],
 )

@@ -264,3 +264,18 @@ def test_correlate(spark, rows):
         fitting = sorted((t2, a) for k2, t2, a in answered if k2 == key and t <= t2 <= t + 10)
         want[i] = fitting[0][1] if fitting else None
     assert {r["id"]: r["answer"] for r in got} == want and len(got) == 60
+
+
+@pytest.mark.parametrize("rows", [4, None])
+def test_spans_of_kinds_keep_null_large_and_fine_keys(spark, rows):
+    big = (1 << 60) + 1
+    text = list("(a[b)c])")
+    keys = [(None, "2024-01-01 00:00:00.000001"), (big, "2024-01-01 00:00:00.000001"), (big, "2024-01-01 00:00:00.000002"), (None, None)]
+    data = [(a, b, i, c) for a, b in keys for i, c in enumerate(text)]
+    df = spark.createDataFrame(data, "a long, b string, pos long, kind string").withColumn("b", F.col("b").cast("timestamp"))
+    got = S.balanced_spans(df, ["a", "b"], "pos", "kind", {"(": ")", "[": "]"}, rows)
+    found = {}
+    for r in got.select("a", F.date_format("b", "SSSSSS").alias("b"), "start", "end").collect():
+        found.setdefault((r["a"], r["b"]), []).append((r["start"], r["end"]))
+    wanted = {(None, "000001"), (big, "000001"), (big, "000002"), (None, None)}
+    assert {k: sorted(v) for k, v in found.items()} == {k: [(0, 7), (2, 6)] for k in wanted}
