@@ -9,6 +9,7 @@ the earlier chunks hand on.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
@@ -21,6 +22,8 @@ from seqset.operators.skew import ROWS_PER_TASK, names, null_safe_left
 CHUNK = "_chunk"
 # chunk numbers hold four rounds of cutting, 15 bits each
 _FAN, _ROUNDS = 1 << 15, 4
+# hex digits of a text that make one number
+_DIGITS = 14
 
 
 @dataclass(frozen=True)
@@ -52,9 +55,15 @@ class Running:
 
 
 def _numbers(column: Column, kind: T.DataType) -> list[Column]:
-    """Whole numbers that grow with the column, from coarse to fine."""
-    if isinstance(kind, T.NumericType):
-        return [F.floor(column).cast("bigint")]
+    """Whole numbers, or texts of hex digits, that grow with the column, from coarse to fine."""
+    if isinstance(kind, T.LongType):  # halved, so that no difference overflows
+        return [F.shiftright(column, 1), F.pmod(column, F.lit(2))]
+    if isinstance(kind, T.IntegralType):
+        return [column.cast("bigint")]
+    if isinstance(kind, T.NumericType):  # what is too far out, infinite or no number counts as the farthest
+        far = F.lit(float(1 << 61))
+        near = F.greatest(F.least(column.cast("double"), far), -far)
+        return [F.when(column.isNotNull(), F.floor(near).cast("bigint"))]
     if isinstance(kind, T.DateType):
         return [F.unix_date(column).cast("bigint")]
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
@@ -62,13 +71,20 @@ def _numbers(column: Column, kind: T.DataType) -> list[Column]:
         second = day * 86400 + F.hour(column) * 3600 + F.minute(column) * 60 + F.second(column)
         return [second, F.date_format(column, "SSSSSS").cast("bigint")]
     if isinstance(kind, T.StringType):
-        padded = F.rpad(F.hex(column.cast("binary")), 28, "0")
-        return [F.conv(F.substring(padded, at, 14), 16, 10).cast("bigint") for at in (1, 15)]
+        # read behind what the texts of a chunk have in common; twice, as a part can have more in common
+        digits = F.hex(column.cast("binary"))
+        return [digits, digits]
     if isinstance(kind, T.ArrayType):
         return _numbers(F.coalesce(F.get(column, 0), F.lit("" if isinstance(kind.elementType, T.StringType) else 0)), kind.elementType)
     return []
 
 
+def _behind_common(low: str, high: str) -> tuple[int, int, int]:
+    """Length of the common start of two texts of hex digits, and the numbers that follow it in each."""
+    skip = len(os.path.commonprefix([low, high]))
+    return skip, *(int(text[skip : skip + _DIGITS].ljust(_DIGITS, "0"), 16) for text in (low, high))
+
+
 def ordered(
     df: DataFrame,
     seq: str | Sequence[str],
@@ -91,8 +107,9 @@ def ordered(
     cuts: list[tuple[Column, list[Column]]] = []
     for i, c in enumerate(order):
         numbers = _numbers(F.col(c), df.schema[c].dataType)
-        cuts += [(n, [F.col(x) for x in order[:i]] + numbers[:k]) for k, n in enumerate(numbers)]
-    for number, same in [] if rows is None else (cuts[:1] + cuts)[:_ROUNDS]:
+        text = df.select(*numbers[:1]).schema[0].dataType == T.StringType() if numbers else False
+        cuts += [(n, text, [F.col(x) for x in order[:i]] + ([] if text else numbers[:k])) for k, n in enumerate(numbers)]
+    for number, text, same in [] if rows is None else (cuts[:1] + cuts)[:_ROUNDS]:
         keys = [*seq, CHUNK]
         constant = F.lit(True)
         for c in same:
@@ -109,20 +126,27 @@ def ordered(
         )
         if not long:
             break
-        cut = [
-            (*r[:-4], r["_cut_low"], -(-(r["_cut_high"] - r["_cut_low"] + 1) // min(-(-r["_n"] // rows), _FAN - 2)))
-            for r in long
-            if r["_same"] and r["_cut_high"] is not None and r["_cut_high"] > r["_cut_low"]
-        ]
+        cut = []
+        for r in long:
+            low, high, skip = r["_cut_low"], r["_cut_high"], 0
+            if not r["_same"] or high is None:
+                continue
+            if text:
+                skip, low, high = _behind_common(low, high)
+            if high > low:
+                cut.append((*r[:-4], skip, low, -(-(high - low + 1) // min(-(-r["_n"] // rows), _FAN - 2))))
         if not cut:
             continue
-        schema = frame.select(*keys).schema.add("_cut_low", "long").add("_cut_step", "long")
+        schema = frame.select(*keys).schema.add("_cut_skip", "integer").add("_cut_low", "long").add("_cut_step", "long")
         ranges = F.broadcast(df.sparkSession.createDataFrame(cut, schema))
+        if text:
+            window = F.rpad(number.substr(F.col("_cut_skip") + 1, F.lit(_DIGITS)), _DIGITS, "0")
+            number = F.conv(window, 16, 10).cast("bigint")
         place = F.call_function("div", F.coalesce(number, F.col("_cut_low")) - F.col("_cut_low"), F.col("_cut_step"))
         frame = (
             null_safe_left(frame, ranges, keys)
             .withColumn(CHUNK, F.col(CHUNK) * _FAN + F.coalesce(place + 1, F.lit(0)))
-            .drop("_cut_low", "_cut_step")
+            .drop("_cut_skip", "_cut_low", "_cut_step")
         )
         split = True
     return Ordered(frame, seq, order, split)

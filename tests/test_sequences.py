@@ -279,3 +279,27 @@ def test_spans_of_kinds_keep_null_large_and_fine_keys(spark, rows):
         found.setdefault((r["a"], r["b"]), []).append((r["start"], r["end"]))
     wanted = {(None, "000001"), (big, "000001"), (big, "000002"), (None, None)}
     assert {k: sorted(v) for k, v in found.items()} == {k: [(0, 7), (2, 6)] for k in wanted}
+
+
+TEXTS = [f"https://www.example.com/0000{i:04d}" for i in range(40)]
+
+
+@pytest.mark.parametrize(
+    "kind, values",
+    [
+        ("string", TEXTS), ("string", [*TEXTS, None, "", "é"]), ("string", ["x"] * 40),
+        ("long", [(-1) ** i * ((1 << 63) - 1 - 3 * i) for i in range(40)] + [-(1 << 63), None, 0]),
+        ("long", [(1 << 60) + i for i in range(40)]),
+        ("double", [float("inf"), float("-inf"), float("nan"), 1e300, -1e300, None] + [i * 2.5 for i in range(40)]),
+    ],
+)
+def test_long_sequences_are_cut_by_any_order(spark, kind, values):
+    df = spark.createDataFrame([("s", v, i) for i, v in enumerate(values)], f"s string, v {kind}, i long")
+
+    def numbered(rows):
+        o = ordered(df, "s", ["v", "i"], rows)
+        return o, {r["i"]: r["n"] for r in running(o, n=Running("sum", F.lit(1))).done().collect()}
+
+    cut, got = numbered(3)
+    assert got == numbered(None)[1]
+    assert max(r["count"] for r in cut.frame.groupBy("_chunk").count().collect()) <= 6
