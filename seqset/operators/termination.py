@@ -12,7 +12,7 @@ from seqset.operators.skew import ROWS_PER_TASK
 
 def terminate_requests(
     sections: DataFrame, items: DataFrame, membership: DataFrame, request: str, qualifier: str,
-    item: str, container: str, local_limit: int = 10_000, rows: int = ROWS_PER_TASK,
+    item: str, container: str, local_limit: int = 1_000, rows: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """Requests written out with each possible `from` section, best first.
 
