@@ -251,13 +251,12 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     return rows.join(of_node.join(names, "root").select("fp", "root", "component"), "fp")
 
 
-def drop_near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """One row of each near-duplicate group of `docs`, all its columns kept: that with the smallest id.
+def one_of_each(docs: DataFrame, found: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """One row of `docs` for each root in `found` (id, text_hash, root), all its columns kept: that with the smallest id.
 
     A null id counts as larger than any other; equal ids are told apart by a hash of their text, and
     of rows equal in both one stays.
     """
-    found = near_duplicates(docs, id_column, text_column)
     order = F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("text_hash"))
     kept = saved(found.groupBy("root").agg(F.min(order).alias("first")).select("first.id", "first.text_hash"))
     mark, who = free_name(docs, "text_hash"), free_name(docs, "kept_id")
@@ -271,6 +270,11 @@ def drop_near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column
     return one.drop(mark)
 
 
+def drop_near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """One row of each near-duplicate group of `docs`, as `one_of_each` picks it."""
+    return one_of_each(docs, near_duplicates(docs, id_column, text_column), id_column, text_column)
+
+
 def op1_simhash_vp(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id, fingerprint as 16 hex digits and component_id of every document."""
     return near_duplicates(table(spark, folder, "documents")).select(
