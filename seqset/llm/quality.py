@@ -17,15 +17,28 @@ from pyspark.sql import functions as F
 from seqset.llm.frames import per_batch, table
 
 LEVEL = 3
-#: From so many bytes on: the lowest and the highest ratio of a whole text. Shorter texts have no limits.
+#: Bytes, the lowest and the highest ratio of a text of so many; between them both go straight over the logarithm of the length.
+#: Shorter texts have no limits, longer ones those of the last. The highest lie between what prose gave (`documents` at sf0.1, by
+#: quarters of a doubling) and what words of random base64 digits, from 861 bytes on of letters and from 2048 on of hex digits give.
 BANDS = (
-    (128, 0.40, 1.05),
-    (256, 0.35, 0.90),
-    (512, 0.30, 0.80),
-    (1024, 0.27, 0.74),
-    (2048, 0.25, 0.70),
-    (4096, 0.22, 0.68),
-    (8192, 0.20, 0.66),
+    (128, 0.40, 0.95),
+    (181, 0.38, 0.89),
+    (256, 0.35, 0.85),
+    (362, 0.32, 0.80),
+    (512, 0.30, 0.74),
+    (608, 0.29, 0.70),
+    (724, 0.28, 0.645),
+    (861, 0.28, 0.615),
+    (1024, 0.27, 0.608),
+    (1217, 0.27, 0.585),
+    (1448, 0.26, 0.570),
+    (1722, 0.26, 0.545),
+    (2048, 0.25, 0.533),
+    (2435, 0.24, 0.528),
+    (2896, 0.23, 0.520),
+    (4096, 0.22, 0.506),
+    (8192, 0.20, 0.490),
+    (16384, 0.20, 0.470),
 )
 #: Bytes of a chunk, its limits, and the share of chunks outside them from which on a text is rejected.
 CHUNK, CHUNK_LOW, CHUNK_HIGH, CHUNK_SHARE = 4096, 0.20, 0.72, 0.25
@@ -74,6 +87,14 @@ def ratio(data: bytes, compressor: zstandard.ZstdCompressor) -> float:
     return len(compressor.compress(data)) / len(data)
 
 
+def limits(size: int) -> tuple[float, float]:
+    """The lowest and the highest usual ratio of so many bytes."""
+    if size < BANDS[0][0]:
+        return 0.0, float("inf")
+    at = np.log2([b[0] for b in BANDS])
+    return tuple(float(np.interp(np.log2(size), at, [b[k] for b in BANDS])) for k in (1, 2))
+
+
 @dataclass
 class Measures:
     n_words: int
@@ -94,7 +115,7 @@ def measure(text: str | None, compressor: zstandard.ZstdCompressor) -> Measures:
     repeats = repeated_words(found)
     failed = len(found) < LEAST_WORDS or 100 * repeats > MOST_REPEATED * len(found)
     whole = ratio(data, compressor) if data else None
-    low, high = next(((a, b) for least, a, b in reversed(BANDS) if len(data) >= least), (0.0, float("inf")))
+    low, high = limits(len(data))
     chunks = [ratio(data[i : i + CHUNK], compressor) for i in range(0, len(data) - CHUNK + 1, CHUNK)]
     outside = sum(not CHUNK_LOW <= r <= CHUNK_HIGH for r in chunks) / max(1, len(chunks))
     kept = not failed and low <= whole <= high and outside < CHUNK_SHARE
