@@ -40,8 +40,8 @@ BANDS = (
     (8192, 0.20, 0.490),
     (16384, 0.20, 0.470),
 )
-#: Bytes of a chunk, its limits, and the share of chunks outside them from which on a text is rejected.
-CHUNK, CHUNK_LOW, CHUNK_HIGH, CHUNK_SHARE = 4096, 0.20, 0.72, 0.25
+#: Bytes of the largest and the smallest chunk, and the share of chunks outside their limits from which on a text is rejected.
+CHUNK, LEAST_CHUNK, CHUNK_SHARE = 4096, 128, 0.25
 
 LEAST_WORDS, REPEAT_WINDOW, MOST_REPEATED = 10, 5, 20
 SYMBOLS = b"#*$%&|<>"
@@ -95,6 +95,20 @@ def limits(size: int) -> tuple[float, float]:
     return tuple(float(np.interp(np.log2(size), at, [b[k] for b in BANDS])) for k in (1, 2))
 
 
+def chunks(data: bytes) -> list[bytes]:
+    """Chunks that cover all of a text of twice LEAST_CHUNK or more; the last ends with the text and may overlap the one before.
+
+    They are CHUNK bytes long, or the power of two that fits a shorter text two or three times.
+    """
+    size = min(CHUNK, 1 << max(0, len(data).bit_length() - 2))
+    if size < LEAST_CHUNK:
+        return []
+    starts = [*range(0, len(data) - size + 1, size)]
+    if len(data) % size:
+        starts.append(len(data) - size)
+    return [data[i : i + size] for i in starts]
+
+
 @dataclass
 class Measures:
     n_words: int
@@ -116,8 +130,9 @@ def measure(text: str | None, compressor: zstandard.ZstdCompressor) -> Measures:
     failed = len(found) < LEAST_WORDS or 100 * repeats > MOST_REPEATED * len(found)
     whole = ratio(data, compressor) if data else None
     low, high = limits(len(data))
-    chunks = [ratio(data[i : i + CHUNK], compressor) for i in range(0, len(data) - CHUNK + 1, CHUNK)]
-    outside = sum(not CHUNK_LOW <= r <= CHUNK_HIGH for r in chunks) / max(1, len(chunks))
+    parts = chunks(data)
+    least, most = limits(len(parts[0])) if parts else (0.0, float("inf"))
+    outside = sum(not least <= ratio(part, compressor) <= most for part in parts) / max(1, len(parts))
     kept = not failed and low <= whole <= high and outside < CHUNK_SHARE
     return Measures(
         len(found), chars, len(data.translate(None, _NOT_SYMBOLS)), repeated_lines(data), repeats, failed, whole, outside, kept
@@ -128,7 +143,7 @@ def compression_bands(docs: DataFrame, id_column: str = "doc_id", text_column: s
     """(id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, ratio, chunks_outside) per row.
 
     `kept` is false where a base rule fails, where the ratio of the whole text leaves the band of its length, or
-    where CHUNK_SHARE or more of its full chunks leave theirs. A null or empty text has no words, a null
+    where CHUNK_SHARE or more of its chunks, which cover it to its end, leave theirs. A null or empty text has no words, a null
     ratio, and fails. Whole texts are measured, however long. Ids may be null or repeated: each row gives one
     row. Only the two named columns are read. No rows give no rows.
     """
