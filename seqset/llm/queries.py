@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from seqset.llm.codes import OP13_SQL, op13_grid_codes
 from seqset.llm.katz import op9_katz_lm
 from seqset.llm.mixing import op6_mix_sainte_lague
 from seqset.llm.nearest import OP10_SQL, op10_pivot_topk
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_secret_markov": op8_secret_markov,
     "op9_katz_lm": op9_katz_lm,
     "op10_pivot_topk": op10_pivot_topk,
+    "op13_grid_codes": op13_grid_codes,
 }
 
-SQL = {"op3_preference_format": OP3_SQL, "op10_pivot_topk": OP10_SQL}
+SQL = {"op3_preference_format": OP3_SQL, "op10_pivot_topk": OP10_SQL, "op13_grid_codes": OP13_SQL}
