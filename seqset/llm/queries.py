@@ -7,8 +7,10 @@ from seqset.llm.katz import op9_katz_lm
 from seqset.llm.mixing import op6_mix_sainte_lague
 from seqset.llm.nearest import OP10_SQL, op10_pivot_topk
 from seqset.llm.packing import op5_pack_bfd
+from seqset.llm.partenum import op11_partenum_join
 from seqset.llm.preference import OP3_SQL, op3_preference_format
 from seqset.llm.quality import op2_compression_bands
+from seqset.llm.repair import OP12_SQL, op12_dawg_repair
 from seqset.llm.secrets import op8_secret_markov
 from seqset.llm.sharding import op7_shard_splitters
 from seqset.llm.simhash import op1_simhash_vp
@@ -25,7 +27,9 @@ QUERIES = {
     "op8_secret_markov": op8_secret_markov,
     "op9_katz_lm": op9_katz_lm,
     "op10_pivot_topk": op10_pivot_topk,
+    "op11_partenum_join": op11_partenum_join,
+    "op12_dawg_repair": op12_dawg_repair,
     "op13_grid_codes": op13_grid_codes,
 }
 
-SQL = {"op3_preference_format": OP3_SQL, "op10_pivot_topk": OP10_SQL, "op13_grid_codes": OP13_SQL}
+SQL = {"op3_preference_format": OP3_SQL, "op10_pivot_topk": OP10_SQL, "op12_dawg_repair": OP12_SQL, "op13_grid_codes": OP13_SQL}
