@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from seqset.functions.render import render_from, render_request
 from seqset.operators import covers as C
+from seqset.operators import families as Z
 from seqset.operators import membership as M
 from seqset.operators import termination as T
 from seqset.plans.base import Query, spread, table
@@ -208,6 +209,48 @@ RANK_SQL = (
 )
 
 
+MANY, BEST = 12, 3
+
+
+def covers_overflow(spark: SparkSession, d: str) -> DataFrame:
+    """Orders with at most MANY covers with all of them, the others with their number alone."""
+    wanted = table(spark, d, "lineitem").select("l_orderkey", "l_partkey")
+    found, more = Z.counted_covers(wanted, regional_stock(spark, d), "l_orderkey", "l_partkey", "n_regionkey", max_covers=MANY)
+    listed = found.select("l_orderkey", _joined("cover"), "rank", F.col("n_covers").cast("bigint").alias("n_covers"))
+    none = [F.lit(None).cast("string").alias("cover"), F.lit(None).cast("bigint").alias("rank")]
+    return listed.unionByName(more.select("l_orderkey", *none, F.col("n_covers").cast("bigint").alias("n_covers")))
+
+
+def best_covers(spark: SparkSession, d: str) -> DataFrame:
+    """The first covers of each order in the order of `rank_by_size`, and how many there are."""
+    wanted = table(spark, d, "lineitem").select("l_orderkey", "l_partkey")
+    found = Z.best_covers(wanted, regional_stock(spark, d), "l_orderkey", "l_partkey", "n_regionkey", BEST)
+    return found.select("l_orderkey", _joined("cover"), "rank", F.col("n_covers").cast("bigint").alias("n_covers"))
+
+
+def best_pinned_covers(spark: SparkSession, d: str) -> DataFrame:
+    """The first answers of each order whose returned parts must share a region."""
+    lines = _qualified_lines(spark, d)
+    found = Z.best_covers(lines, regional_stock(spark, d), "l_orderkey", "l_partkey", "n_regionkey", BEST, "qualifier")
+    return found.select("l_orderkey", _joined("cover"), "rank", F.col("n_covers").cast("bigint").alias("n_covers"))
+
+
+RANKED_CTE = COVERS_CTE.format(items="lineitem") + """, ranked AS (
+    SELECT l_orderkey, array_to_string(cover, ',') AS cover, row_number() OVER (PARTITION BY l_orderkey ORDER BY size DESC, cover) AS rank,
+           count(*) OVER (PARTITION BY l_orderkey) AS n_covers FROM covers
+)"""
+OVERFLOW_SQL = f"""WITH RECURSIVE {RANKED_CTE}
+SELECT l_orderkey, cover, rank, n_covers FROM ranked WHERE n_covers <= {MANY}
+UNION ALL SELECT DISTINCT l_orderkey, NULL, NULL, n_covers FROM ranked WHERE n_covers > {MANY}"""
+BEST_SQL = f"WITH RECURSIVE {RANKED_CTE} SELECT l_orderkey, cover, rank, n_covers FROM ranked WHERE rank <= {BEST}"
+
+
+def _qualified_lines(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "lineitem").select(
+        "l_orderkey", "l_partkey", F.when(F.col("l_returnflag") == "R", "returned").alias("qualifier")
+    )
+
+
 def pinned_covers(spark: SparkSession, d: str) -> DataFrame:
     lines = table(spark, d, "lineitem").select(
         "l_orderkey", "l_partkey", F.when(F.col("l_returnflag") == "R", "returned").alias("qualifier")
@@ -239,6 +282,11 @@ FROM answers"""
 )
 
 
+BEST_PINNED_SQL = PINNED_SQL[: PINNED_SQL.rindex("SELECT l_orderkey, size, row_number()")] + f"""
+SELECT l_orderkey, array_to_string(cover, ',') AS cover, row_number() OVER w AS rank, count(*) OVER (PARTITION BY l_orderkey) AS n_covers
+FROM answers WINDOW w AS (PARTITION BY l_orderkey ORDER BY size DESC, cover) QUALIFY row_number() OVER w <= {BEST}"""
+
+
 def terminate_requests(spark: SparkSession, d: str) -> DataFrame:
     """Orders as requests for their parts; finished ones already name a source."""
     orders = table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
@@ -370,6 +418,9 @@ QUERIES = {
     "covers": Query(covers, COVERS_SQL),
     "covers_grown": Query(covers_grown, COVERS_SQL),
     "rank_by_size": Query(rank_by_size, RANK_SQL),
+    "covers_overflow": Query(covers_overflow, OVERFLOW_SQL),
+    "best_covers": Query(best_covers, BEST_SQL),
+    "best_pinned_covers": Query(best_pinned_covers, BEST_PINNED_SQL),
     "pinned_covers": Query(pinned_covers, PINNED_SQL),
     "terminate_requests": Query(
         terminate_requests, PINNED_SQL[: PINNED_SQL.rindex("SELECT l_orderkey, size, row_number()")] + TERMINATE_TAIL
