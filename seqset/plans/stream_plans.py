@@ -6,6 +6,8 @@ all are read, and returns what the stream wrote.
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,6 +55,32 @@ def stream_correlate(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.schema(matched.schema).parquet(f"{folder}/out")
 
 
+def first_answers(spark: SparkSession, d: str) -> DataFrame:
+    """Each view of a user with the user's first purchase within 12 hours, if any; the streams arrive in four slices of time.
+
+    Behind the last slice a row without user moves the time on, so that the last views are settled too.
+    """
+    folder = work_dir(spark)
+    events = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    views = events.filter(F.col("event_type") == "view").select("user_id", F.col("ts").alias("viewed"), F.col("event_id").alias("view_id"))
+    purchases = events.filter(F.col("event_type") == "purchase").select("user_id", F.col("ts").alias("bought"), F.col("event_id").alias("purchase_id"))
+    times = [*events.agg(F.percentile_approx("ts", [0.25, 0.5, 0.75, 1.0])).first()[0]]
+    later = [datetime.timedelta(days=days) for days in (7, 14)]
+    for k, end in enumerate([*times, *(times[-1] + x for x in later)]):
+        for name, side, at in (("views", views, "viewed"), ("purchases", purchases, "bought")):
+            if k >= len(times):
+                part = spark.createDataFrame([(None, end, None)], side.schema)
+            else:
+                part = side.filter((F.col(at) <= end) & (F.col(at) > times[k - 1] if k else F.lit(True)))
+            part.write.mode("append").parquet(f"{folder}/{name}")
+        found = R.first_answers(
+            R.request_source(spark, f"{folder}/views", views.schema), R.request_source(spark, f"{folder}/purchases", purchases.schema),
+            "user_id", "viewed", "bought", "12 hours", "purchase_id",
+        ).select("view_id", "purchase_id")
+        R.response_sink(found, "view_id", f"{folder}/out", f"{folder}/state").awaitTermination()
+    return spark.read.schema(found.schema).parquet(f"{folder}/out")
+
+
 def _payloads(spark: SparkSession, d: str) -> DataFrame:
     """Requests made of events: calls, calls with id, exits, unknown verbs, damaged ones."""
     kind = F.col("event_type")
@@ -164,6 +192,12 @@ QUERIES = {
         "SELECT v.event_id AS view_id, p.event_id AS purchase_id FROM events v JOIN events p ON p.user_id = v.user_id "
         "AND p.ts BETWEEN v.ts AND v.ts + INTERVAL 12 HOUR WHERE v.event_type = 'view' AND p.event_type = 'purchase'",
     ),
+    "first_answers": Query(
+        first_answers,
+        """SELECT v.event_id AS view_id, (SELECT arg_min(p.event_id, {'t': p.ts, 'id': p.event_id}) FROM events p
+           WHERE p.user_id = v.user_id AND p.event_type = 'purchase' AND p.ts BETWEEN v.ts AND v.ts + INTERVAL 12 HOUR) AS purchase_id
+           FROM events v WHERE v.event_type = 'view'""",
+    ),
     "route_requests": Query(route_requests, f"WITH {ROUTES} SELECT request_id, token, verb, route, args FROM r"),
     "request_sessions": Query(
         request_sessions,

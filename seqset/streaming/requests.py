@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import bisect
+import pickle
 import re
 from collections.abc import Callable, Mapping
+from functools import reduce
 
+import pandas as pd
+from py4j.protocol import Py4JError
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from seqset.session import saved
 
@@ -18,7 +24,11 @@ REQUEST = "token bigint, verb string, args array<string>, damaged string"
 Answerer = Callable[[DataFrame], DataFrame]
 
 # SQL's classes of data exceptions and of exceptions in a user's function
-_DATA_ERROR = re.compile(r"SQLSTATE: (22|38|39)")
+_DATA_ERRORS = ("22", "38", "39")
+_DATA_ERROR = re.compile(rf"SQLSTATE: ({'|'.join(_DATA_ERRORS)})")
+
+#: Jobs that a verb's failing calls may cost in one batch.
+ATTEMPTS = 512
 
 
 def request_source(
@@ -90,15 +100,62 @@ def until_exit(routed: DataFrame, session: str, order: list[str], ended: DataFra
     return found.withColumn("route", F.when(late, "ended").otherwise(F.col("route"))).select(*routed.columns)
 
 
-def answer_requests(routed: DataFrame, registry: Mapping[str, Answerer], evaluate: Answerer = lambda df: df) -> DataFrame:
+def _is_data_error(failure: PySparkException) -> bool:
+    """Whether a job failed on its data or in a user's function, by the SQLSTATE of the failure or of what caused it."""
+    state, cause = failure.getSqlState(), getattr(failure, "_origin", None)
+    while state is None and cause is not None:
+        try:
+            state = cause.getSqlState()
+        except Py4JError:  # not one of Spark's own exceptions
+            pass
+        cause = cause.getCause()
+    # the cause of a failed task may be known by its text only
+    return state[:2] in _DATA_ERRORS if state else bool(_DATA_ERROR.search(str(failure)))
+
+
+def _without_failing(calls: DataFrame, run: Callable[[DataFrame], DataFrame | None], attempts: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Answers of all calls but those that fail, and those calls, given that `run` fails (returns null) on all of them together.
+
+    Calls are halved by a hash of their id until a failing one is alone. A half of a failing part need not be run if the other
+    half passes. After `attempts` jobs the parts that still fail count as failing whole.
+    """
+    number = F.xxhash64("request_id")
+    given, failing, todo = [], [], [(calls, 0)]
+    while todo:
+        part, depth = todo.pop()
+        least, most = part.agg(F.min("request_id"), F.max("request_id")).first()
+        attempts -= 1
+        if least == most or depth == 63 or attempts <= 0:
+            failing.append(part)
+            continue
+        bit = number.bitwiseAND(F.lit(1 << depth))
+        one, other = part.filter(bit == 0), part.filter(bit != 0)
+        answers, attempts = run(one), attempts - 1
+        if answers is not None:
+            given.append(answers)
+            todo.append((other, depth + 1))
+            continue
+        todo.append((one, depth + 1))
+        answers, attempts = run(other), attempts - 1
+        if answers is not None:
+            given.append(answers)
+        else:
+            todo.append((other, depth + 1))
+    return given, failing
+
+
+def answer_requests(
+    routed: DataFrame, registry: Mapping[str, Answerer], evaluate: Answerer = lambda df: df, attempts: int = ATTEMPTS
+) -> DataFrame:
     """What becomes of each request: rows (request_id, token, answer, error).
 
     A verb's function maps its requests to rows (request_id, answer) or (request_id, answer, error); a row with neither
     declares that there is nothing to say. Requests that get no row are errors `unanswered`; malformed, unknown and ended
     ones are errors of that name; an exit has neither answer nor error. Functions refuse a request by its error and use
     `try_` functions on what clients send. With an `evaluate` that runs a function's rows, a function that fails on
-    the data all the same makes errors `failed` of its verb's requests, and the other verbs go on; other
-    failures, such as lost executors, are raised.
+    the data all the same is run again on halves of its calls until the failing ones are alone: they become errors `failed`, and all
+    others are answered as ever. A verb has `attempts` jobs for that in a batch; beyond, calls among which some fail become `failed`
+    together. Other failures, such as lost executors, are raised.
     """
     calls = routed.filter(F.col("route").isin("call", "token_call"))
     refused = F.when(F.col("route") != "exit", F.col("route"))
@@ -108,14 +165,25 @@ def answer_requests(routed: DataFrame, registry: Mapping[str, Answerer], evaluat
     for verb, function in registry.items():
         own = calls.filter(F.col("verb") == verb)
         asked = own.select("request_id", "token")
-        try:
-            given = function(own)
-            error = F.col("error") if "error" in given.columns else F.lit(None).cast("string")
-            given = evaluate(given.select(F.col("request_id").alias("_id"), "answer", error.alias("error")))
-        except PySparkException as failure:
-            if not _DATA_ERROR.search(str(failure)):
-                raise
-            given = asked.select(F.col("request_id").alias("_id"), F.lit(None).cast("string").alias("answer"), F.lit("failed").alias("error"))
+
+        def run(part: DataFrame, function: Answerer = function) -> DataFrame | None:
+            try:
+                given = function(part)
+                error = F.col("error") if "error" in given.columns else F.lit(None).cast("string")
+                return evaluate(given.select(F.col("request_id").alias("_id"), "answer", error.alias("error")))
+            except PySparkException as failure:
+                if not _is_data_error(failure):
+                    raise
+                return None
+
+        given = run(own)
+        if given is None:
+            answered, failing = _without_failing(own, run, attempts)
+            failed = [
+                part.select(F.col("request_id").alias("_id"), F.lit(None).cast("string").alias("answer"), F.lit("failed").alias("error"))
+                for part in failing
+            ]
+            given = reduce(DataFrame.unionByName, answered + failed)
         joined = asked.join(given, F.col("request_id") == F.col("_id"), "left")
         error = F.when(F.col("_id").isNull(), "unanswered").otherwise(F.col("error"))
         answer = F.when(error.isNull(), F.col("answer"))
@@ -125,12 +193,14 @@ def answer_requests(routed: DataFrame, registry: Mapping[str, Answerer], evaluat
 
 def serve(
     stream: DataFrame, registry: Mapping[str, Answerer], folder: str, checkpoint: str,
-    session: str | None = None, order: list[str] | None = None,
+    session: str | None = None, order: list[str] | None = None, time: str | None = None, forget: str | None = None,
 ) -> StreamingQuery:
     """Route and answer a stream of requests(request_id, payload) into three outputs.
 
     `answers` has (request_id, token, answer), `errors` (request_id, token, error), `silent` (request_id, token); each
-    request is in exactly one of them. With `session` and `order` columns an exit ends its session, in later batches too. Each
+    request is in exactly one of them. With `session` and `order` columns an exit ends its session, in later batches too. Ended sessions
+    are a table that each batch reads from the one before and hands on. With a `time` column and an interval `forget`, a session is forgotten when its exit lies so
+    far behind the newest request; its name may then be used anew, and the table holds no more than what ended in that time. Each
     batch writes folders of its own number, so a batch that is run again replaces its own output.
     """
     spark = stream.sparkSession
@@ -138,14 +208,19 @@ def serve(
     def batch(df: DataFrame, number: int) -> None:
         routed = route_requests(df, "payload", list(registry))
         if session is not None:
-            kind = df.schema[session].dataType
-            ended = None
-            if number:
-                known = T.StructType([T.StructField(session, kind), T.StructField("batch", T.LongType())])
-                ended = spark.read.schema(known).parquet(f"{folder}/ended").filter(F.col("batch") < number)
+            known = T.StructType([T.StructField(session, df.schema[session].dataType), T.StructField("ended_at", T.TimestampType())])
+            # one folder, whatever the number of batches
+            ended = spark.read.schema(known).parquet(f"{folder}/ended/batch={number - 1}") if number else None
             # read once for each verb
             routed = saved(until_exit(routed, session, order, ended))
-            over = routed.filter(F.col("route") == "exit").select(session).distinct()
+            at = F.col(time).cast("timestamp") if time else F.lit(None).cast("timestamp")
+            over = routed.filter((F.col("route") == "exit") & F.col(session).isNotNull()).groupBy(session).agg(F.min(at).alias("ended_at"))
+            if ended is not None:
+                over = over.unionByName(ended).groupBy(session).agg(F.min("ended_at").alias("ended_at"))
+            if time and forget:
+                newest = routed.agg(F.max(at)).first()[0]
+                if newest is not None:
+                    over = over.filter(F.col("ended_at") + F.expr(f"INTERVAL {forget}") >= F.lit(newest))
             over.write.mode("overwrite").parquet(f"{folder}/ended/batch={number}")
         else:
             routed = saved(routed)
@@ -194,6 +269,99 @@ def stream_correlate(
     return asking.join(answers, on, how).drop("_key", "_salt", "_place")
 
 
+class _Waiting:
+    """The open requests and the answers of one key, as first_answers keeps them between batches."""
+
+    def __init__(self, held: bytes | None):
+        self.requests, self.answers = pickle.loads(held) if held else ([], [])
+
+    def add(self, rows) -> None:
+        for kind, at, limit, tie, body in rows:
+            if kind == 0:
+                self.requests.append((limit, at, body))
+            elif kind == 1:
+                bisect.insort(self.answers, (at, tie, body))
+
+    def settled(self, now: int) -> list[tuple[str, str | None]]:
+        """Requests whose limit has passed, each with its first answer; answers that no request can want any more go."""
+        due = [r for r in self.requests if r[0] <= now]
+        self.requests = [r for r in self.requests if r[0] > now]
+        out = []
+        for limit, at, body in due:
+            k = bisect.bisect_left(self.answers, (at,))
+            found = k < len(self.answers) and self.answers[k][0] <= limit
+            out.append((body, self.answers[k][2] if found else None))
+        oldest = min([now + 1, *(at for _, at, _ in self.requests)])
+        del self.answers[: bisect.bisect_left(self.answers, (oldest,))]
+        return out
+
+    def until(self) -> int | None:
+        """When something is to be done here next, in microseconds."""
+        if self.requests:
+            return min(r[0] for r in self.requests)
+        return self.answers[-1][0] if self.answers else None
+
+    def held(self) -> bytes:
+        return pickle.dumps((self.requests, self.answers))
+
+
+def _wait(key, batches, state: GroupState):
+    """One key's step: take in its new rows, give out what is settled, and set a timer for the next limit."""
+    waiting = _Waiting(bytes(state.get[0]) if state.exists else None)
+    if not state.hasTimedOut:
+        for rows in batches:
+            waiting.add(rows[["kind", "at", "limit", "tie", "body"]].itertuples(index=False, name=None))
+    mark = state.getCurrentWatermarkMs()
+    settled = waiting.settled(mark * 1000)
+    until = waiting.until()
+    if until is None:
+        state.remove()
+    else:
+        state.update((waiting.held(),))
+        state.setTimeoutTimestamp(max(-(-until // 1000), mark + 1))
+    yield pd.DataFrame(settled, columns=["request", "answer"], dtype=object)
+
+
+def first_answers(
+    requests: DataFrame, answers: DataFrame, key: str, asked: str, answered: str, within: str, answer_id: str,
+    late: str = "1 hour", salts: int = 1,
+) -> DataFrame:
+    """One row per request of a stream: its columns and those of its first answer, or nulls if none came in time.
+
+    An answer has the request's key and a time from `asked` to `within` after it; the first is the earliest, of several the one with the least
+    `answer_id` (an integer), then the least row. A request's row comes when the watermark, `late` behind the slower stream, has passed its limit. Rows that
+    come later than that are dropped, and so are answers that no request asked for. An answer may arrive before its request, and may answer
+    several. Rows without a key or a time only move the watermark. Columns of both sides must have different names.
+
+    State is kept per key with an event-time timer: open requests, and answers until no request can want them. Where a key has
+    very many requests, they are dealt over `salts` tasks, each of which sees the key's answers. Rows travel as JSON.
+    """
+    as_text = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "ignoreNullFields": "true"}
+
+    def side(df: DataFrame, kind: int, time: str, limit: Column, tie: Column, salt: Column) -> DataFrame:
+        at = F.col(time).cast("timestamp")
+        body = F.to_json(F.struct(*df.columns), as_text)
+        # not filtered out: a filter would be moved in front of the watermark, which these rows are to move
+        of_kind = F.when(F.col(key).isNull() | at.isNull(), -1).otherwise(kind)
+        return df.select(
+            F.col(key).alias("key"), at.alias("time"), of_kind.alias("kind"), F.coalesce(F.unix_micros(at), none).alias("at"),
+            F.coalesce(limit, none).alias("limit"), tie.alias("tie"), body.alias("body"), salt.alias("salt"),
+        ).withWatermark("time", late)
+
+    none = F.lit(0).cast("bigint")
+    limit = F.unix_micros(F.col(asked).cast("timestamp") + F.expr(f"INTERVAL {within}"))
+    tie = F.coalesce(F.col(answer_id).cast("bigint"), F.lit(2**63 - 1))
+    asking = side(requests, 0, asked, limit, none, F.pmod(F.xxhash64(*requests.columns), F.lit(salts)))
+    every = F.explode(F.array(*[F.lit(i).cast("bigint") for i in range(salts)]))
+    answering = side(answers, 1, answered, none, tie, every)
+    found = asking.union(answering).groupBy("key", "salt").applyInPandasWithState(
+        _wait, "request string, answer string", "held binary", "append", GroupStateTimeout.EventTimeTimeout
+    )
+    own, other = (F.from_json(c, df.schema, as_text).alias(c) for c, df in (("request", requests), ("answer", answers)))
+    read = found.select(own, other)
+    return read.select(*[F.col("request")[c].alias(c) for c in requests.columns], *[F.col("answer")[c].alias(c) for c in answers.columns if c != key])
+
+
 def refresh_static(
     stream: DataFrame,
     lookup: Callable[[], DataFrame],
