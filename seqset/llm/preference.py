@@ -6,9 +6,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqset.llm.frames import table
+from seqset.operators.running import Running, ordered, running
+from seqset.session import saved
 
 # the turn format: role and text between marks
 OPEN, BETWEEN, CLOSE = "<|im_start|>", "\n", "<|im_end|>\n"
+#: Conversations whose neighbours one task looks for.
+NEIGHBOURS = 1_000_000
 
 
 def _turns(side: DataFrame, id_column: str, name: str) -> DataFrame:
@@ -69,18 +73,32 @@ def preference_pairs(chosen: DataFrame, rejected: DataFrame, id_column: str = "c
     )
 
 
-def with_foreign_answers(turns: DataFrame) -> DataFrame:
-    """Conversations whose last assistant turn has the text of that of the conversation with the next id; others are left out."""
-    last = (
-        turns.where((F.col("role") == "assistant") & F.col("conv_id").isNotNull() & F.col("turn").isNotNull())
-        .groupBy("conv_id")
-        .agg(F.max(F.struct("turn", "text")).alias("last"))
+def with_foreign_answers(turns: DataFrame, rows: int = NEIGHBOURS) -> DataFrame:
+    """Every conversation with the last answer of the next one, in the order of ids, that has any; behind the last comes the first.
+
+    The text of its own last assistant turn becomes the foreign one; without such a turn the foreign answer is one more turn behind
+    the last. If no conversation has an answer, all stay as they are. Assistant turns without a number are no answers; rows without an id are left
+    out. Neighbours are found among ids alone, in runs of about `rows` of them.
+    """
+    present = turns.where(F.col("conv_id").isNotNull())
+    answer = (F.col("role") == "assistant") & F.col("turn").isNotNull()
+    each = saved(
+        present.groupBy("conv_id").agg(F.max("turn").alias("end"), F.max(F.when(answer, F.struct("turn", "text"))).alias("last"))
     )
-    foreign = last.select((F.col("conv_id") - 1).alias("conv_id"), F.col("last.text").alias("other"))
-    own = last.select("conv_id", F.col("last.turn").alias("last_turn"))
-    answer = own.join(foreign, "conv_id")
-    text = F.when((F.col("turn") == F.col("last_turn")) & (F.col("role") == "assistant"), F.col("other")).otherwise(F.col("text"))
-    return turns.join(answer, "conv_id").select("conv_id", "turn", "role", text.alias("text"))
+    ids = each.select("conv_id", F.when(F.col("last").isNotNull(), F.col("conv_id")).alias("source"), F.lit(0).alias("all"))
+    first = ids.agg(F.min("source")).first()[0]
+    after = running(ordered(ids, "all", "conv_id", rows), reverse=True, strict=True, next=Running("last", F.col("source"))).done()
+    neighbour = after.select("conv_id", F.coalesce("next", F.lit(first).cast(ids.schema["conv_id"].dataType)).alias("next"))
+    foreign = each.where("last IS NOT NULL").select(F.col("conv_id").alias("next"), F.struct(F.col("last.text").alias("text")).alias("other"))
+    told = each.select("conv_id", "end", F.col("last.turn").alias("own")).join(neighbour.join(foreign, "next").select("conv_id", "other"), "conv_id", "left")
+    told = saved(told)
+    mine = (F.col("turn") == F.col("own")) & (F.col("role") == "assistant") & F.col("other").isNotNull()
+    text = F.when(mine, F.col("other.text")).otherwise(F.col("text"))
+    swapped = present.join(told, "conv_id").select("conv_id", "turn", "role", text.alias("text"))
+    more = told.where("own IS NULL AND other IS NOT NULL").select(
+        "conv_id", (F.coalesce("end", F.lit(0)) + 1).cast(turns.schema["turn"].dataType).alias("turn"), F.lit("assistant").alias("role"), F.col("other.text").alias("text")
+    )
+    return swapped.unionByName(more)
 
 
 def _mask(column: str) -> Column:
@@ -103,16 +121,26 @@ def op3_preference_format(spark: SparkSession, folder: str) -> DataFrame:
 
 
 OP3_SQL = """
-WITH last AS (
-  SELECT conv_id, max(turn) AS last_turn, max_by(text, turn) AS last_text FROM conversations WHERE role = 'assistant' GROUP BY conv_id
+WITH present AS (
+  SELECT * FROM conversations WHERE conv_id IS NOT NULL
+), each AS (
+  SELECT conv_id, max(turn) AS last_of_all, max({'turn': turn, 'text': text}) FILTER (WHERE role = 'assistant' AND turn IS NOT NULL) AS own
+  FROM present GROUP BY conv_id
+), next AS (
+  SELECT conv_id, last_of_all, own.turn AS last_turn,
+         coalesce(min(CASE WHEN own IS NOT NULL THEN conv_id END) OVER (ORDER BY conv_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING),
+                  min(CASE WHEN own IS NOT NULL THEN conv_id END) OVER ()) AS next_id
+  FROM each
 ), swap AS (
-  SELECT a.conv_id, a.last_turn, b.last_text AS other FROM last a JOIN last b ON b.conv_id = a.conv_id + 1
+  SELECT n.*, e.own.text AS other FROM next n LEFT JOIN each e ON e.conv_id = n.next_id
 ), sides AS (
-  SELECT 'c' AS side, c.conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations c JOIN swap USING (conv_id)
+  SELECT 'c' AS side, conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM present
   UNION ALL
   SELECT 'r', c.conv_id, turn, coalesce(role, ''),
          coalesce(CASE WHEN turn = last_turn AND role = 'assistant' THEN other ELSE text END, '')
-  FROM conversations c JOIN swap USING (conv_id)
+  FROM present c JOIN swap USING (conv_id)
+  UNION ALL
+  SELECT 'r', conv_id, coalesce(last_of_all, 0) + 1, 'assistant', coalesce(other, '') FROM swap WHERE last_turn IS NULL AND next_id IS NOT NULL
 ), placed AS (
   SELECT *, row_number() OVER (PARTITION BY side, conv_id ORDER BY turn, role, text) AS place FROM sides
 ), differing AS (
