@@ -4,12 +4,13 @@ Records are ordered by a hash of their text, so that equal texts lie together. A
 keys gives splitters at its quantiles, many for each shard. The exact bytes of every range are then counted,
 and ranges in which a shard ends, or that are overfull, are divided further by new samples, until no shard
 can miss its share by more than a small part. Only a text whose copies alone are heavy may be divided between shards;
-its copies are then ordered by a hash of their id.
+its copies are then ordered by a hash of their id, and copies with one id by a number of their own.
 """
 
 from __future__ import annotations
 
 import bisect
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -21,8 +22,8 @@ from seqset.llm.frames import per_batch, table
 from seqset.session import saved
 
 SHARDS = 16
-#: Sampled keys of a round, ranges per shard, and rounds at most.
-SAMPLE, RANGES, ROUNDS = 8192, 32, 6
+#: Sampled keys of a round, and ranges per shard.
+SAMPLE, RANGES = 8192, 32
 #: Bytes of a shard, in parts of its share, that it may be off; copies of one text heavier than this are divided.
 TOLERANCE = 0.01
 #: About the bytes of a range in which records are numbered.
@@ -38,14 +39,18 @@ def _keyed(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
         F.crc32(text.cast("binary")).alias("text_crc32"),
         F.xxhash64(text).alias("text_hash"),
         F.xxhash64(F.col(id_column), F.lit(SEED)).alias("id_hash"),
+        # written with the row, so that it stays the same
+        F.monotonically_increasing_id().alias("row"),
     )
 
 
-def _with_key(rows: DataFrame, heavy: list[int]) -> DataFrame:
-    """The key as 32 hex digits: hash of the text, then, for heavy texts only, hash of the id."""
-    own = F.col("text_hash").isin(heavy) if heavy else F.lit(False)
+def _with_key(rows: DataFrame, heavy: list[int], equal: list[int]) -> DataFrame:
+    """The key as 48 hex digits: hash of the text; for heavy texts also hash of the id; for heavy pairs of both also hash of the row's number."""
     hexed = lambda c: F.lpad(F.hex(c), 16, "0")
-    return rows.withColumn("key", F.concat(hexed(F.col("text_hash")), F.when(own, hexed(F.col("id_hash"))).otherwise("0" * 16)))
+    inside = lambda c, some: c.isin(some) if some else F.lit(False)
+    by_id = F.when(inside(F.col("text_hash"), heavy), hexed(F.col("id_hash"))).otherwise("0" * 16)
+    by_row = F.when(inside(F.xxhash64("text_hash", "id_hash"), equal), hexed(F.xxhash64("row"))).otherwise("0" * 16)
+    return rows.withColumn("key", F.concat(hexed(F.col("text_hash")), by_id, by_row))
 
 
 def _ranged(rows: DataFrame, splitters: list[str]) -> DataFrame:
@@ -54,15 +59,15 @@ def _ranged(rows: DataFrame, splitters: list[str]) -> DataFrame:
 
     @F.pandas_udf("bigint")
     def number(keys):
-        bounds = np.array(shared.value, dtype="S32")
-        return pd.Series(np.searchsorted(bounds, keys.to_numpy().astype("S32"), side="right"))
+        bounds = np.array(shared.value, dtype="S48")
+        return pd.Series(np.searchsorted(bounds, keys.to_numpy().astype("S48"), side="right"))
 
     return rows.withColumn("range", number("key"))
 
 
 def _sampled(rows: DataFrame, total: int, wanted: int, seed: int) -> list[tuple[str, float]]:
     """About `wanted` keys with weights, drawn by size: a record of `size` bytes is in with a chance in proportion to it."""
-    dealt = F.pmod(F.xxhash64("key", "id", F.lit(seed)), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    dealt = F.pmod(F.xxhash64("row", F.lit(seed)), F.lit(1 << 40)) / F.lit(float(1 << 40))
     chance = F.least(F.lit(1.0), F.col("size") * F.lit(wanted / max(1, total)))
     drawn = rows.where(dealt < chance).select("key", (F.col("size") / chance).alias("weight"))
     return [(r["key"], r["weight"]) for r in drawn.groupBy("key").agg(F.sum("weight").alias("weight")).collect()]
@@ -86,12 +91,15 @@ def _bytes(rows: DataFrame, splitters: list[str]) -> np.ndarray:
 
 
 def splitters_of(rows: DataFrame, shards: int) -> tuple[list[str], np.ndarray]:
-    """Splitters of many ranges and the exact bytes of each; every shard can end close to its share at one of them."""
+    """Splitters of many ranges and the exact bytes of each; every shard can end close to its share at one of them.
+
+    Ranges are divided until that holds, or until samples of what is still too wide give no new splitter: then its rows share one key.
+    """
     total = rows.agg(F.sum("size")).first()[0] or 0
     parts = shards * RANGES + -(-total // RANGE_BYTES)
     splitters = _quantiles(_sampled(rows, total, max(SAMPLE, 16 * parts), SEED), parts)
     sizes = _bytes(rows, splitters)
-    for round in range(1, ROUNDS):
+    for round in count(1):
         # a range is overfull where a shard ends in it far from both its ends, or where it is much above the mean
         sums = np.concatenate([[0], np.cumsum(sizes)])
         wide = set(np.flatnonzero(sizes > 4 * total / max(1, parts)).tolist())
@@ -136,9 +144,12 @@ def shard_by_splitters(docs: DataFrame, shards: int = SHARDS, id_column: str = "
     """
     rows = saved(_keyed(docs, id_column, text_column))
     total = rows.agg(F.sum("size")).first()[0] or 0
-    weights = rows.groupBy("text_hash").agg(F.sum("size").alias("size"))
-    heavy = weights.where(F.col("size") > TOLERANCE * total / shards).select("text_hash")
-    keyed = _with_key(rows, [r[0] for r in heavy.collect()])  # at most shards / TOLERANCE
+    much = F.col("size") > TOLERANCE * total / shards
+    of_text = rows.groupBy("text_hash").agg(F.sum("size").alias("size")).where(much).select("text_hash")
+    heavy = [r[0] for r in of_text.collect()]  # at most shards / TOLERANCE, and so below
+    of_pair = rows.where(F.col("text_hash").isin(heavy)).groupBy("text_hash", "id_hash").agg(F.sum("size").alias("size")) if heavy else None
+    equal = [r[0] for r in of_pair.where(much).select(F.xxhash64("text_hash", "id_hash")).collect()] if heavy else []
+    keyed = _with_key(rows, heavy, equal)
     splitters, sizes = splitters_of(keyed, shards)
     shard = shard_of_ranges(sizes, shards)
 
@@ -150,7 +161,7 @@ def shard_by_splitters(docs: DataFrame, shards: int = SHARDS, id_column: str = "
         filled[s] += counts.get(k, 0)
     shared = docs.sparkSession.sparkContext.broadcast((shard.astype(np.int64), bases))
 
-    in_range = Window.partitionBy("range").orderBy("key", "id_hash", "id")
+    in_range = Window.partitionBy("range").orderBy("key", "id_hash", "id", "row")
     numbered = ranged.withColumn("place", F.row_number().over(in_range) - 1)
     kind = docs.schema[id_column].dataType.simpleString()
 
