@@ -106,16 +106,17 @@ def mix(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", s
     null last, and weigh 5, 2, 1, repeating. A null text has no words and gives none; a source without words has
     target 0. Repeated rows count each. The order inside a shard is by a hash of id and text, then id and size, so
     that reruns agree. Only the three named columns are read. The driver sees one row per source and one per
-    SHARD_WORDS words. No rows give no rows.
+    SHARD_WORDS words and rows. No rows give no rows.
     """
     spark = docs.sparkSession
     rows = saved(_sizes(docs, id_column, text_column, source_column))
-    sums = rows.groupBy("source").agg(F.sum("size").alias("size")).collect()
+    sums = rows.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("rows")).collect()
     sums.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
     sizes = [r["size"] for r in sums]
     wanted = targets(sizes, [WEIGHTS[k % len(WEIGHTS)] for k in range(len(sums))])
 
-    shards = [max(1, -(-s // SHARD_WORDS)) for s in sizes]
+    # rows count too: very many empty texts are no one task
+    shards = [max(1, -(-(r["size"] + r["rows"]) // SHARD_WORDS)) for r in sums]
     of_source = spark.createDataFrame(
         [(r["source"], s, float(t), n) for r, s, t, n in zip(sums, sizes, wanted, shards)],
         "of string, source_size bigint, target double, shards bigint",
@@ -178,16 +179,16 @@ def mixed_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str
     number = Window.partitionBy("id", "text_hash").orderBy("whole", "first", "last")
     plan = plan.withColumn("number", F.row_number().over(number))
     plan = plan.where("taken > 0").select(*[F.col(c).alias(n) for c, n in names.items()], F.col("number").alias(free_name(docs, "mix_number")))
-    again, mark = free_name(docs, "mix_number"), free_name(docs, "mix_hash")
+    again, mark, place = (free_name(docs, c) for c in ("mix_number", "mix_hash", "mix_place"))
     own = docs.withColumn(mark, F.xxhash64(text_column))
     repeated = plan.where(F.col(again) > 1).limit(1).count()
     if repeated:
-        own = own.withColumn(again + "_own", F.row_number().over(Window.partitionBy(id_column, mark).orderBy(mark)))
+        own = own.withColumn(place, F.row_number().over(Window.partitionBy(id_column, mark).orderBy(mark)))
     else:
-        own = own.withColumn(again + "_own", F.lit(1))
+        own = own.withColumn(place, F.lit(1))
     joined = own.join(
         plan,
-        F.col(id_column).eqNullSafe(F.col(names["id"])) & (F.col(mark) == F.col(names["text_hash"])) & (F.col(again + "_own") == F.col(again)),
+        F.col(id_column).eqNullSafe(F.col(names["id"])) & (F.col(mark) == F.col(names["text_hash"])) & (F.col(place) == F.col(again)),
     )
     first, last, part, size = (F.col(names[c]) for c in ("first", "last", "part", "size"))
     found = F.regexp_extract_all(F.col(text_column), F.lit(f"({WORD})"), 1)

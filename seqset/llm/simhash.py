@@ -259,10 +259,10 @@ def one_of_each(docs: DataFrame, found: DataFrame, id_column: str = "doc_id", te
     """
     order = F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("text_hash"))
     kept = saved(found.groupBy("root").agg(F.min(order).alias("first")).select("first.id", "first.text_hash"))
-    mark, who = free_name(docs, "text_hash"), free_name(docs, "kept_id")
-    right = kept.select(F.col("id").alias(who), F.col("text_hash").alias(f"{mark}_kept"))
+    mark, who, what = (free_name(docs, c) for c in ("text_hash", "kept_id", "kept_hash"))
+    right = kept.select(F.col("id").alias(who), F.col("text_hash").alias(what))
     one = docs.withColumn(mark, F.xxhash64(text_column)).join(
-        right, F.col(id_column).eqNullSafe(F.col(who)) & (F.col(mark) == F.col(f"{mark}_kept")), "left_semi"
+        right, F.col(id_column).eqNullSafe(F.col(who)) & (F.col(mark) == F.col(what)), "left_semi"
     )
     repeated = found.groupBy("id", "text_hash").count().where("count > 1").limit(1).count()
     if repeated:  # rows equal in id and text: only then one has to be picked

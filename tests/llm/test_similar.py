@@ -52,8 +52,6 @@ def near_copies(rng):
 
 
 def test_near_copies_at_similarity_08(spark, monkeypatch):
-    import corpus_pipeline
-
     rows = near_copies(random.Random(1))
     want = plain_kept(rows)
     assert len(rows) - 20 > len(want) > 60
@@ -61,17 +59,15 @@ def test_near_copies_at_similarity_08(spark, monkeypatch):
     for size in (similar.FAMILY_ROWS, 2):  # whole buckets and families, and many blocks of them
         monkeypatch.setattr(similar, "FAMILY_ROWS", size)
         monkeypatch.setattr(similar, "BUCKET_ROWS", size)
-        kept = corpus_pipeline.near_duplicates(spark, docs, FOLDER)
+        kept = similar.drop_similar(docs)
         assert kept.columns == docs.columns
         assert sorted(r["doc_id"] for r in kept.collect()) == want
 
 
-def test_stage_on_the_given_documents(spark):
-    import corpus_pipeline
-
+def test_on_the_given_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
-    kept = corpus_pipeline.near_duplicates(spark, docs, FOLDER)
+    kept = similar.drop_similar(docs)
     assert sorted(r["doc_id"] for r in kept.collect()) == plain_kept(rows)
 
 
