@@ -17,7 +17,7 @@ from seqset.llm.mixing import mixed_documents
 from seqset.llm.packing import pack
 from seqset.llm.secrets import redact_secrets
 from seqset.llm.secrets import train as secret_model
-from seqset.llm.similar import drop_similar
+from seqset.llm.simhash import drop_near_duplicates
 from seqset.llm.toxicity import CUT, toxicity_model, toxicity_scores
 from seqset.session import saved
 
@@ -33,8 +33,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, by 5-word shingles and a similarity of 0.8: that with the smallest id."""
-    return drop_similar(docs)
+    """One document of each group of near duplicates, by SimHash of 3-word shingles and at most three differing bits: that with the smallest id."""
+    return drop_near_duplicates(docs)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
