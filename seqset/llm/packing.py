@@ -11,11 +11,13 @@ partition and its place there, so that no task sees all remainders of one length
 from __future__ import annotations
 
 import os
+import re
 import unicodedata
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -26,12 +28,18 @@ from seqset.session import saved
 
 WINDOW = 4096
 END_ID = 2
-#: Words and word parts whose ids a worker remembers, about; half of each are the older ones.
+#: Bytes of text whose words are looked up together.
+SLICE_BYTES = 16 << 20
+#: Odd words and word parts whose ids a worker remembers, about; half of each are the older ones.
 CACHED_WORDS, CACHED_PARTS = 250_000, 500_000
 
 # The word pattern of the tokenizer file word_bpe_49k.json
 PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
+# marks that are a part of their own behind a word
+MARKS = tuple(",.;:!?)")
+_SPACE = re.compile(r"[ \t\n\x0b\x0c\r]")
+
 
 class _Cache(dict):
     """A dict that computes what it lacks. Full, it becomes the older half, and what is used again comes back from there."""
@@ -52,10 +60,10 @@ class _Cache(dict):
 
 
 class WordTokenizer:
-    """Ids of texts by a tokenizer file, computed word by word and remembered.
+    """Ids of texts by a tokenizer file, computed once for each distinct word of a batch; ids of word parts are remembered.
 
     The tokenizer drops white space and never joins words, so the ids of a text are the ids of its
-    words in a row. Words of plain letters go to its model directly; any other goes through the whole
+    words in a row. Parts of plain letters go to its model directly; any other word goes through the whole
     tokenizer. Ids are bytes, four for each, little-endian.
     """
 
@@ -73,21 +81,66 @@ class WordTokenizer:
         self.letters = {b: chr(256 + k) for k, b in enumerate(hidden)}
         self.written = [k.to_bytes(4, "little") for k in range(self.whole.get_vocab_size())]
         self.parts = _Cache(self._part, cached[1] // 2)
-        self.words = _Cache(self._word, cached[0] // 2)
+        self.odd = _Cache(self._odd, cached[0] // 2)
 
     def _part(self, part: str) -> bytes:
-        shown = part.encode().decode("latin-1").translate(self.letters)
+        shown = part if part.isascii() else part.encode().decode("latin-1").translate(self.letters)
         return b"".join([self.written[t.id] for t in self.model.tokenize(shown)])
 
-    def _word(self, word: bytes) -> bytes:
-        text = word.decode()
-        if "<|" in text or not self.plain.fullmatch(text):
-            return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        parts = self.pattern.findall(unicodedata.normalize("NFC", text).lower())
+    def _odd(self, word: str) -> bytes:
+        if "<|" in word or not self.plain.fullmatch(word):
+            return np.array(self.whole.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        parts = self.pattern.findall(unicodedata.normalize("NFC", word).lower())
         return b"".join([self.parts[p] for p in parts])
 
+    def word(self, word: str) -> bytes:
+        low = word.lower()
+        if low.isalpha():  # letters of the plain range are one part, and composed already
+            return self.parts[low] if low.isascii() or self.plain.fullmatch(low) else self.odd[word]
+        if low[-1:] in MARKS and (stem := low[:-1]).isalpha() and (stem.isascii() or self.plain.fullmatch(stem)):
+            return self.parts[stem] + self.parts[low[-1]]
+        return self.odd[word]
+
     def ids(self, text: str | None) -> bytes:
-        return b"".join(map(self.words.__getitem__, text.encode().split())) if text else b""
+        return b"".join(self.of_texts(pa.array([text], pa.string())))
+
+    def of_texts(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each text; distinct words are looked up once, ids are gathered by their places."""
+        lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        found = lists.values.slice(lists.offsets[0].as_py(), lists.offsets[-1].as_py() - lists.offsets[0].as_py()).dictionary_encode()
+        blobs = list(map(self.word, found.dictionary.to_numpy(zero_copy_only=False)))
+        sizes = np.fromiter(map(len, blobs), np.int64, len(blobs)) // 4
+        every = np.frombuffer(b"".join(blobs), "<u4")
+        at = np.asarray(found.indices).astype(np.int64)
+        counts = sizes[at]
+        ends = np.concatenate([[0], np.cumsum(counts)])
+        first = (np.cumsum(sizes) - sizes)[at] - ends[:-1]
+        ids = every[np.repeat(first, counts) + np.arange(ends[-1])].tobytes()
+        of_text = 4 * ends[np.asarray(lists.offsets) - lists.offsets[0].as_py()]
+        return [ids[s:e] for s, e in zip(of_text, of_text[1:])]
+
+    def in_slices(self, texts: pa.Array):
+        """The ids of each text in turn, with about SLICE_BYTES of text in hand; longer texts are cut between words."""
+        sizes = np.asarray(pc.fill_null(pc.binary_length(texts), 0)).astype(np.int64)
+        start = 0
+        while start < len(texts):
+            if sizes[start] > SLICE_BYTES:
+                yield b"".join(b"".join(self.of_texts(pa.array([part]))) for part in _between_words(texts[start].as_py()))
+                start += 1
+                continue
+            end = start + max(1, int(np.searchsorted(np.cumsum(sizes[start:]), SLICE_BYTES, side="right")))
+            yield from self.of_texts(texts[start:end])
+            start = end
+
+
+def _between_words(text: str):
+    """A long text in pieces that end where a word does."""
+    start = 0
+    while start < len(text):
+        cut = _SPACE.search(text, start + SLICE_BYTES // 4)
+        end = cut.start() if cut else len(text)
+        yield text[start:end]
+        start = end
 
 
 _TOKENIZERS: dict[tuple, WordTokenizer] = {}
@@ -118,11 +171,11 @@ def token_pieces(
     def cut(batches):
         tokens, part, places = tokenizer(path, cached), TaskContext.get().partitionId(), {}
         for batch in batches:
-            ids, whole = batch["id"], batch["text"]
+            ids, whole = batch["id"], tokens.in_slices(batch["text"])
             out = {k: [] for k in ("row", "start", "length", "doc_tokens", "ids", "place")}
             held = 0
             for row in range(batch.num_rows):
-                blob = tokens.ids(whole[row].as_py()) + end
+                blob = next(whole) + end
                 n = len(blob) // 4
                 for start in range(0, n, window):
                     length = min(window, n - start)
