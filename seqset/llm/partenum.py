@@ -15,11 +15,10 @@ compared in blocks, and only spanning links leave a block.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import combinations
+from itertools import chain, combinations
 from math import comb, exp
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -54,18 +53,37 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def shingle_set(text: str | None, size: int = SHINGLE) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of a text's lower-cased shingles; one of all words if they are fewer; empty without words."""
-    found = lower_words(text)
-    n = len(found)
-    if not n:
-        return np.empty(0, np.uint64)
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, found), np.uint64, n)
-    width = min(size, n)
-    out = np.full(n - width + 1, width, np.uint64)
+def shingle_sets(texts: Sequence[str | None], size: int = SHINGLE) -> list[np.ndarray]:
+    """Of each text the sorted distinct 64-bit hashes of its lower-cased shingles; one of all words if they are fewer; empty without words."""
+    found = [lower_words(t) for t in texts]
+    counts = [len(f) for f in found]
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, chain.from_iterable(found)), np.uint64, sum(counts))
+    rolled = _rolled(hashes, size) if len(hashes) >= size else hashes
+    out, at = [], 0
+    for n in counts:
+        if n >= size:
+            own = np.sort(rolled[at : at + n - size + 1])
+            out.append(own[np.concatenate([[True], own[1:] != own[:-1]])])
+        else:
+            out.append(_rolled(hashes[at : at + n], n) if n else np.empty(0, np.uint64))
+        at += n
+    return out
+
+
+def _rolled(hashes: np.ndarray, width: int) -> np.ndarray:
+    """A hash of every `width` neighbours."""
+    out = np.full(len(hashes) - width + 1, width, np.uint64)
     for k in range(width):
-        out = mixed(out ^ (hashes[k : n - width + 1 + k] * _ODD[2 + k]))
-    return np.unique(out)
+        out = mixed(out ^ (hashes[k : len(hashes) - width + 1 + k] * _ODD[2 + k]))
+    return out
+
+
+def _slices(texts: pa.Array):
+    """Slices of an array of texts with about TEXT_BYTES each."""
+    sizes = np.cumsum([len(t) if t is not None else 0 for t in texts.to_pylist()]) // TEXT_BYTES
+    ends = [*(np.flatnonzero(np.diff(sizes)) + 1).tolist(), len(texts)]
+    for start, end in zip([0, *ends], ends):
+        yield slice(start, end)
 
 
 def node_of(hashes: np.ndarray) -> int:
@@ -80,9 +98,8 @@ def sketch(hashes: np.ndarray) -> bytes:
     return np.packbits(parity.astype(np.uint8), bitorder="little").tobytes()
 
 
-def _folded(sketches: Sequence[bytes]) -> np.ndarray:
-    """Sketches as rows of 64-bit words, all folded to the shortest: two cells that become one have the parity of both."""
-    least = min(map(len, sketches))
+def _folded(sketches: Sequence[bytes], least: int) -> np.ndarray:
+    """Sketches as rows of 64-bit words, all folded to `least` bytes: two cells that become one have the parity of both."""
     rows = np.empty((len(sketches), least // 8), np.uint64)
     for k, blob in enumerate(sketches):
         words = np.frombuffer(blob, np.uint64)
@@ -151,11 +168,11 @@ def _described(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
 
     def of(batch: pa.RecordBatch):
         nodes, sizes, sketches = [], [], []
-        for t in batch["text"]:
-            found = shingle_set(t.as_py())
-            sizes.append(len(found))
-            nodes.append(np.array([node_of(found)], np.uint64).view(np.int64)[0] if len(found) else None)
-            sketches.append(sketch(found) if len(found) else None)
+        for part in _slices(batch["text"]):
+            for found in shingle_sets(batch["text"][part].to_pylist()):
+                sizes.append(len(found))
+                nodes.append(np.array([node_of(found)], np.uint64).view(np.int64)[0] if len(found) else None)
+                sketches.append(sketch(found) if len(found) else None)
         arrays = [pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary())]
         yield pa.RecordBatch.from_arrays([batch["id"], batch["text_hash"], *arrays], ["id", "text_hash", "node", "size", "sketch"])
 
@@ -169,27 +186,20 @@ def _signed(docs: DataFrame, text_column: str, ends: list[int], plan: list[tuple
     shared = docs.sparkSession.sparkContext.broadcast((ends, plan))
 
     def of(batches):
-        ends, plan = shared.value
         known: set[int] = set()
         for batch in batches:
-            sets, nodes, held = [], [], 0
-            for t in batch["text"]:
-                text = t.as_py()
-                found = shingle_set(text)
-                node = node_of(found) if len(found) else None
-                if node is None or node in known:
-                    continue
+            for part in _slices(batch["text"]):
                 if len(known) >= SIGNED:
                     known.clear()
-                known.add(node)
-                sets.append(found)
-                nodes.append(node)
-                held += len(text)
-                if held > TEXT_BYTES:
+                sets, nodes = [], []
+                for found in shingle_sets(batch["text"][part].to_pylist()):
+                    node = node_of(found) if len(found) else None
+                    if node is not None and node not in known:
+                        known.add(node)
+                        sets.append(found)
+                        nodes.append(node)
+                if sets:
                     yield written(sets, nodes)
-                    sets, nodes, held = [], [], 0
-            if sets:
-                yield written(sets, nodes)
 
     def written(sets, nodes):
         who, found = signatures(sets, *shared.value)
@@ -232,7 +242,7 @@ def _may_be_similar(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
             if SPAN * abs(x - y) > x + y:
                 kept.append(False)
                 continue
-            s, t = _folded([s, t])
+            s, t = _folded([s, t], min(len(s), len(t)))
             kept.append(SPAN * int(np.bitwise_count(s ^ t).sum()) <= x + y)
         keep = pa.array(kept, pa.bool_())
         yield pa.RecordBatch.from_arrays([batch["a"].filter(keep), batch["b"].filter(keep)], ["a", "b"])
@@ -243,21 +253,68 @@ def _may_be_similar(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return told.mapInArrow(per_batch(of), "a bigint, b bigint")
 
 
-def _rough(block: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning links among a block's nodes whose sketches allow similarity."""
-    nodes, sizes, slices = (block[c].to_numpy() for c in ("node", "size", "slice"))
-    words = _folded(list(block["sketch"]))
-    label = np.arange(len(nodes))
-    first = np.flatnonzero(slices == slices.min())
-    others = first if slices.min() == slices.max() else np.flatnonzero(slices == slices.max())
-    step = max(1, (1 << 22) // max(1, words[others].size))
-    for at in range(0, len(first), step):
-        some = first[at : at + step]
-        apart = np.bitwise_count(words[some][:, None] ^ words[others][None]).sum(axis=2, dtype=np.int64)
-        a, b = np.nonzero(SPAN * np.maximum(apart, np.abs(sizes[some][:, None] - sizes[others])) <= sizes[some][:, None] + sizes[others])
-        label = _joined(label, some[a], others[b])
-    linked = np.flatnonzero(label != np.arange(len(nodes)))
-    return nodes[linked], nodes[label[linked]]
+def _rough(runs: np.ndarray, roots: np.ndarray, sizes: np.ndarray, sketches: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of row numbers: rows of one run (`runs` is sorted) and different roots whose sketches allow similarity."""
+    lengths = np.array([len(s) for s in sketches])
+    _, starts, inverse, counts = np.unique(runs, return_index=True, return_inverse=True, return_counts=True)
+    shortest = np.minimum.reduceat(lengths, starts)[inverse]
+    found = [(np.empty(0, np.int64),) * 2]
+    for length in np.unique(shortest).tolist():  # runs of one sketch length together, each neighbour distance in one step
+        own = np.flatnonzero(shortest == length)
+        words = _folded([sketches[k] for k in own], length)
+        run, root, size = runs[own], roots[own], sizes[own]
+        for lag in range(1, int(counts[inverse[own]].max(initial=1))):
+            a = np.flatnonzero((run[lag:] == run[:-lag]) & (root[lag:] != root[:-lag]))
+            b = a + lag
+            a, b = (x[SPAN * np.abs(size[a] - size[b]) <= size[a] + size[b]] for x in (a, b))
+            for at in range(0, len(a), step := max(1, (1 << 21) // words.shape[1])):
+                x, y = a[at : at + step], b[at : at + step]
+                apart = np.bitwise_count(words[x] ^ words[y]).sum(axis=1, dtype=np.int64)
+                close = SPAN * apart <= size[x] + size[y]
+                found.append((own[x[close]], own[y[close]]))
+    return tuple(np.concatenate(side) for side in zip(*found))
+
+
+def _rough_links(members: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Spanning links (a, b) among the nodes of each signature in `members` (signature, node, root) that may be similar.
+
+    A signature of very many nodes is cut into slices; a task compares two of them at a time.
+    """
+    names = ["signature", "i", "j", "node", "root", "size", "sketch"]
+
+    def of(batches):
+        rest = None
+        for batch in batches:
+            now = batch if rest is None else pa.concat_batches([rest, batch])
+            key = np.stack([np.asarray(now[c]) for c in names[:3]])
+            starts = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1
+            end = int(starts[-1]) if len(starts) else 0
+            if end:
+                yield linked(now[:end], starts)
+            rest = now[end:]
+        if rest is not None and rest.num_rows:
+            key = np.stack([np.asarray(rest[c]) for c in names[:3]])
+            yield linked(rest, np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1)
+
+    def linked(batch, starts):
+        runs = np.zeros(batch.num_rows, np.int64)
+        runs[starts[starts < batch.num_rows]] = 1
+        node, back = np.unique(np.asarray(batch["node"]), return_inverse=True)
+        a, b = _rough(np.cumsum(runs), np.asarray(batch["root"]), np.asarray(batch["size"]), batch["sketch"].to_pylist())
+        label = _joined(np.arange(len(node)), back[a], back[b])
+        some = np.flatnonzero(label != np.arange(len(node)))
+        return pa.RecordBatch.from_arrays([pa.array(node[some]), pa.array(node[label[some]])], ["a", "b"])
+
+    slices = members.groupBy("signature").agg(F.ceil(F.count("*") / BUCKET_ROWS).cast("int").alias("slices"))
+    blocks = (
+        members.join(slices, "signature")
+        .withColumn("slice", F.pmod(F.xxhash64("node", F.lit(7)), F.col("slices")).cast("int"))
+        .withColumn("k", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+        .select("signature", F.least("slice", "k").alias("i"), F.greatest("slice", "k").alias("j"), "node", "root")
+    )
+    full = blocks.join(nodes.select("node", "size", "sketch"), "node").select(*names)
+    ordered = full.repartition("signature", "i", "j").sortWithinPartitions("signature", "i", "j")
+    return ordered.mapInArrow(of, "a bigint, b bigint")
 
 
 def _families(shared: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -270,16 +327,15 @@ def _families(shared: DataFrame, nodes: DataFrame) -> DataFrame:
     now = saved(component_roots(stars))
     rest = shared.select("signature", "node").join(now, "node", "left").withColumn("root", F.coalesce("root", "node"))
     several = rest.groupBy("signature").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("signature")
-    open_ones = saved(rest.join(several, "signature").select("signature", "node"))
-    links = _links_of_blocks(open_ones, "signature", F.ceil(F.count("*") / BUCKET_ROWS), nodes.select("node", "size", "sketch"), _rough)
-    return saved(component_roots(stars.union(links))).select(F.col("root").alias("family"), "node")
+    open_ones = saved(rest.join(several, "signature").select("signature", "node", "root"))
+    return saved(component_roots(stars.union(_rough_links(open_ones, nodes)))).select(F.col("root").alias("family"), "node")
 
 
 def _sets(docs: DataFrame, text_column: str, wanted: DataFrame) -> DataFrame:
     """(node, size, hashes) of the nodes in `wanted` (node, text_hash), each from one text."""
 
     def of(batch: pa.RecordBatch):
-        found = [shingle_set(t.as_py()) for t in batch["text"]]
+        found = [s for part in _slices(batch["text"]) for s in shingle_sets(batch["text"][part].to_pylist())]
         sizes, hashes = pa.array([len(x) for x in found], pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())
         yield pa.RecordBatch.from_arrays([batch["node"], sizes, hashes], ["node", "size", "hashes"])
 
