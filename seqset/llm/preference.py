@@ -142,7 +142,7 @@ WITH present AS (
   UNION ALL
   SELECT 'r', conv_id, coalesce(last_of_all, 0) + 1, 'assistant', coalesce(other, '') FROM swap WHERE last_turn IS NULL AND next_id IS NOT NULL
 ), placed AS (
-  SELECT *, row_number() OVER (PARTITION BY side, conv_id ORDER BY turn, role, text) AS place FROM sides
+  SELECT *, row_number() OVER (PARTITION BY side, conv_id ORDER BY turn NULLS FIRST, role, text) AS place FROM sides
 ), differing AS (
   SELECT coalesce(c.conv_id, r.conv_id) AS conv_id,
          min(coalesce(c.place, r.place)) FILTER (WHERE c.role IS DISTINCT FROM r.role OR c.text IS DISTINCT FROM r.text) AS other_at,
