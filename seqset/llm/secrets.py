@@ -1,8 +1,9 @@
 """Secrets in texts: fixed patterns, and random-looking strings by character Markov models.
 
 Two first-order models, one of random strings and one of ordinary identifiers, give each long run of
-identifier characters a log-likelihood ratio. They are trained from labelled samples: what the fixed patterns
-find, with generated strings over usual alphabets, against the other words of a bounded sample of documents.
+identifier characters a log-likelihood ratio per character. They are trained from labelled samples: what the fixed patterns
+find, with generated strings over usual alphabets, against the other words of a bounded sample of documents, with generated
+identifiers as programmers write them. The cut is set on strings and identifiers generated apart, which no model has seen.
 """
 
 from __future__ import annotations
@@ -31,11 +32,16 @@ KINDS = ("assign", "access", "hex", "markov")
 
 #: A run of these characters, so long at least, is judged by the models.
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+SHORT_RUN = re.compile(r"[A-Za-z0-9+/_=-]{4,}")
 ALPHABET = string.ascii_letters + string.digits + "+/_=-"
-#: Log-likelihood ratio, in nats, from which on a run is a secret.
-CUT = 12.0
-#: Documents that the models learn from, about; generated random strings; seed of both.
+#: Random on purpose and no secrets: ids of the usual 8-4-4-4-12 form, and runs of digits with separators.
+PUBLIC = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|[0-9TZ/_=+-]+")
+#: Documents that the models learn from, about; generated strings of each label; seed of both.
 SAMPLE_DOCS, GENERATED, SEED = 20_000, 4000, 42
+#: Of generated identifiers held out, the part that the cut may call secrets.
+FALSE_ALARMS = 0.002
+#: Runs that are counted at once, about.
+RUNS = 100_000
 REDACTED = "[SECRET]"
 
 _CODE = {c: k for k, c in enumerate(ALPHABET)}
@@ -70,39 +76,85 @@ def _counts() -> np.ndarray:
 
 @dataclass
 class Ratio:
-    """The log ratio of both models for each character after another, or at the start."""
+    """The log ratio of both models for each character after another, or at the start, and the mean from which on a run is a secret."""
 
     table: list[list[float]]
+    cut: float = 0.0
 
     @classmethod
     def of(cls, secret: np.ndarray, ordinary: np.ndarray) -> Ratio:
-        """From transition counts; each row is smoothed by half a count per character."""
+        """From transition counts; each row is smoothed by half a count per character. The cut is set on generated strings held out."""
         logs = [np.log((c + 0.5) / (c + 0.5).sum(1, keepdims=True)) for c in (secret, ordinary)]
-        return cls((logs[0] - logs[1]).tolist())
+        found = cls((logs[0] - logs[1]).tolist())
+        _, identifiers = generated(SEED + 1)
+        alarms = sorted((found.score(x) for x in identifiers), reverse=True)
+        found.cut = max(0.0, alarms[int(FALSE_ALARMS * len(alarms))])
+        return found
 
     def score(self, run: str) -> float:
-        return math.fsum(self.table[a][b] for a, b in zip(*_transitions(run)))
+        """Nats per character for a random string and against an ordinary identifier."""
+        return math.fsum(self.table[a][b] for a, b in zip(*_transitions(run))) / len(run)
+
+    def is_secret(self, run: str) -> bool:
+        return not PUBLIC.fullmatch(run) and self.score(run) > self.cut
+
+
+#: Words that generated identifiers are made of, besides made-up ones.
+NAMES = (
+    "get set is has to from with by id key value name type list map index count size max min total http https request response handler factory "
+    "builder manager service client server config option connection pool timeout user account order item price date time start end path file "
+    "local lib site packages python java test data base table column row array string number byte buffer stream reader writer parse format"
+).split()
+
+
+def _identifier(source: random.Random) -> str:
+    """A name as programs and paths have it, of 16 characters or more."""
+    made = lambda: "".join(source.choice("bcdfghklmnprstvw") + source.choice("aeiou") for _ in range(source.randint(2, 4)))
+    words: list[str] = []
+    while sum(map(len, words)) < 16 or len(words) < 2:
+        words.append(source.choice(NAMES) if source.random() < 0.7 else made())
+    if source.random() < 0.2:
+        words.append(str(source.randint(0, 9999)))
+    style = source.randrange(7)
+    if style < 2:
+        upper = [w.upper() if source.random() < 0.1 and len(w) < 5 else w.capitalize() for w in words]
+        return "".join(upper) if style else words[0] + "".join(upper[1:])
+    joined = ("_", "-", "/", "_", "")[style - 2].join(words)
+    return joined.upper() if style == 5 else joined
+
+
+def generated(seed: int) -> tuple[list[str], list[str]]:
+    """Random strings over the alphabets that keys are usually written in, and identifiers."""
+    source = random.Random(seed)
+    alphabets = ("0123456789abcdef", string.ascii_uppercase + "234567", string.ascii_letters + string.digits, ALPHABET)
+    strings = ["".join(source.choices(alphabets[k % len(alphabets)], k=source.randint(20, 48))) for k in range(GENERATED)]
+    return strings, [_identifier(source) for _ in range(GENERATED)]
 
 
-def generated_counts() -> np.ndarray:
-    """Transitions of random strings over the alphabets that keys are usually written in."""
-    source, counts = random.Random(SEED), _counts()
-    alphabets = ("0123456789abcdef", string.ascii_uppercase + "234567", string.ascii_letters + string.digits, ALPHABET)
-    for number in range(GENERATED):
-        run = "".join(source.choices(alphabets[number % len(alphabets)], k=source.randint(20, 48)))
-        np.add.at(counts, _transitions(run), 1)
-    return counts
+_BYTES = np.full(256, -1, np.int64)
+_BYTES[list(ALPHABET.encode())] = np.arange(len(ALPHABET))
+
+
+def _counted(runs: list[str]) -> np.ndarray:
+    """Transitions of many runs at once."""
+    codes = _BYTES[np.frombuffer((" " + " ".join(runs)).encode(), np.uint8)]
+    here = np.flatnonzero(codes >= 0)
+    before = np.where(codes[here - 1] < 0, len(ALPHABET), codes[here - 1])
+    cells = (len(ALPHABET) + 1) * len(ALPHABET)
+    return np.bincount(before * len(ALPHABET) + codes[here], minlength=cells).reshape(-1, len(ALPHABET))
 
 
-def sample_counts(text: str, secret: np.ndarray, ordinary: np.ndarray) -> None:
+def sample_runs(text: str, secret: list[str], ordinary: list[str]) -> None:
     """Adds a text's labelled samples: runs inside base spans are secret, other runs of letters and digits are ordinary."""
     spans = base_spans(text)
-    for run in re.finditer(r"[A-Za-z0-9+/_=-]{4,}", text):
-        inside = any(a < run.end() and run.start() < b for _, a, b in spans)
-        if not inside:
-            np.add.at(ordinary, _transitions(run[0]), 1)
+    if not spans:
+        ordinary += SHORT_RUN.findall(text)
+        return
+    for run in SHORT_RUN.finditer(text):
+        if not any(a < run.end() and run.start() < b for _, a, b in spans):
+            ordinary.append(run[0])
         elif len(run[0]) >= 16:
-            np.add.at(secret, _transitions(run[0]), 1)
+            secret.append(run[0])
 
 
 def train(docs: DataFrame, text_column: str = "text") -> Ratio:
@@ -114,15 +166,20 @@ def train(docs: DataFrame, text_column: str = "text") -> Ratio:
     def count(batches):
         secret, ordinary = _counts(), _counts()
         for batch in batches:
-            for text in batch["text"]:
-                sample_counts(text.as_py() or "", secret, ordinary)
+            found: tuple[list[str], list[str]] = ([], [])
+            for row, text in enumerate(batch["text"], 1):
+                sample_runs(text.as_py() or "", *found)
+                if len(found[1]) > RUNS or row == batch.num_rows:
+                    secret += _counted(found[0])
+                    ordinary += _counted(found[1])
+                    found = ([], [])
         yield pa.RecordBatch.from_pydict({"secret": [secret.ravel().tolist()], "ordinary": [ordinary.ravel().tolist()]})
 
     rows = some.select(F.col(text_column).alias("text")).mapInArrow(count, "secret array<bigint>, ordinary array<bigint>")
     cells = rows.select(F.posexplode(F.arrays_zip("secret", "ordinary"))).groupBy("pos").agg(
         F.sum("col.secret").alias("secret"), F.sum("col.ordinary").alias("ordinary")
     )
-    secret, ordinary = generated_counts(), _counts()
+    secret, ordinary = map(_counted, generated(SEED))
     for cell in cells.collect():  # one row per pair of characters
         secret.flat[cell["pos"]] += cell["secret"]
         ordinary.flat[cell["pos"]] += cell["ordinary"]
@@ -139,7 +196,7 @@ def all_spans(text: str, ratio: Ratio) -> list[Span]:
         while k < len(spans) and spans[k][1] < end:
             last = max(last, spans[k][2])
             k += 1
-        if last <= first and ratio.score(run[0]) >= CUT:
+        if last <= first and ratio.is_secret(run[0]):
             added.append(("markov", first, end))
     return sorted(spans + added, key=lambda s: (s[1], KINDS.index(s[0])))
 
