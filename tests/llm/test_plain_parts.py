@@ -143,17 +143,30 @@ def test_secret_spans():
     ]
     assert secrets.base_spans("") == [] and secrets.redact("x" + text, []) == "x" + text
     assert secrets.redact(text, spans).count(secrets.REDACTED) == 4
-    ordinary = secrets._counts()
-    rng = random.Random(8)
-    for _ in range(4000):
-        word = "".join(rng.choice("etaoinshrdlucmfwypvbgkqjxz") for _ in range(rng.randrange(4, 12)))
-        for run in (word, word.title(), str(rng.randrange(10**8))):
-            np.add.at(ordinary, secrets._transitions(run), 1)
-    ratio = secrets.Ratio.of(secrets.generated_counts(), ordinary)
+    ratio = secrets.Ratio.of(*map(secrets._counted, secrets.generated(secrets.SEED)))
     found = secrets.all_spans("see xK9vQ2mZ7rT4wB1nL6pY and documentationconfiguration now", ratio)
     assert [k for k, *_ in found] == ["markov"]
 
 
+def test_random_strings_and_identifiers_are_told_apart():
+    ratio = secrets.Ratio.of(*map(secrets._counted, secrets.generated(secrets.SEED)))
+    strings, identifiers = secrets.generated(77)
+    assert np.mean([ratio.is_secret(x) for x in strings]) > 0.98
+    assert np.mean([ratio.is_secret(x) for x in identifiers]) < 0.01
+    for name in (
+        "XMLHttpRequestFactoryBuilder", "MAX_CONNECTION_POOL_SIZE", "usr/local/lib/python3/site-packages", "2024-01-02T03-04-05",
+        "123e4567-e89b-12d3-a456-426614174000", "getUserAccountByIdAndName", "0123456789012345678",
+    ):
+        assert not ratio.is_secret(name), name
+
+
+def test_transitions_of_many_runs():
+    want = secrets._counts()
+    for run in ("ab-c", "Z", "a9a9"):
+        np.add.at(want, secrets._transitions(run), 1)
+    assert (secrets._counted(["ab-c", "Z", "a9a9"]) == want).all() and not secrets._counted([]).any()
+
+
 def test_discounts_and_unigrams():
     d = katz.Discounts([100, 40, 20, 12, 8, 5])
     assert ((d.ratio[1:-1] > 0) & (d.ratio[1:-1] <= 1)).all() and d.ratio[-1] == 1
