@@ -6,16 +6,19 @@ import os
 import tempfile
 import uuid
 
+from pyspark import SparkConf
 from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(
-    cpus: int = 8, name: str = "seqset", partitions: int | None = None
+    cpus: int = 8, name: str = "seqset", partitions: int | None = None, work: str | None = None
 ) -> SparkSession:
     """A local session for tests and benchmarks, with a shuffle partition per core.
 
-    Its work folder is a temporary one, unless Spark's defaults name another.
+    `work` is its work folder; without one it is a temporary folder, unless Spark's defaults name another.
     """
+    # a static setting: it has to be there before the session is
+    given = work or SparkConf().get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "seqset")
     builder = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(name)
@@ -26,10 +29,9 @@ def local_session(
         .config("spark.driver.memory", "16g")
         .config("spark.driver.bindAddress", "127.0.0.1")
         .config("spark.driver.host", "127.0.0.1")
+        .config("spark.checkpoint.dir", given)
     )
     spark = builder.getOrCreate()
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        spark.conf.set("spark.checkpoint.dir", os.path.join(tempfile.gettempdir(), "seqset"))
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 

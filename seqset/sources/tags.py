@@ -44,6 +44,10 @@ PHP = (
     ),
 )
 
+# Fixed values of the tag file format: the part of a name that is looked for, and a section's header `path,chars`
+NAME = r"\$?([a-z0-9A-Z_]+)"
+HEADER = r"^(.+),([0-9]+)$"
+
 
 def _code(line: Column) -> Column:
     """The line without its quoted texts and line comments."""
@@ -145,7 +149,7 @@ def extract_declarations(
         .filter(F.col("_inside") | (F.col("_role") != "member"))
     )
     name = F.col("_hit.name")
-    bare = F.regexp_extract(name, r"\$?([a-z0-9A-Z_]+)", 1)
+    bare = F.regexp_extract(name, NAME, 1)
     at = F.call_function("locate", bare, line)
     scope = F.concat_ws("\\", "_scope", F.when(F.col("_inside"), F.col("_owner.name")))
     separator = F.when(F.col("_inside"), of("inner", F.col("_hit"))).otherwise(of("outer", F.col("_hit")))
@@ -167,7 +171,7 @@ def locate_from(
     One row per row of `df`: (key, name, found), `found` is the line cut after
     the name, null if no line holds it. Of the name only its first word counts.
     """
-    word = F.regexp_extract(name, r"\$?([a-z0-9A-Z_]+)", 1)
+    word = F.regexp_extract(name, NAME, 1)
     at = F.when(word != "", F.call_function("locate", word, F.col(text), F.col(start).cast("int")))
     upto = F.substring(F.col(text), F.lit(1), at + F.length(word) - 1)
     found = F.when(at > 0, F.substring_index(F.translate(upto, "\r", "\n"), "\n", -1))
@@ -212,12 +216,11 @@ def read_tag_index(spark: SparkSession, path: str) -> DataFrame:
     sections = spark.read.option("lineSep", SECTION).text(path)
     each = sections.filter(F.length("value") > 0).select(F.split("value", "\n").alias("_lines"))
     header = F.get(F.col("_lines"), 0)
-    pattern = r"^(.+),([0-9]+)$"
     tagged = (
-        each.filter(F.rlike(header, F.lit(pattern)) & ~F.contains(header, F.lit(AFTER_PREFIX)))
+        each.filter(F.rlike(header, F.lit(HEADER)) & ~F.contains(header, F.lit(AFTER_PREFIX)))
         .select(
-            F.regexp_extract(header, pattern, 1).alias("path"),
-            F.regexp_extract(header, pattern, 2).cast("bigint").alias("n_chars"),
+            F.regexp_extract(header, HEADER, 1).alias("path"),
+            F.regexp_extract(header, HEADER, 2).cast("bigint").alias("n_chars"),
             F.explode(F.slice("_lines", 2, F.size("_lines"))).alias("_line"),
         )
     )
