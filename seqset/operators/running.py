@@ -9,21 +9,18 @@ the earlier chunks hand on.
 
 from __future__ import annotations
 
-import os
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from seqset.operators.skew import ROWS_PER_TASK, names, null_safe_left
+from seqset.session import saved
 
 CHUNK = "_chunk"
-# chunk numbers hold four rounds of cutting, 15 bits each
-_FAN, _ROUNDS = 1 << 15, 4
-# hex digits of a text that make one number
-_DIGITS = 14
 
 
 @dataclass(frozen=True)
@@ -54,35 +51,30 @@ class Running:
     value: Column
 
 
-def _numbers(column: Column, kind: T.DataType) -> list[Column]:
-    """Whole numbers, or texts of hex digits, that grow with the column, from coarse to fine."""
-    if isinstance(kind, T.LongType):  # halved, so that no difference overflows
-        return [F.shiftright(column, 1), F.pmod(column, F.lit(2))]
-    if isinstance(kind, T.IntegralType):
-        return [column.cast("bigint")]
-    if isinstance(kind, T.NumericType):  # what is too far out, infinite or no number counts as the farthest
-        far = F.lit(float(1 << 61))
-        near = F.greatest(F.least(column.cast("double"), far), -far)
-        return [F.when(column.isNotNull(), F.floor(near).cast("bigint"))]
-    if isinstance(kind, T.DateType):
-        return [F.unix_date(column).cast("bigint")]
-    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-        day = F.unix_date(column.cast("date")).cast("bigint")
-        second = day * 86400 + F.hour(column) * 3600 + F.minute(column) * 60 + F.second(column)
-        return [second, F.date_format(column, "SSSSSS").cast("bigint")]
-    if isinstance(kind, T.StringType):
-        # read behind what the texts of a chunk have in common; twice, as a part can have more in common
-        digits = F.hex(column.cast("binary"))
-        return [digits, digits]
-    if isinstance(kind, T.ArrayType):
-        return _numbers(F.coalesce(F.get(column, 0), F.lit("" if isinstance(kind.elementType, T.StringType) else 0)), kind.elementType)
-    return []
-
-
-def _behind_common(low: str, high: str) -> tuple[int, int, int]:
-    """Length of the common start of two texts of hex digits, and the numbers that follow it in each."""
-    skip = len(os.path.commonprefix([low, high]))
-    return skip, *(int(text[skip : skip + _DIGITS].ljust(_DIGITS, "0"), 16) for text in (low, high))
+def _same(left: DataFrame, renamed: DataFrame, keys: Sequence[str]) -> Column:
+    condition = F.lit(True)
+    for k in keys:
+        condition = condition & left[k].eqNullSafe(renamed[f"_r_{k}"])
+    return condition
+
+
+def _of(df: DataFrame, found: list[Row], keys: list[str], how: str) -> DataFrame:
+    """The rows of the found keys (left_semi) or the others (left_anti); Spark sees the size of the list."""
+    listed = df.sparkSession.createDataFrame([tuple(r[k] for k in keys) for r in found], df.select(*keys).schema)
+    renamed = listed.toDF(*[f"_r_{k}" for k in keys])
+    return df.join(renamed, _same(df, renamed, keys), how)
+
+
+def _ranges(df: DataFrame, parts: int, by: list[str], chunk: Column) -> DataFrame:
+    """The rows range-partitioned by sampled splitters of all columns `by`, each with its range's number, written."""
+    void = [f.name for f in df.schema if isinstance(f.dataType, T.NullType)]
+    numbered = df.repartitionByRange(parts, *by).withColumn(CHUNK, chunk + F.spark_partition_id() + 1)
+    back = saved(numbered.drop(*void)).withColumns({c: F.lit(None) for c in void})
+    return back.select(*numbered.columns)
+
+
+def _longer(df: DataFrame, keys: list[str], rows: int) -> list[Row]:
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > rows).collect()
 
 
 def ordered(
@@ -96,60 +88,39 @@ def ordered(
     With `rows` None nothing is looked for: the caller knows the sequences to be
     short, because each was made from one text cell.
 
-    Equal steps of the first order column cut first; chunks that are still too
-    long are cut again inside their own range. A chunk is cut by a later order column
-    only if the earlier ones are the same in all its rows.
-    Only counts and ranges of long groups reach the driver, at most
-    `count(df) / rows` of them.
+    Long sequences are range-partitioned by splitters that Spark samples from the
+    sequence and all order columns together, so any type that can be sorted cuts,
+    and a column cuts where those before it are equal. Their rows are written with
+    the number of their range, as other samples would give other ranges. Ranges are
+    then counted exactly; one of more than `2 * rows` rows is cut again, unless more
+    than `rows` of its rows are equal in every order column and at most `2 * rows`
+    are not. Equal rows have no order among themselves and stay together.
+    Of the sequences only keys and counts of long groups reach the driver, at most
+    `count(df) / rows`, and Spark's sample of the order columns.
     """
     seq, order = names(seq), names(order)
-    frame, split = df.withColumn(CHUNK, F.lit(0).cast("bigint")), False
-    cuts: list[tuple[Column, list[Column]]] = []
-    for i, c in enumerate(order):
-        numbers = _numbers(F.col(c), df.schema[c].dataType)
-        text = df.select(*numbers[:1]).schema[0].dataType == T.StringType() if numbers else False
-        cuts += [(n, text, [F.col(x) for x in order[:i]] + ([] if text else numbers[:k])) for k, n in enumerate(numbers)]
-    for number, text, same in [] if rows is None else (cuts[:1] + cuts)[:_ROUNDS]:
-        keys = [*seq, CHUNK]
-        constant = F.lit(True)
-        for c in same:
-            # all null, or one value and no null
-            constant = constant & F.min(c).eqNullSafe(F.max(c)) & F.count(c).isin(F.lit(0), F.count(F.lit(1)))
-        long = (
-            frame.groupBy(*keys)
-            .agg(
-                F.count(F.lit(1)).alias("_n"), constant.alias("_same"),
-                F.min(number).alias("_cut_low"), F.max(number).alias("_cut_high"),
-            )
-            .filter(F.col("_n") > rows)
-            .collect()
-        )
-        if not long:
+    whole = df.withColumn(CHUNK, F.lit(0).cast("bigint"))
+    found = [] if rows is None else _longer(df, seq, rows)
+    if not found:
+        return Ordered(whole, seq, order, False)
+    keys, by = [*seq, CHUNK], [*seq, *order]
+    parts = -(-sum(r["_n"] for r in found) // rows)
+    bits = parts.bit_length()
+    pieces = [_of(whole, found, seq, "left_anti"), _ranges(_of(whole, found, seq, "left_semi"), parts, by, F.col(CHUNK))]
+    while over := _longer(pieces[-1], keys, 2 * rows):
+        ties = _of(pieces[-1], over, keys, "left_semi").groupBy(*keys, *[c for c in order if c not in keys]).agg(F.count(F.lit(1)).alias("_n"))
+        mixed = ties.groupBy(*keys).agg(F.sum("_n").alias("_n"), F.max("_n").alias("_equal"))
+        over = mixed.filter((F.col("_equal") <= rows) | (F.col("_n") - F.col("_equal") > 2 * rows)).collect()
+        parts = -(-sum(r["_n"] for r in over) // rows)
+        bits += (parts + 1).bit_length()
+        if not over or bits > 62:  # number after number, coarse before fine, in one long
             break
-        cut = []
-        for r in long:
-            low, high, skip = r["_cut_low"], r["_cut_high"], 0
-            if not r["_same"] or high is None:
-                continue
-            if text:
-                skip, low, high = _behind_common(low, high)
-            if high > low:
-                cut.append((*r[:-4], skip, low, -(-(high - low + 1) // min(-(-r["_n"] // rows), _FAN - 2))))
-        if not cut:
-            continue
-        schema = frame.select(*keys).schema.add("_cut_skip", "integer").add("_cut_low", "long").add("_cut_step", "long")
-        ranges = F.broadcast(df.sparkSession.createDataFrame(cut, schema))
-        if text:
-            window = F.rpad(number.substr(F.col("_cut_skip") + 1, F.lit(_DIGITS)), _DIGITS, "0")
-            number = F.conv(window, 16, 10).cast("bigint")
-        place = F.call_function("div", F.coalesce(number, F.col("_cut_low")) - F.col("_cut_low"), F.col("_cut_step"))
-        frame = (
-            null_safe_left(frame, ranges, keys)
-            .withColumn(CHUNK, F.col(CHUNK) * _FAN + F.coalesce(place + 1, F.lit(0)))
-            .drop("_cut_skip", "_cut_low", "_cut_step")
-        )
-        split = True
-    return Ordered(frame, seq, order, split)
+        again = _of(pieces[-1], over, keys, "left_semi")
+        pieces[-1] = _of(pieces[-1], over, keys, "left_anti")
+        step = 1 << (parts + 1).bit_length()
+        pieces = [p.withColumn(CHUNK, F.col(CHUNK) * step) for p in pieces]
+        pieces.append(_ranges(again, parts, by, F.col(CHUNK) * step))
+    return Ordered(reduce(DataFrame.unionByName, pieces), seq, order, True)
 
 
 def _sorted_by(columns: Sequence[str], reverse: bool) -> list[Column]:
@@ -157,12 +128,15 @@ def _sorted_by(columns: Sequence[str], reverse: bool) -> list[Column]:
 
 
 def _carried(o: Ordered, totals: dict[str, Column], before: dict[str, Column]) -> DataFrame:
-    """One row per chunk of the cut sequences: totals, then values handed on."""
+    """One row per chunk of the cut sequences: totals, then values handed on.
+
+    Written, so that Spark knows the size and broadcasts only what is small.
+    """
     per_chunk = o.frame.filter(F.col(CHUNK) > 0).groupBy(*o.keys).agg(
         *[value.alias(name) for name, value in totals.items()]
     )
     handed = per_chunk.select(*o.keys, *[value.alias(name) for name, value in before.items()])
-    return F.broadcast(handed)
+    return saved(handed)
 
 
 def running(
@@ -268,7 +242,7 @@ def latest(o: Ordered, name: str, value: Column, n: int) -> Ordered:
             # a chunk has at least one row, so n - 1 chunks hold all that is needed
             .select(*o.keys, F.flatten(F.collect_list("_tail").over(chunks.rowsBetween(-(n - 1), -1))).alias("_tail"))
         )
-        local = null_safe_left(local, F.broadcast(tails), o.keys)
+        local = null_safe_left(local, saved(tails), o.keys)
         before = F.transform(F.coalesce("_tail", F.array().cast(tails.schema["_tail"].dataType)), lambda t: t["h"])
         both = F.concat(before, F.col(name))
         local = local.withColumn(name, both).drop("_tail")
@@ -284,9 +258,7 @@ def attach(o: Ordered, per_sequence: DataFrame, how: str) -> Ordered:
     """
     right = per_sequence
     if o.split:
-        chunks = F.broadcast(
-            o.frame.filter(F.col(CHUNK) > 0).groupBy(*o.seq).agg(F.collect_set(CHUNK).alias("_chunks"))
-        )
+        chunks = o.frame.filter(F.col(CHUNK) > 0).groupBy(*o.seq).agg(F.collect_set(CHUNK).alias("_chunks"))
         one = F.array(F.lit(0).cast("bigint"))
         right = (
             null_safe_left(right, chunks, o.seq)
@@ -294,8 +266,5 @@ def attach(o: Ordered, per_sequence: DataFrame, how: str) -> Ordered:
             .drop("_chunks")
         )
     renamed = right.withColumnsRenamed({k: f"_r_{k}" for k in o.keys})
-    condition = F.lit(True)
-    for k in o.keys:
-        condition = condition & o.frame[k].eqNullSafe(renamed[f"_r_{k}"])
-    joined = o.frame.join(renamed, condition, how)
+    joined = o.frame.join(renamed, _same(o.frame, renamed, o.keys), how)
     return replace(o, frame=joined.drop(*[f"_r_{k}" for k in o.keys]))

@@ -303,3 +303,58 @@ def test_long_sequences_are_cut_by_any_order(spark, kind, values):
     cut, got = numbered(3)
     assert got == numbered(None)[1]
     assert max(r["count"] for r in cut.frame.groupBy("_chunk").count().collect()) <= 6
+
+
+def biggest(o):
+    return max(r["count"] for r in o.frame.filter("_chunk > 0").groupBy("s", "_chunk").count().collect())
+
+
+def in_order(df, order, rows):
+    """The running count with and without cutting, by the rows' own numbers."""
+    o = ordered(df, "s", order, rows)
+    counts = [{r["i"]: r["n"] for r in running(x, n=Running("sum", F.lit(1))).done().select("i", "n").collect()} for x in (o, ordered(df, "s", order, None))]
+    assert counts[0] == counts[1]
+    return o
+
+
+def test_equal_leading_columns_do_not_stop_cutting(spark):
+    df = spark.createDataFrame([("s", 1, "x", None, i) for i in range(60)], "s string, a long, b string, c date, i long")
+    assert biggest(in_order(df, ["a", "b", "c", "i"], 3)) <= 6
+
+
+@pytest.mark.parametrize("expression", ["cast(cast(i as string) as binary)", "named_struct('x', null, 'y', -i)", "array(i div 30, i)", "cast(i as decimal(38, 3))", "make_ym_interval(cast(i as int), 1)"])
+def test_every_sortable_type_cuts(spark, expression):
+    df = spark.range(60).selectExpr("'s' as s", "id as i").withColumn("v", F.expr(expression))
+    assert biggest(in_order(df, ["v"], 3)) <= 6
+
+
+def test_boolean_orders_cut_in_two(spark):
+    df = spark.range(40).selectExpr("'s' as s", "id as i", "id % 2 = 0 as v", "null as nothing")
+    o = ordered(df, "s", "v", 4)
+    assert {r["count"] for r in o.frame.groupBy("_chunk").count().collect()} == {20}
+    # rows equal in all order columns stay together, and a column without a type stays
+    assert o.done().columns == ["s", "i", "v", "nothing"] and o.done().count() == 40
+
+
+def test_skewed_last_column_cuts_around_its_hot_value(spark):
+    values = [7] * 500 + [2**40 + i for i in range(50)] + [-i for i in range(50)]
+    df = spark.createDataFrame([("s", 1, v, i) for i, v in enumerate(values)], "s string, a long, v long, i long")
+    o = ordered(df, "s", ["a", "v"], 5)
+    sizes = sorted(r["count"] for r in o.frame.groupBy("_chunk").count().collect())
+    assert 500 <= sizes[-1] <= 510 and sizes[-2] <= 10
+    assert biggest(in_order(df, ["a", "v", "i"], 5)) <= 10
+
+
+def test_ranges_that_sampling_left_too_long_are_cut_again(spark):
+    spark.conf.set("spark.sql.execution.rangeExchange.sampleSizePerPartition", 1)
+    try:
+        df = spark.createDataFrame([(s, i * i, i) for s in "st" for i in range(400)] + [("u", 1, 1)], "s string, v long, i long")
+        o = ordered(df, "s", "v", 5)
+        assert biggest(o) <= 10
+        for s in "st":
+            bounds = o.frame.filter(F.col("s") == s).groupBy("_chunk").agg(F.min("v").alias("a"), F.max("v").alias("b")).collect()
+            edges = sorted((r["_chunk"], r["a"], r["b"]) for r in bounds)
+            assert all(x[2] < y[1] for x, y in zip(edges, edges[1:]))
+        assert [r["_chunk"] for r in o.frame.filter("s = 'u'").collect()] == [0]
+    finally:
+        spark.conf.unset("spark.sql.execution.rangeExchange.sampleSizePerPartition")
