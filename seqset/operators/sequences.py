@@ -8,9 +8,10 @@ one task; see `running`.
 from __future__ import annotations
 
 from collections.abc import Iterator, Mapping, Sequence
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,6 +26,7 @@ from seqset.operators.running import (
     running,
 )
 from seqset.operators.skew import ROWS_PER_TASK, hot_keys, names
+from seqset.session import saved
 
 Names = str | Sequence[str]
 
@@ -237,14 +239,60 @@ def _matcher(keys: list[str], pos: str, kind: str, pairs: dict[str, str], whole:
     return match
 
 
+def _undecided(rest: DataFrame, pos: str) -> tuple[DataFrame, DataFrame]:
+    """Openers that stay open, and what neighbouring runs still have to decide.
+
+    A closer before its sequence's first opener is stray; an opener behind its last closer stays open.
+    """
+    opens = F.col("_open")
+    ends = rest.groupBy("_seq").agg(F.min(F.when(opens, F.col(pos))).alias("_first"), F.max(F.when(~opens, F.col(pos))).alias("_last"))
+    both = saved(rest.join(saved(ends), "_seq"))
+    open_to_end = both.filter(opens & F.coalesce(F.col(pos) > F.col("_last"), F.lit(True))).drop("_first", "_last")
+    inner = F.when(opens, F.col(pos) < F.col("_last")).otherwise(F.col(pos) > F.col("_first"))
+    return open_to_end, both.filter(inner).drop("_first", "_last")
+
+
+def _seams(rest: DataFrame, pos: str, kind: str, pairs: Mapping[str, str], rows: int | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Runs joined two by two: (matched spans, rows that need a stack, rows that the joined run passes on).
+
+    At the seam the left run's last opener meets the right run's first closer, the last but one the second, and so
+    on: a join on the place from the seam. It holds up to the first closer of a wrong kind; only rows from there on need a stack.
+    """
+    opens, left = F.col("_open"), F.col("_node") % 2 == 0
+    of_seam = (opens & left) | (~opens & ~left)
+    here = rest.withColumn("_group", F.shiftright("_node", 1)).withColumn("_meets", of_seam)
+    meet = here.filter("_meets").groupBy("_seq", "_group").agg(F.count_if(opens).alias("_openers"), F.count_if(~opens).alias("_closers"))
+    placed = running(ordered(here.filter("_meets"), ["_seq", "_group", "_open"], pos, rows), _place=Running("sum", F.lit(1))).done()
+    placed = saved(
+        placed.join(saved(meet), ["_seq", "_group"])
+        .withColumn("_place", F.when(opens, F.col("_openers") - F.col("_place") + 1).otherwise(F.col("_place")))
+    )
+    closes = F.create_map(*[F.lit(x) for pair in pairs.items() for x in pair])
+    openers = placed.filter(opens).select("_seq", "_group", "_place", F.col(pos).alias("start"), kind)
+    closers = placed.filter(~opens).select("_seq", "_group", "_place", F.col(pos).alias("end"), F.col(kind).alias("_closer"))
+    met = saved(openers.join(closers, ["_seq", "_group", "_place"]).withColumn("_right", closes[F.col(kind)] == F.col("_closer")))
+    wrong = saved(met.filter(~F.col("_right")).groupBy("_seq", "_group").agg(F.min("_place").alias("_wrong")))
+    before = F.col("_wrong").isNull() | (F.col("_place") < F.col("_wrong"))
+    settled = met.join(wrong, ["_seq", "_group"], "left").filter(before).select("_seq", "start", "end", kind)
+    marked = placed.join(wrong, ["_seq", "_group"], "left")
+    beyond = F.when(opens, F.col("_place") > F.col("_closers")).otherwise(F.col("_wrong").isNull() & (F.col("_place") > F.col("_openers")))
+    kept = ["_seq", "_group", pos, kind, "_open"]
+    passed = here.filter("not _meets").select(*kept).unionByName(marked.filter(beyond).select(*kept))
+    return settled, marked.filter(~beyond & ~before).select(*kept), passed
+
+
 def _spans_of_kinds(
     marks: DataFrame, seq: list[str], pos: str, kind: str, pairs: Mapping[str, str], rows: int | None
 ) -> DataFrame:
-    """Several pair kinds need a stack: match inside chunks, then what is left over.
-
-    A closer met while something is open in its own chunk is decided there. Only
-    closers met with nothing open and openers still open pass to the second round,
-    which streams them in order for the whole sequence and holds the open ones.
+    """Several pair kinds need a stack: match inside chunks, then join neighbouring chunks in log rounds.
+
+    A closer met while something is open in its own chunk is decided there: it closes the last opener or is wrong.
+    So a run of chunks is summed up by the closers that met nothing open, then the openers still open. Two
+    summaries make a third: the right one's closers are read against the left one's openers from its end, what is left
+    of the closers follows the left one's, what is left of the openers comes before the right one's. As that is what a stack
+    does with the two runs in turn, any bracketing of the runs gives the same. Each round joins runs two by two. Only
+    as many openers as there are closers meet; the others pass by. A stack in one task is needed only behind a wrong closer
+    at a seam, for the rows of that seam.
     """
 
     # one text for all key columns, as pandas knows no null in whole numbers; it is taken apart at the end
@@ -270,9 +318,30 @@ def _spans_of_kinds(
     o = ordered(marks.select(*seq, pos, kind), seq, pos, rows)
     if not o.split:
         return unpacked(matched(o.done(), seq, True))
-    first = matched(o.frame, o.keys, False).drop(CHUNK)
-    rest = first.filter(F.col("end").isNull()).select(*seq, F.col("start").alias(pos), kind)
-    return unpacked(first.filter(F.col("end").isNotNull()).unionByName(matched(rest, seq, True)))
+    left = F.col("end").isNull()
+    first = saved(matched(o.frame, o.keys, False))
+    spans = [first.filter(~left).select("_seq", "start", "end", kind)]
+
+    def still_open(df: DataFrame) -> DataFrame:
+        return df.select("_seq", F.col(pos).alias("start"), F.lit(None).cast(first.schema["end"].dataType).alias("end"), kind)
+
+    # whole sequences first, then runs of chunks numbered from 0
+    spans.append(first.filter(left & (F.col(CHUNK) == 0) & F.col("_open")).select("_seq", "start", "end", kind))
+    chunks = first.filter(left & (F.col(CHUNK) > 0)).select("_seq", CHUNK).distinct()
+    nodes = saved(chunks.withColumn("_node", F.row_number().over(Window.partitionBy("_seq").orderBy(CHUNK)) - 1))
+    rest = first.filter(left).join(nodes, ["_seq", CHUNK]).select("_seq", "_node", F.col("start").alias(pos), kind, "_open")
+    while True:
+        opened, rest = _undecided(rest, pos)
+        spans.append(still_open(opened))
+        if not rest.agg(F.max("_node")).first()[0]:
+            break
+        settled, stacked, passed = _seams(rest, pos, kind, pairs, rows)
+        streamed = saved(matched(stacked, ["_seq", "_group"], False))
+        spans += [settled, streamed.filter(~left).select("_seq", "start", "end", kind)]
+        kept = streamed.filter(left).select("_seq", "_group", F.col("start").alias(pos), kind, "_open")
+        rest = passed.unionByName(kept).withColumnRenamed("_group", "_node")
+    spans.append(still_open(rest.filter("_open")))
+    return unpacked(reduce(DataFrame.unionByName, spans))
 
 
 def marked_spans(

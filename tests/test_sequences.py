@@ -358,3 +358,32 @@ def test_ranges_that_sampling_left_too_long_are_cut_again(spark):
         assert [r["_chunk"] for r in o.frame.filter("s = 'u'").collect()] == [0]
     finally:
         spark.conf.unset("spark.sql.execution.rangeExchange.sampleSizePerPartition")
+
+
+PAIRS = {"(": ")", "[": "]", "{": "}"}
+NESTED = {
+    "openers": "([{" * 15, "closers": ")]}" * 15, "deep": "([{" * 9 + "}])" * 9, "outside_in": ")]}" * 6 + "([{" * 6,
+    "wrong_late": "([{" * 8 + "}])" * 3 + "]" * 3 + "}])" * 5, "wrong_all": "(" * 20 + "]" * 20 + ")" * 25, "short": "(]", "pairs": "()[]{}" * 7,
+}
+
+
+@pytest.mark.parametrize("cut", [3])
+def test_runs_of_chunks_are_joined_as_a_stack_would(spark, cut):
+    rng = random.Random(cut)
+    data = {name: list(text) for name, text in NESTED.items()}
+    data |= {f"random{i}": [rng.choice("([{)]}"[: rng.choice([4, 6])]) for _ in range(50)] for i in range(6)}
+    got = S.balanced_spans(frame(spark, data), "seq", "pos", "kind", PAIRS, cut).collect()
+    assert len({(r["seq"], r["start"]) for r in got}) == len(got)
+    for name, kinds in data.items():
+        assert {r["start"]: r["end"] for r in got if r["seq"] == name} == spans(kinds, PAIRS)
+
+
+@pytest.mark.parametrize("text, matched, stacked", [("([{" * 10, 0, 0), ("([{" * 5 + "}])" * 5, 15, 0), ("(([" + "])]", 2, 2), ("((([" + ")]))", 0, 8)])
+def test_only_rows_behind_a_wrong_closer_need_a_stack(spark, text, matched, stacked):
+    rows = [("s", 0 if k in PAIRS else 1, i, k, k in PAIRS) for i, k in enumerate(text)]
+    rest = spark.createDataFrame(rows, "_seq string, _node int, pos long, kind string, _open boolean")
+    settled, on_stack, passed = S._seams(rest, "pos", "kind", PAIRS, 3)
+    assert (settled.count(), on_stack.count()) == (matched, stacked)
+    assert 2 * matched + stacked + passed.count() == len(text)
+    opened, undecided = S._undecided(rest, "pos")
+    assert (opened.count(), undecided.count()) == ((30, 0) if matched + stacked == 0 else (0, len(text)))
