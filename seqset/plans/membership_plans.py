@@ -319,6 +319,57 @@ WHERE o_orderstatus <> 'F' AND o_orderpriority <> '2-HIGH'
 """
 
 
+def order_words(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as requests in words: SELECT returned.<part> , <part> … and what their status and priority add."""
+    def word(kind: str, value: Column | None = None) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), (F.lit(None) if value is None else value).cast("string").alias("value"))
+
+    def name(value: Column | str) -> Column:
+        return word("IDENTIFIER", F.lit(value))
+
+    none = F.array().cast("array<struct<kind:string,value:string>>")
+    part = F.struct("l_partkey", F.when(F.col("l_returnflag") == "R", "returned").alias("qualifier"))
+    lines = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_set(part)).alias("parts"))
+
+    def entry(p: Column, i: Column) -> Column:
+        comma = F.when(i > 0, F.array(word("COMMA"))).otherwise(none)
+        qualifier = F.when(p["qualifier"].isNotNull(), F.array(name(p["qualifier"]), word("DOT"))).otherwise(none)
+        return F.concat(comma, qualifier, F.array(name(p["l_partkey"])))
+
+    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderstatus", "o_orderpriority")
+    status, priority = F.col("o_orderstatus"), F.col("o_orderpriority")
+    added = [
+        F.when(status == "F", F.array(word("FROM"), name("stock"))),
+        F.when(priority != "5-LOW", F.array(word("WHERE"), name("p"), word("EQUAL"), name(priority))),
+        F.when(priority == "2-HIGH", F.array(word("GROUP"), word("BY"), name("p"))),
+        F.when(status == "O", F.array(word("ORDER"), word("BY"), name("p"))),
+    ]
+    words = F.concat(
+        F.array(word("SELECT")), F.flatten(F.transform("parts", entry)), *[F.coalesce(a, none) for a in added],
+        F.array(word("SEMICOLON")),
+    )
+    return lines.join(orders, "l_orderkey").select("l_orderkey", F.posexplode(words).alias("pos", "w")).select("l_orderkey", "pos", "w.*")
+
+
+def terminate_words(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as requests in words, completed."""
+    stock = regional_stock(spark, d).withColumn("l_partkey", F.col("l_partkey").cast("string"))
+    return T.terminate_words(order_words(spark, d), stock, "l_orderkey", "l_partkey", "n_regionkey")
+
+
+TERMINATE_WORDS_TAIL = """, entries AS (
+    SELECT l_orderkey, string_agg(coalesce(q || '.', '') || l_partkey, ' , ' ORDER BY l_partkey, q NULLS FIRST) AS entries
+    FROM (SELECT DISTINCT l_orderkey, l_partkey, CASE WHEN l_returnflag = 'R' THEN 'returned' END AS q FROM lineitem) GROUP BY 1
+)
+SELECT l_orderkey, size, row_number() OVER (PARTITION BY l_orderkey ORDER BY size DESC, cover) AS rank,
+       concat_ws(' ', 'SELECT ' || entries, 'FROM ' || array_to_string(cover, ' , '),
+                 CASE WHEN o_orderpriority <> '5-LOW' THEN 'WHERE p = ' || o_orderpriority END,
+                 CASE WHEN o_orderstatus = 'O' THEN 'ORDER BY p' END, ';') AS text
+FROM answers JOIN entries USING (l_orderkey) JOIN orders ON o_orderkey = l_orderkey
+WHERE o_orderstatus <> 'F' AND o_orderpriority <> '2-HIGH'
+"""
+
+
 def group_by_qualifier(spark: SparkSession, d: str) -> DataFrame:
     flag = F.col("l_returnflag")
     lines = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", F.when(flag != "N", flag).alias("flag"))
@@ -425,6 +476,9 @@ QUERIES = {
     "terminate_requests": Query(
         terminate_requests, PINNED_SQL[: PINNED_SQL.rindex("SELECT l_orderkey, size, row_number()")] + TERMINATE_TAIL
     ),
+    "terminate_words": Query(
+        terminate_words, PINNED_SQL[: PINNED_SQL.rindex("SELECT l_orderkey, size, row_number()")].rstrip() + TERMINATE_WORDS_TAIL
+    ),
     "group_by_qualifier": Query(group_by_qualifier, GROUP_SQL),
     "distinct_rows": Query(distinct_rows, "SELECT DISTINCT p_brand, p_type FROM part"),
     "distinct_sets": Query(

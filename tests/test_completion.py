@@ -5,6 +5,7 @@ import re
 import pytest
 
 from seqset.operators import completion as C
+from seqset.operators import termination as T
 
 SCHEMA = {
     "orbit": ["body", "period", "tilt"],
@@ -74,3 +75,53 @@ def test_scope_entries(spark, text, wanted):
     tokens, _ = run(spark, [(text, 1)])
     got = C.scope_entries(tokens, "s").orderBy("container").collect()
     assert [(r["container"], r["alias"], r["items"]) for r in got] == wanted
+
+
+MORE_SIGNS = {"*": "ASTERISK"}
+MORE_WORDS = ("GROUP", "HAVING", "DISTINCT")
+REQUESTS = [
+    ("SELECT tilt , o.period WHERE tilt = x ORDER BY tilt ;", ["SELECT tilt , o.period", None, "WHERE tilt = x", None, None, "ORDER BY tilt"],
+     {(None, "tilt"), ("o", "period")}),
+    ("SELECT DISTINCT body AS b , count ( mass , m.seen ) , m . radius r", ["SELECT DISTINCT body AS b , count ( mass , m.seen ) , m.radius r", *[None] * 5],
+     {(None, "body"), ("m", "radius")}),
+    ("SELECT seen FROM moon GROUP BY seen HAVING seen = b", ["SELECT seen", "FROM moon", None, "GROUP BY seen", "HAVING seen = b", None], {(None, "seen")}),
+    ("SELECT ( SELECT tail ) , tail", ["SELECT ( SELECT tail ) , tail", *[None] * 5], {(None, "tail")}),
+    ("SELECT body , *", None, set()), ("SELECT o.* , tilt", None, set()), ("SELECT", ["SELECT", *[None] * 5], set()),
+    ("WHERE mass = x ;", [None, None, "WHERE mass = x", None, None, None], set()), (";", [None] * 6, set()),
+]
+
+
+def request_words(text):
+    for pos, kind, value, _ in words(text):
+        kind = MORE_SIGNS.get(value, value if value in MORE_WORDS else kind)
+        yield pos, kind, value if kind == "IDENTIFIER" else None
+
+
+def test_sections_and_items_of_requests_in_words(spark):
+    tokens = spark.createDataFrame(
+        [(i, *w) for i, (text, *_) in enumerate(REQUESTS) for w in request_words(text)], "r long, pos long, kind string, value string"
+    )
+    sections, items = T.request_parts(tokens, "r")
+    found = {r["r"]: list(r)[1:] for r in sections.collect()}
+    assert found == {i: wanted for i, (_, wanted, _) in enumerate(REQUESTS) if wanted}
+    named = {}
+    for r in items.collect():
+        named.setdefault(r["r"], set()).add((r["qualifier"], r["item"]))
+    assert named == {i: wanted for i, (*_, wanted) in enumerate(REQUESTS) if wanted}
+
+
+def test_requests_in_words_are_terminated(spark):
+    asked = ["SELECT o.tilt , o.body WHERE tilt = x ;", "SELECT body , launch", "SELECT tail FROM comet", "SELECT *", "SELECT p.mass , p.launch , tail", "SELECT nothing"]
+    tokens = spark.createDataFrame([(i, *w) for i, text in enumerate(asked) for w in request_words(text)], "r long, pos long, kind string, value string")
+    membership = spark.createDataFrame([(c, i) for c, items in SCHEMA.items() for i in items], "container string, item string")
+    got = T.terminate_words(tokens, membership, "r", "item", "container").collect()
+    found = {}
+    for r in sorted(got, key=lambda r: (r["r"], r["rank"])):
+        found.setdefault(r["r"], []).append(r["text"])
+    assert found[0] == ["SELECT o.tilt , o.body FROM orbit WHERE tilt = x ;"]
+    assert found[1][-1] == "SELECT body , launch FROM probe ;" and "SELECT body , launch FROM moon , probe ;" in found[1]
+    assert not {2, 3, 5} & set(found)
+    # the unqualified item needs comet alone, which holds no choice for p: no cover is kept
+    assert 4 not in found
+    empty = T.terminate_words(tokens.limit(0), membership, "r", "item", "container")
+    assert empty.columns == ["r", "rank", "size", "text"] and empty.count() == 0
