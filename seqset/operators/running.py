@@ -21,6 +21,8 @@ from seqset.operators.skew import ROWS_PER_TASK, names, null_safe_left
 from seqset.session import saved
 
 CHUNK = "_chunk"
+# bits for the ranges of a chunk that is cut again, so that a session that makes more of them than asked for keeps their order
+_LEAST_BITS = 12
 
 
 @dataclass(frozen=True)
@@ -112,12 +114,13 @@ def ordered(
         mixed = ties.groupBy(*keys).agg(F.sum("_n").alias("_n"), F.max("_n").alias("_equal"))
         over = mixed.filter((F.col("_equal") <= rows) | (F.col("_n") - F.col("_equal") > 2 * rows)).collect()
         parts = -(-sum(r["_n"] for r in over) // rows)
-        bits += (parts + 1).bit_length()
+        width = max(_LEAST_BITS, (parts + 1).bit_length())
+        bits += width
         if not over or bits > 62:  # number after number, coarse before fine, in one long
             break
         again = _of(pieces[-1], over, keys, "left_semi")
         pieces[-1] = _of(pieces[-1], over, keys, "left_anti")
-        step = 1 << (parts + 1).bit_length()
+        step = 1 << width
         pieces = [p.withColumn(CHUNK, F.col(CHUNK) * step) for p in pieces]
         pieces.append(_ranges(again, parts, by, F.col(CHUNK) * step))
     return Ordered(reduce(DataFrame.unionByName, pieces), seq, order, True)
