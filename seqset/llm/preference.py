@@ -73,12 +73,12 @@ def preference_pairs(chosen: DataFrame, rejected: DataFrame, id_column: str = "c
     )
 
 
-def with_foreign_answers(turns: DataFrame, rows: int = NEIGHBOURS) -> DataFrame:
+def with_foreign_answers(turns: DataFrame, rows: int | None = None) -> DataFrame:
     """Every conversation with the last answer of the next one, in the order of ids, that has any; behind the last comes the first.
 
     The text of its own last assistant turn becomes the foreign one; without such a turn the foreign answer is one more turn behind
     the last. If no conversation has an answer, all stay as they are. Assistant turns without a number are no answers; rows without an id are left
-    out. Neighbours are found among ids alone, in runs of about `rows` of them.
+    out. Neighbours are found among ids alone, in runs of about `rows` of them: by default a run per shuffle partition, of at most NEIGHBOURS.
     """
     present = turns.where(F.col("conv_id").isNotNull())
     answer = (F.col("role") == "assistant") & F.col("turn").isNotNull()
@@ -86,7 +86,9 @@ def with_foreign_answers(turns: DataFrame, rows: int = NEIGHBOURS) -> DataFrame:
         present.groupBy("conv_id").agg(F.max("turn").alias("end"), F.max(F.when(answer, F.struct("turn", "text"))).alias("last"))
     )
     ids = each.select("conv_id", F.when(F.col("last").isNotNull(), F.col("conv_id")).alias("source"), F.lit(0).alias("all"))
-    first = ids.agg(F.min("source")).first()[0]
+    first, n = ids.agg(F.min("source"), F.count(F.lit(1))).first()
+    runs = int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows or min(NEIGHBOURS, max(1, -(-n // runs)))
     after = running(ordered(ids, "all", "conv_id", rows), reverse=True, strict=True, next=Running("last", F.col("source"))).done()
     neighbour = after.select("conv_id", F.coalesce("next", F.lit(first).cast(ids.schema["conv_id"].dataType)).alias("next"))
     foreign = each.where("last IS NOT NULL").select(F.col("conv_id").alias("next"), F.struct(F.col("last.text").alias("text")).alias("other"))
