@@ -14,6 +14,9 @@ from seqset.sources import catalog, lines, paths, tags
 REFUSED = ["the", "of", "and", "in", "that", "la", "le", "de", "der", "und"]
 CLASSES = {"the": "ARTICLE", "la": "ARTICLE", "le": "ARTICLE", "der": "ARTICLE", "and": "JOIN", "und": "JOIN", "of": "LINK", "de": "LINK", "in": "LINK"}
 
+# Bytes of a range of a long dump.
+LONG_RANGE = 1 << 20
+
 
 def _documents(spark: SparkSession, d: str) -> DataFrame:
     return spread(table(spark, d, "documents").select("doc_id", "text"))
@@ -200,6 +203,16 @@ def ddl_constraints(spark: SparkSession, d: str) -> DataFrame:
     return found.withColumn("columns", F.array_join("columns", ","))
 
 
+def long_dump_columns(spark: SparkSession, d: str) -> DataFrame:
+    """Columns from a few long dump files, each of many orders' statements, read in byte ranges."""
+    # names of their own, as many orders share a file
+    key = F.regexp_extract("source", "[0-9]+", 0)
+    own = F.replace(F.replace("text", F.lit("Create Table lines"), F.concat(F.lit("Create Table lines"), key)), F.lit("shop.item"), F.concat(F.lit("shop.item"), key))
+    folder = f"{work_dir(spark)}/dumps"
+    _order_dumps(spark, d).select(F.concat(own, F.lit(");")).alias("value")).write.text(folder)
+    return catalog.read_long_ddl_catalog(spark, folder, ".txt", range_bytes=LONG_RANGE)[0].drop("source")
+
+
 def catalog_round_trip(spark: SparkSession, d: str) -> DataFrame:
     folder = f"{work_dir(spark)}/catalog"
     catalog.save_catalog(*catalog.read_ddl_catalog(_order_dumps(spark, d)), folder)
@@ -221,6 +234,11 @@ UNION ALL SELECT source, 'shop.item', 'code', 1, 'int', 'int', NULL, NULL, FALSE
 UNION ALL SELECT source, 'shop.item', 'qty', 2, 'int', 'int', NULL, NULL, FALSE, 'int', '5' FROM o WHERE s = 'F'
 """
 
+LONG_DDL_SQL = f"""
+SELECT CASE WHEN table_name IN ('lines', 'shop.item') THEN table_name || replace(replace(source, 'order', ''), '.sql', '') ELSE table_name END AS table_name,
+       * EXCLUDE (source, table_name) FROM ({DDL_SQL}) c
+"""
+
 SYMBOLS = r"""
 SELECT doc_id, symbol, row_number() OVER (PARTITION BY doc_id ORDER BY min(pos))::INT AS rank
 FROM (SELECT doc_id, unnest(m) AS symbol, unnest(range(len(m))) AS pos
@@ -330,5 +348,6 @@ QUERIES = {
         UNION ALL SELECT 'order' || o_orderkey || '.sql', 'shop.item', name, kind, columns FROM orders,
         (VALUES ('ck', 'other', ''), (NULL, 'other', 'code'), (NULL, 'primary_key', 'code')) k(name, kind, columns) WHERE o_orderstatus = 'F'""",
     ),
+    "long_dump_columns": Query(long_dump_columns, LONG_DDL_SQL),
     "catalog_round_trip": Query(catalog_round_trip, DDL_SQL),
 }

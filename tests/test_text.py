@@ -275,6 +275,7 @@ def test_catalog_round_trip(spark, dump_catalog):
 def test_dump_files(spark, tmp_path):
     (tmp_path / "a.sql").write_text(DUMP)
     dumps = catalog.read_dumps(spark, str(tmp_path))
+    assert [r["text"] for r in dumps.collect()] == [DUMP]
     assert catalog.read_ddl_catalog(dumps)[0].select("table_name").distinct().count() == 3
 
 
