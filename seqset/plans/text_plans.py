@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from seqset.functions import tagline, text as X
 from seqset.plans.base import Query, spread, table
 from seqset.session import work_dir
-from seqset.sources import catalog, lines, paths, tags
+from seqset.sources import catalog, grammar, lines, paths, tags
 
 # Words that the sample predicate refuses, and a small dictionary of word classes.
 REFUSED = ["the", "of", "and", "in", "that", "la", "le", "de", "der", "und"]
@@ -135,6 +135,18 @@ def declarations(spark: SparkSession, d: str) -> DataFrame:
     return _page_tags(spark, d)
 
 
+def source_declarations(spark: SparkSession, d: str) -> DataFrame:
+    """Declarations of a source text per part, spread over lines, with comments, attributes and nested functions."""
+    parts = spread(table(spark, d, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size"))
+    key, brand = F.col("p_partkey").cast("string"), F.replace("p_brand", F.lit("#"), F.lit(""))
+    text = F.concat(
+        F.lit("<?php\n// class Hidden: "), "p_name", F.lit("\n"), F.repeat(F.lit("\n"), F.col("p_size") % 3), F.lit("namespace Parts\\"), brand,
+        F.lit(";\n\n#[Size("), F.col("p_size").cast("string"), F.lit(")]\nfinal\n  class Part"), key, F.lit("\n{\n  protected\n    $kind = '"),
+        "p_type", F.lit(" }',\n    $price;\n  public function\n    of(int $n,\n      $m = []) { function hidden() {} }\n}\nfunction make"), key, F.lit("() {}\n"),
+    )
+    return grammar.source_declarations(parts.select("p_partkey", text.alias("text")), "p_partkey", "text")
+
+
 def format_tag(spark: SparkSession, d: str) -> DataFrame:
     found = _page_tags(spark, d)
     line = tagline.format_tag(F.col("prefix"), F.col("full_name"), F.col("line"), F.col("offset"))
@@ -264,6 +276,21 @@ tags AS (
     FROM o WHERE owns OR last_owner IS NOT NULL)
 """
 
+SOURCE_SQL = r"""
+WITH s AS (SELECT p_partkey, p_partkey::VARCHAR AS k, 'Parts\' || replace(p_brand, '#', '') AS ns, chr(10) AS n, '<?php' || n || '// class Hidden: ' || p_name || n
+           || repeat(n, (p_size % 3)::BIGINT) || 'namespace ' || ns || ';' || n || n || '#[Size(' || p_size || ')]' || n || 'final' || n || '  class Part' || k
+           || n || '{' || n || '  protected' || n || '    $kind = ''' || p_type || ' }'',' || n || '    $price;' || n || '  public function' || n
+           || '    of(int $n,' || n || '      $m = []) { function hidden() {} }' || n || '}' || n || 'function make' || k || '() {}' || n AS t FROM part),
+d AS (SELECT *, 'class' AS kind, NULL AS owner, 'Part' || k AS name, '\' AS sep, 'final' AS first, '  class Part' || k AS prefix FROM s
+      UNION ALL SELECT *, 'property', 'Part' || k, '$kind', '', 'protected', '    $kind' FROM s
+      UNION ALL SELECT *, 'property', 'Part' || k, '$price', '', 'protected', '    $price' FROM s
+      UNION ALL SELECT *, 'method', 'Part' || k, 'of', ':', 'public', '    of' FROM s
+      UNION ALL SELECT *, 'function', NULL, 'make' || k, '\', 'function make', 'function make' || k FROM s),
+p AS (SELECT *, ns || coalesce('\' || owner, '') AS scope, instr(t, first) AS place, substr(t, 1, instr(t, first)) AS head FROM d WHERE t IS NOT NULL)
+SELECT p_partkey, length(replace(t, n, ''))::INT AS n_chars, kind, scope, owner, name, scope || sep || name AS full_name, prefix,
+       (1 + length(head) - length(replace(head, n, '')))::INT AS line, place::BIGINT AS "offset" FROM p
+"""
+
 CLASS_SQL = " ".join(f"WHEN '{w}' THEN '{c}'" for w, c in CLASSES.items())
 REFUSED_SQL = ", ".join(f"'{w}'" for w in REFUSED)
 
@@ -319,6 +346,7 @@ QUERIES = {
         UNION ALL SELECT url FROM pages WHERE url LIKE '%#top') WHERE NOT regexp_matches(url, '\?page=')""",
     ),
     "declarations": Query(declarations, f"WITH {PAGE_LINES} SELECT * FROM tags"),
+    "source_declarations": Query(source_declarations, SOURCE_SQL),
     "format_tag": Query(
         format_tag,
         f"""WITH {PAGE_LINES} SELECT path, prefix || chr(127) || full_name || chr(1) || line || ',' || "offset" AS tag,
