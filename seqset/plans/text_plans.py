@@ -227,7 +227,7 @@ def long_dump_columns(spark: SparkSession, d: str) -> DataFrame:
 
 def catalog_round_trip(spark: SparkSession, d: str) -> DataFrame:
     folder = f"{work_dir(spark)}/catalog"
-    catalog.save_catalog(*catalog.read_ddl_catalog(_order_dumps(spark, d)), folder)
+    catalog.save_catalog(*catalog.read_ddl_catalog(_order_dumps(spark, d), keep=True), folder)
     return catalog.load_catalog(spark, folder)[0]
 
 
