@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from seqset.operators.covers import ROW_OPTIONS, _grow, grouped_lists, option_lists, rank_by_size
 from seqset.operators.membership import contains_all
-from seqset.operators.skew import ROWS_PER_TASK
+from seqset.operators.skew import ROWS_PER_TASK, apart
 from seqset.session import saved
 
 #: Nodes that one request's diagram may have; a larger one is grown as distributed rows instead.
@@ -228,9 +228,9 @@ def counted_covers(
         asked = pinned.select(request, qualifier).distinct().groupBy(request).agg(F.count(F.lit(1)).alias("_asked"))
         of_group = pins.groupBy(request, qualifier).agg(F.sort_array(F.collect_set(container)).alias("_pin"))
         met = of_group.groupBy(request).agg(F.count(F.lit(1)).alias("_met"), F.collect_list("_pin").alias("_pins"))
-        wanted = saved(asked.join(met, request, "left").withColumn("_whole", F.col("_asked") == F.coalesce("_met", F.lit(0))))
-        only = wanted.filter("_whole").join(free.select(request).distinct(), request, "left_anti").select(request)
-        lists = lists.unionByName(of_group.join(only, request).select(request, F.col("_pin").alias("_options")))
+        wanted = saved(apart(asked).join(met, request, "left").withColumn("_whole", F.col("_asked") == F.coalesce("_met", F.lit(0))))
+        only = apart(wanted.filter("_whole")).join(free.select(request).distinct(), request, "left_anti").select(request)
+        lists = lists.unionByName(apart(of_group).join(only, request).select(request, F.col("_pin").alias("_options")))
     groups = saved(grouped_lists(lists, request))
     heavy = groups.groupBy(request).agg(F.sum(F.size("_options") * F.col("_copies")).alias("_listed")).filter(F.col("_listed") > ROW_OPTIONS).select(request)
     if long_rows is not None:
@@ -238,14 +238,14 @@ def counted_covers(
     light, some_heavy = groups, bool(heavy.take(1))
     if some_heavy:
         heavy = saved(heavy)
-        light = groups.join(heavy, request, "left_anti")
+        light = apart(groups).join(heavy, request, "left_anti")
     names = F.array_sort(F.array_distinct(F.flatten("_lists")))
     each = light.groupBy(request).agg(F.collect_list("_options").alias("_lists"), F.collect_list("_copies").alias("_copies")).withColumn("_names", names)
     no_pins = F.lit(None).cast(f"array<{groups.schema['_options'].dataType.simpleString()}>")
     if qualifier is None:
         each = each.withColumn("_pins", no_pins)
     else:
-        each = each.join(wanted, request, "left").filter(F.coalesce("_whole", F.lit(True)))
+        each = apart(each).join(wanted, request, "left").filter(F.coalesce("_whole", F.lit(True)))
     each = each.select(request, "_names", "_lists", "_copies", "_pins")
     element = groups.schema["_options"].dataType.elementType.simpleString()
     found = saved(_listed(each, request, element, max_covers, top, nodes))
@@ -259,17 +259,17 @@ def counted_covers(
     if not large.take(1):
         return listed, overflow
     large = saved(large)
-    grown = _grow(groups.join(large, request, "left_semi"), long_rows, large, request, item, container, rows)
+    grown = _grow(apart(groups).join(large, request, "left_semi"), long_rows, large, request, item, container, rows)
     if qualifier is not None:
         grown = _meeting_all(grown, pins, wanted, request, qualifier, container)
     grown = saved(grown.filter(F.size("cover") > 0).withColumn("size", F.size("cover")))
     counts = grown.groupBy(request).agg(F.count(F.lit(1)).alias("_n"))
     few = counts if max_covers is None else counts.filter(F.col("_n") <= max_covers)
     number = F.col("_n").cast("string").alias("n_covers")
-    ranked = rank_by_size(grown.join(few.select(request), request, "left_semi"), request, "cover", rows=rows)
+    ranked = rank_by_size(apart(grown).join(few.select(request), request, "left_semi"), request, "cover", rows=rows)
     if top is not None:
         ranked = ranked.filter(F.col("rank") <= top)
-    more = ranked.join(counts, request).select(request, "cover", "size", F.col("rank").cast("bigint").alias("rank"), number)
+    more = apart(ranked).join(counts, request).select(request, "cover", "size", F.col("rank").cast("bigint").alias("rank"), number)
     if max_covers is not None:
         overflow = overflow.unionByName(counts.filter(F.col("_n") > max_covers).select(request, number))
     return listed.unionByName(more), overflow
@@ -277,9 +277,9 @@ def counted_covers(
 
 def _meeting_all(covers: DataFrame, pins: DataFrame, wanted: DataFrame, request: str, qualifier: str, container: str) -> DataFrame:
     """Covers with a container for every qualifier of their request."""
-    told = covers.join(wanted.select(request, "_asked", "_whole"), request, "left")
+    told = apart(covers).join(wanted.select(request, "_asked", "_whole"), request, "left")
     unpinned = told.filter(F.col("_asked").isNull()).select(*covers.columns)
-    held = told.filter("_whole").withColumn(container, F.explode("cover")).join(pins, [request, container])
+    held = apart(told.filter("_whole").withColumn(container, F.explode("cover"))).join(pins, [request, container])
     hits = held.groupBy(*covers.columns, "_asked").agg(F.count_distinct(qualifier).alias("_hits"))
     return unpinned.unionByName(hits.filter(F.col("_hits") == F.col("_asked")).select(*covers.columns))
 

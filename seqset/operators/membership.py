@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from seqset.operators.lists import PART_SIZE, collect_parts
 from seqset.operators.running import Running, ordered, running
-from seqset.operators.skew import ROWS_PER_TASK, hot_keys, names, skew_join
+from seqset.operators.skew import ROWS_PER_TASK, apart, hot_keys, names, skew_join
 from seqset.session import saved
 
 
@@ -181,24 +181,24 @@ def contains_all(
     holders = held.groupBy(item).agg(F.count(F.lit(1)).alias("_holders"))
     needs = wanted.groupBy(*request).agg(F.count(F.lit(1)).alias("_needed"))
     # an item that nobody holds is lost here, and its request gets no answer
-    priced = skew_join(wanted, holders, item, hot_wanted)
+    priced = skew_join(wanted, holders, item, hot_wanted, large=True)
     ranked = running(
         ordered(priced, request, ["_holders", item], rows if hot_requests else None),
         _place=Running("sum", F.lit(1)),
     ).done().drop("_holders")
 
-    first = ranked.filter(F.col("_place") == 1).drop("_place").join(needs, request)
-    by_first = skew_join(held, first, item, hot_held, hot_wanted).drop(item)
+    first = apart(ranked.filter(F.col("_place") == 1).drop("_place")).join(needs, request)
+    by_first = skew_join(held, first, item, hot_held, hot_wanted, large=True).drop(item)
     # (item, container) is a fine key; what skew is left there is split at run time
     second = ranked.filter(F.col("_place") == 2).drop("_place")
     by_second = (
-        by_first.filter(F.col("_needed") > 1).join(second, request)
+        apart(apart(by_first.filter(F.col("_needed") > 1)).join(second, request))
         .join(held, [item, container], "left_semi")
         .drop(item)
     )
     others = ranked.filter(F.col("_place") > 2).drop("_place")
     by_all = (
-        skew_join(by_second.filter(F.col("_needed") > 2), others, request, hot_right=hot_requests)
+        apart(skew_join(by_second.filter(F.col("_needed") > 2), others, request, hot_right=hot_requests, large=True))
         .join(held, [item, container], "left_semi")
         .groupBy(*request, container, "_needed")
         .agg(F.count(F.lit(1)).alias("_held"))

@@ -9,7 +9,7 @@ from seqset.functions.render import SECTIONS, render_from, render_request
 from seqset.operators.covers import pinned_covers
 from seqset.operators.running import Running, following, latest, ordered, running
 from seqset.operators.sequences import split_by_markers
-from seqset.operators.skew import ROWS_PER_TASK
+from seqset.operators.skew import ROWS_PER_TASK, apart
 from seqset.session import saved
 
 # The words that open a section, and how signs are written.
@@ -34,10 +34,10 @@ def terminate_requests(
     open_ones = sections.filter(
         F.col("from").isNull() & F.col("group_by").isNull() & F.col("having").isNull()
     )
-    named = items.join(open_ones.select(request), request, "left_semi")
+    named = apart(items).join(open_ones.select(request), request, "left_semi")
     found = pinned_covers(named, membership, request, qualifier, item, container, local_limit, rows)
     text = render_request({s: render_from(F.col("cover")) if s == "from" else F.col(s) for s in SECTIONS})
-    return found.join(open_ones, request).select(request, "rank", "size", text.alias("text"))
+    return apart(found).join(open_ones, request).select(request, "rank", "size", text.alias("text"))
 
 
 def request_parts(tokens: DataFrame, request: str) -> tuple[DataFrame, DataFrame]:
@@ -81,7 +81,7 @@ def request_parts(tokens: DataFrame, request: str) -> tuple[DataFrame, DataFrame
     whole = {s: F.ltrim(F.array_join(F.transform(s, lambda w: w["text"]), "")) for s in SECTIONS}
     sections = lists.filter(~F.col("_all")).select(request, *[F.when(F.size(s) > 0, v).alias(s) for s, v in whole.items()])
     items = words.filter(F.col("item").isNotNull()).select(request, "qualifier", "item")
-    return sections, items.join(sections.select(request), request, "left_semi")
+    return sections, apart(items).join(sections.select(request), request, "left_semi")
 
 
 def terminate_words(
