@@ -2,13 +2,15 @@
 
 A word is lower-cased, freed of punctuation and hashed; hashes that occur in few training texts share a
 fixed zero vector. Filters of several widths run over the vectors of a text, the strongest answer of each
-filter over the whole text is kept, and a linear layer makes the logit. Training is plain numpy on a bounded
-sample of labelled rows. The cut between toxic and clean is set per language, which is guessed from function
-words of the text itself, and moved to CUT in the score.
+filter over the whole text is kept, and a linear layer makes the logit. All labelled rows are learnt from: Spark
+counts their words, shards of them are fitted in tasks from the same start, and the shards' parameters are
+averaged. The cut between toxic and clean is set per language, which is guessed from function
+words of the text itself, from all calibration rows, and moved to CUT in the score.
 """
 
 from __future__ import annotations
 
+import pickle
 import zlib
 from dataclasses import dataclass
 
@@ -19,12 +21,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqset.llm.frames import per_batch, table
+from seqset.session import saved
 
-#: Labelled rows to train on, about, of each class; chosen by a hash of their id.
-MAX_TOXIC, MAX_CLEAN = 3000, 6000
+#: Rows and words, about, that one task fits; more are dealt over more shards.
+SHARD_ROWS, SHARD_WORDS = 8000, 1 << 23
 DIMENSIONS, FILTERS, WIDTHS = 8, 8, (1, 2, 3)
 #: A hash must occur in so many training texts to have a vector of its own.
 LEAST_TEXTS = 3
+#: ... and in one of so many, which bounds the vectors however many texts there are.
+LEAST_SHARE = 3000
+#: Bins of a logit of one that calibration rows are counted in, and the largest logit there.
+BINS, LARGEST = 1024, 60
+#: Parameters that travel in one row.
+PARAMETERS = 1 << 16
 #: z-scores that chance alone gives to some hashes.
 NOISE = 3.0
 EPOCHS, BATCH, RATE, DECAY, SEED = 8, 64, 0.01, 1e-4, 42
@@ -125,22 +134,35 @@ def _vocabulary(texts: list[np.ndarray], labels: np.ndarray) -> tuple[dict[int,
     which, marks = which[len(fixed) :], np.repeat(labels, [len(t) for t in once])
     toxic = np.bincount(which[marks == 1], minlength=len(hashes))
     clean = np.bincount(which[marks == 0], minlength=len(hashes))
-    kept = (toxic + clean >= LEAST_TEXTS) | np.isin(hashes, fixed)
+    kept = (toxic + clean >= _least(len(texts))) | np.isin(hashes, fixed)
     rows = {h: k + 1 for k, h in enumerate(hashes[kept].tolist())}
-    toxic, clean = (np.append(0.0, n[kept]) for n in (toxic, clean))
-    n_toxic, n_clean = max(1, labels.sum()), max(1, (1 - labels).sum())
+    return rows, _clear(toxic[kept], clean[kept], labels.sum(), (1 - labels).sum())
+
+
+def _least(n_texts: int) -> int:
+    """Texts that a hash must occur in to have a vector of its own."""
+    return max(LEAST_TEXTS, -(-n_texts // LEAST_SHARE))
+
+
+def _clear(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int) -> np.ndarray:
+    """How clearly hashes with so many toxic and clean texts tell them apart; row 0 stands for all others."""
+    toxic, clean = np.append(0.0, toxic), np.append(0.0, clean)
+    n_toxic, n_clean = max(1, n_toxic), max(1, n_clean)
     share = (toxic + clean) / (n_toxic + n_clean)
     spread = np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / n_toxic + 1 / n_clean))
     z = (toxic / n_toxic - clean / n_clean) / spread
     z[0] = 0
-    return rows, np.sign(z) * np.maximum(0, np.abs(z) - NOISE)
+    return np.sign(z) * np.maximum(0, np.abs(z) - NOISE)
 
 
-def _fit(model: Model, texts: list[np.ndarray], labels: np.ndarray) -> None:
-    """Adam on the log loss, classes weighted alike."""
+def _fit(model: Model, texts: list[np.ndarray], labels: np.ndarray, toxic: float | None = None) -> None:
+    """Adam on the log loss, classes weighted alike; `toxic` is their share if the texts are one shard of many."""
     random = np.random.default_rng(SEED)
     padded = [np.concatenate([t, np.zeros(PAD, np.int32)]) for t in texts]
-    weight = np.where(labels == 1, 0.5 / max(1, labels.sum()), 0.5 / max(1, (1 - labels).sum())) * len(labels)
+    if toxic is None:
+        weight = np.where(labels == 1, 0.5 / max(1, labels.sum()), 0.5 / max(1, (1 - labels).sum())) * len(labels)
+    else:
+        weight = np.where(labels == 1, 0.5 / max(toxic, 1e-9), 0.5 / max(1 - toxic, 1e-9))
     slots = {"vectors": model.vectors, "weights": model.weights, "bias": np.zeros(1)}
     slots |= {f"filter{w}": model.filters[w] for w in WIDTHS} | {f"bias{w}": model.biases[w] for w in WIDTHS}
     first, second = ({k: np.zeros_like(v) for k, v in slots.items()} for _ in range(2))
@@ -180,26 +202,23 @@ def _fit(model: Model, texts: list[np.ndarray], labels: np.ndarray) -> None:
             model.bias = float(slots["bias"][0])
 
 
-def _best_cut(logits: np.ndarray, labels: np.ndarray) -> float:
-    """The cut with most right answers of both classes, weighted alike; the middle of the gap where it lies."""
-    order = np.argsort(logits, kind="stable")
-    values, marks = logits[order], labels[order]
-    low = np.append(0, np.cumsum(marks)) / max(1, marks.sum())  # toxic rows below each cut
-    high = 1 - np.append(0, np.cumsum(1 - marks)) / max(1, (1 - marks).sum())  # clean rows above it
+def _best_cut(values: np.ndarray, toxic: np.ndarray, clean: np.ndarray) -> float:
+    """The cut with most right answers of both classes, weighted alike; the middle of the gap where it lies.
+
+    `toxic` and `clean` say how many rows of each class have each value.
+    """
+    order = np.argsort(values, kind="stable")
+    values, toxic, clean = values[order], toxic[order], clean[order]
+    low = np.append(0, np.cumsum(toxic)) / max(1, toxic.sum())  # toxic rows below each cut
+    high = 1 - np.append(0, np.cumsum(clean)) / max(1, clean.sum())  # clean rows above it
     edges = np.concatenate([[values[0] - 1], (values[1:] + values[:-1]) / 2, [values[-1] + 1]])
     loss = low + high
     best = np.flatnonzero(loss <= loss.min() + 1e-12)
     return float(edges[best[len(best) // 2]])
 
 
-def train(texts: list[np.ndarray], labels: np.ndarray) -> Model:
-    """A model of hashed texts and their labels (1: toxic). Every fifth row calibrates the cuts.
-
-    Without any row, or with one class only, every text scores 0.
-    """
-    held = np.arange(len(texts)) % 5 == 4
-    fitted = ~held if len(set(labels[~held].tolist())) == 2 else np.ones(len(texts), bool)
-    rows, clear = _vocabulary([t for t, f in zip(texts, fitted) if f], labels[fitted])
+def _start(rows: dict[int, int], clear: np.ndarray) -> Model:
+    """A model before training."""
     random = np.random.default_rng(SEED)
     size = 1 + max(rows.values(), default=0)
     # the first dimension starts with what single words tell, and filters start by looking for it
@@ -221,53 +240,172 @@ def train(texts: list[np.ndarray], labels: np.ndarray) -> Model:
     for h, language in _FUNCTION_HASHES.items():
         model.languages[rows[h]] = language
     model.cuts = np.full(len(_LANGUAGES) + 1, np.inf)
+    return model
+
+
+def _encoder(model: Model):
+    """A function from a text's hashes to the rows of their vectors."""
+    known = np.array([*model.rows], dtype=np.uint32)
+
+    def encoded(hashes: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+        return np.where(known[at] == hashes, at + 1, 0).astype(np.int32)
+
+    return encoded
+
+
+def _set_cuts(model: Model, language: np.ndarray, values: np.ndarray, toxic: np.ndarray, clean: np.ndarray) -> None:
+    """The cut of each language with enough rows of both classes; that of all rows for the others."""
+    model.cuts[:] = _best_cut(values, toxic, clean)
+    for k in range(len(model.cuts)):
+        own = language == k
+        if min(toxic[own].sum(), clean[own].sum()) >= LEAST_ROWS:
+            model.cuts[k] = _best_cut(values[own], toxic[own], clean[own])
+
+
+def train(texts: list[np.ndarray], labels: np.ndarray) -> Model:
+    """A model of hashed texts and their labels (1: toxic), in this process. Every fifth row calibrates the cuts.
+
+    Without any row, or with one class only, every text scores 0.
+    """
+    held = np.arange(len(texts)) % 5 == 4
+    fitted = ~held if len(set(labels[~held].tolist())) == 2 else np.ones(len(texts), bool)
+    model = _start(*_vocabulary([t for t, f in zip(texts, fitted) if f], labels[fitted]))
     if len(set(labels.tolist())) < 2:
         return model
-    known = np.array([*rows], dtype=np.uint32)
-    places = [np.minimum(np.searchsorted(known, t), len(known) - 1) for t in texts]
-    encoded = [np.where(known[p] == t, p + 1, 0).astype(np.int32) for p, t in zip(places, texts)]
+    encoded = [*map(_encoder(model), texts)]
     _fit(model, [t for t, f in zip(encoded, fitted) if f], labels[fitted].astype(float))
     held = held if len(set(labels[held].tolist())) == 2 else np.ones(len(texts), bool)
-    some = [t for t, h in zip(encoded, held) if h]
-    logits, marks = model.logits(some), labels[held]
-    language = np.array([model.guess(t) for t in some])
-    model.cuts[:] = _best_cut(logits, marks)
-    for k in range(len(model.cuts)):
-        own = language == k
-        if min(marks[own].sum(), (1 - marks[own]).sum()) >= LEAST_ROWS:
-            model.cuts[k] = _best_cut(logits[own], marks[own])
+    some, marks = [t for t, h in zip(encoded, held) if h], labels[held]
+    _set_cuts(model, np.array([model.guess(t) for t in some]), model.logits(some), marks, 1 - marks)
     return model
 
 
+def _counted(fitted: DataFrame, n_toxic: int, n_clean: int) -> tuple[dict[int, int], np.ndarray]:
+    """`_vocabulary` of rows (label, words), counted by Spark."""
+
+    def count(batch: pa.RecordBatch):
+        once = [np.unique(np.frombuffer(w.as_py(), "<u4")) for w in batch["words"]]
+        marks = np.repeat(batch["label"].to_numpy(), [len(t) for t in once])
+        hashes, which = np.unique(np.concatenate([np.empty(0, np.uint32), *once]), return_inverse=True)
+        toxic = np.bincount(which[marks == 1], minlength=len(hashes))
+        clean = np.bincount(which[marks == 0], minlength=len(hashes))
+        columns = (hashes.astype(np.int64), toxic.astype(np.int64), clean.astype(np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["hash", "toxic", "clean"])
+
+    fixed = sorted(_FUNCTION_HASHES)
+    counts = fitted.select("label", "words").mapInArrow(per_batch(count), "hash long, toxic long, clean long")
+    summed = counts.groupBy("hash").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    kept = summed.where((F.col("toxic") + F.col("clean") >= _least(n_toxic + n_clean)) | F.col("hash").isin(*fixed))
+    found = {h: (0, 0) for h in fixed} | {r["hash"]: (r["toxic"], r["clean"]) for r in kept.collect()}  # bounded by LEAST_SHARE
+    hashes = sorted(found)
+    toxic, clean = (np.array([found[h][k] for h in hashes], float) for k in (0, 1))
+    return {h: k + 1 for k, h in enumerate(hashes)}, _clear(toxic, clean, n_toxic, n_clean)
+
+
+def _parameters(model: Model) -> list[np.ndarray]:
+    return [model.vectors, model.weights, *[model.filters[w] for w in WIDTHS], *[model.biases[w] for w in WIDTHS]]
+
+
+def _fit_shards(model: Model, fitted: DataFrame, n_rows: int, n_words: int, toxic: float) -> None:
+    """Fits shards of all rows (id, label, words) from the same start, and gives the model their mean parameters.
+
+    A shard counts by its rows. Each is fitted by one task; the driver sees the mean alone, in rows of PARAMETERS numbers.
+    """
+    shards = max(1, -(-n_rows // SHARD_ROWS), -(-n_words // SHARD_WORDS))
+    shared = fitted.sparkSession.sparkContext.broadcast(model)
+
+    def fit(key, rows):
+        own = pickle.loads(pickle.dumps(shared.value))  # a task's worker fits several shards
+        order = sorted(zip(rows["words"].to_pylist(), rows["label"].to_pylist()), key=lambda r: (zlib.crc32(r[0]), r))
+        encoded = _encoder(own)
+        texts = [encoded(np.frombuffer(w, "<u4")) for w, _ in order]
+        _fit(own, texts, np.array([y for _, y in order], float), toxic)
+        flat = np.concatenate([*[x.ravel() for x in _parameters(own)], [own.bias]]) * len(texts)
+        pieces = [flat[at : at + PARAMETERS].tobytes() for at in range(0, len(flat), PARAMETERS)]
+        return pa.table({"piece": pa.array(range(len(pieces)), pa.int32()), "shard": pa.array([key[0].as_py()] * len(pieces), pa.int64()), "values": pieces})
+
+    def mean(key, rows):
+        total = 0
+        for values in rows.sort_by("shard")["values"]:
+            total = total + np.frombuffer(values.as_py())
+        return pa.table({"piece": pa.array([key[0].as_py()], pa.int32()), "values": [(total / n_rows).tobytes()]})
+
+    dealt = fitted.select(F.pmod(F.xxhash64("id", "words", F.lit(SEED)), F.lit(shards)).alias("of"), "label", "words")
+    done = dealt.repartition(4 * shards, "of").groupBy("of").applyInArrow(fit, "piece int, shard long, values binary")
+    means = done.groupBy("piece").applyInArrow(mean, "piece int, values binary").collect()
+    flat = np.concatenate([np.frombuffer(r["values"]) for r in sorted(means, key=lambda r: r["piece"])])
+    at = 0
+    for x in _parameters(model):
+        x[...] = flat[at : at + x.size].reshape(x.shape)
+        at += x.size
+    model.bias = float(flat[at])
+    shared.unpersist()
+
+
+def _calibrate(model: Model, rows: DataFrame) -> None:
+    """The cuts, from all rows (label, words), counted by language and logit."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+
+    def count(batches):
+        encoded = _encoder(shared.value)
+        for batch in batches:
+            for at in range(0, len(batch), 256):
+                some = batch.slice(at, 256)
+                texts = [encoded(np.frombuffer(w.as_py(), "<u4")) for w in some["words"]]
+                bins = np.round(np.clip(shared.value.logits(texts), -LARGEST, LARGEST) * BINS).astype(np.int64)
+                languages = [shared.value.guess(t) for t in texts]
+                yield pa.RecordBatch.from_arrays([pa.array(languages, pa.int32()), pa.array(bins), some["label"]], ["language", "bin", "label"])
+
+    each = rows.select("label", "words").mapInArrow(count, "language int, bin long, label int")
+    found = each.groupBy("language", "bin").agg(F.sum("label").alias("toxic"), F.sum(1 - F.col("label")).alias("clean")).collect()
+    found.sort()
+    language, bins, toxic, clean = np.array([tuple(r) for r in found], dtype=np.int64).T
+    _set_cuts(model, language, bins / BINS, toxic, clean)
+    shared.unpersist()
+
+
 def train_on(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label: str = "toxic") -> Model:
-    """A model from the labelled rows of `docs`: at most about MAX_TOXIC and MAX_CLEAN, the same ones in every run.
+    """A model from all labelled rows of `docs`; about every fifth, by a hash, calibrates the cuts, the others are fitted.
 
-    Rows with a null id, text or label teach nothing; of rows repeated in `labels` one counts.
+    Rows with a null id, text or label teach nothing; of rows repeated in `labels` one counts. If the rows to fit lack a class, all are
+    fitted, and likewise for the cuts; with one class only, every text scores 0.
     """
-    marks = labels.where(F.col(label).isin(0, 1)).groupBy(F.col(id_column).alias("id")).agg(F.max(label).alias("label"))
+    marks = labels.where(F.col(label).isin(0, 1)).groupBy(F.col(id_column).alias("id")).agg(F.max(label).cast("int").alias("label"))
     marks = marks.where("id IS NOT NULL")
-    sizes = {r["label"]: r["count"] for r in marks.groupBy("label").count().collect()}
-    share = {k: min(1.0, most / max(1, sizes.get(k, 0))) for k, most in ((1, MAX_TOXIC), (0, MAX_CLEAN))}
-    dealt = F.pmod(F.xxhash64("id", F.lit(SEED)), F.lit(1 << 30))
-    kept = F.when(F.col("label") == 1, int(share[1] * (1 << 30)) + 1).otherwise(int(share[0] * (1 << 30)) + 1)
-    chosen = marks.where(dealt < kept)
 
     def encode(batch: pa.RecordBatch):
         texts = [np.array(hashed_words(t.as_py()), dtype="<u4").tobytes() for t in batch["text"]]
         yield pa.RecordBatch.from_arrays([batch["id"], batch["label"], pa.array(texts, pa.binary())], ["id", "label", "words"])
 
     kind = docs.schema[id_column].dataType.simpleString()
-    found = (
+    found = saved(
         docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
         .where("text IS NOT NULL")
-        .join(F.broadcast(chosen), "id")  # bounded above
-        .select("id", F.col("label").cast("int").alias("label"), "text")
+        .join(marks, "id")
+        .select("id", "label", "text")
         .mapInArrow(per_batch(encode), f"id {kind}, label int, words binary")
-        .collect()
+        .withColumn("held", F.pmod(F.xxhash64("id", F.lit(SEED + 1)), F.lit(5)) == 4)
     )
-    found.sort(key=lambda r: (zlib.crc32(str(r["id"]).encode()), bytes(r["words"])))
-    texts = [np.frombuffer(r["words"], "<u4") for r in found]
-    return train(texts, np.array([r["label"] for r in found], dtype=int))
+    sizes = {
+        (r["held"], r["label"]): (r["n"], r["words"])
+        for r in found.groupBy("held", "label").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("words") / 4).cast("long").alias("words")).collect()
+    }
+    if len({y for _, y in sizes}) < 2:
+        return train([], np.array([], int))
+
+    def rows(held: bool) -> tuple[DataFrame, dict]:
+        """The rows of one kind with their numbers and words by label; all rows if a class is missing."""
+        if all((held, y) in sizes for y in (0, 1)):
+            return found.where(F.col("held") == held), {y: sizes[held, y] for y in (0, 1)}
+        return found, {y: tuple(sum(sizes.get((h, y), (0, 0))[k] for h in (True, False)) for k in (0, 1)) for y in (0, 1)}
+
+    fitted, of = rows(False)
+    n = of[0][0] + of[1][0]
+    model = _start(*_counted(fitted, of[1][0], of[0][0]))
+    _fit_shards(model, fitted, n, of[0][1] + of[1][1], of[1][0] / n)
+    _calibrate(model, rows(True)[0])
+    return model
 
 
 def toxicity_scores(docs: DataFrame, model: Model, text_column: str = "text", score_column: str = "score") -> DataFrame:

@@ -208,3 +208,22 @@ def test_classifier_on_held_out_texts():
     assert model.scores([whole, model.encode(""), model.encode(None)]).tolist()[0] >= toxicity.CUT
     nothing = toxicity.train([], np.array([], int))
     assert nothing.scores([nothing.encode("a b"), nothing.encode(None)]).max() < 1e-9
+
+
+def test_toxicity_learns_from_every_labelled_row(spark, monkeypatch):
+    """More rows than one task fits, of which each is counted, fitted in one of several shards, or calibrates."""
+    random = np.random.default_rng(3)
+    rows = [(i, " ".join([*random.choice(["tree", "river", "stone", "cloud", "house"], 12), "vile" if i % 3 == 0 else "kind"]), int(i % 3 == 0)) for i in range(600)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    monkeypatch.setattr(toxicity, "SHARD_ROWS", 100)
+    fitted, calibrated = [], []
+    shards, calibrate = toxicity._fit_shards, toxicity._calibrate
+    monkeypatch.setattr(toxicity, "_fit_shards", lambda m, df, n, *rest: (fitted.append((df.count(), n)), shards(m, df, n, *rest)))
+    monkeypatch.setattr(toxicity, "_calibrate", lambda m, df: (calibrated.append(df.count()), calibrate(m, df)))
+    model = toxicity.train_on(docs, labels)
+    assert fitted[0][0] == fitted[0][1] > 400 and fitted[0][0] + calibrated[0] == 600
+    scores = model.scores([model.encode(t) for _, t, _ in rows])
+    assert [int(s >= toxicity.CUT) for s in scores] == [y for _, _, y in rows]
+    again = toxicity.train_on(docs, labels)
+    assert np.array_equal(model.vectors, again.vectors) and np.array_equal(model.cuts, again.cuts)
