@@ -310,3 +310,18 @@ def test_catalog_of_odd_dumps(spark):
         ],
         key=str,
     )
+
+
+def test_dumps_are_cut_outside_of_lambdas(spark):
+    """Words are found and marked by the batch; the plan asks nothing for each word."""
+    dumps = spark.createDataFrame([("a", DUMP)], "source string, text string")
+    for part in catalog.read_ddl_catalog(dumps):
+        plan = part._jdf.queryExecution().optimizedPlan().toString()
+        assert "array_position" not in plan and "regexp_extract_all" not in plan
+
+
+def test_pieces_of_a_dump():
+    cut = catalog._cut
+    assert cut(b" a--b -- c\n /* d */ e::int /* open 'x;' ") == ["a--b", "e", "::", "int", "/", "*", "open", "'x;'"]
+    assert cut(b"$a$ ; $b$ $a$ x $ From\n stdin ; y\\. z" + b" " * 100_000) == ["$a$ ; $b$ $a$", "x", "$", "From\n stdin ; y\\.", "z"]
+    assert cut(b"'\xe9' \xc3\xa9t") == ["'�'", "é", "t"] and cut(b"") == cut(None) == []
