@@ -7,7 +7,7 @@ words; so its rows are one window partition.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqset.operators.membership import scoped_candidates
@@ -64,8 +64,10 @@ def scope_entries(tokens: DataFrame, seq: str) -> DataFrame:
     o = following(o, "_next", F.struct("kind", "value"))
     o = following(o, "_next2", F.col("_next"))
     o = latest(o, "_last", kind, 5)
-    o = running(o, _opened=Running("max", is_from))
-    o = running(o, reverse=True, _later=Running("sum", is_from))
+    o = running(o, _opened=Running("max", is_from), _froms=Running("sum", is_from))
+    # behind the last FROM as many are counted as the request has: all windows share one sort
+    of_all = F.coalesce(F.sum(is_from).over(Window.partitionBy(*o.keys)), F.lit(0))
+    o = o.with_column("_later", of_all - F.col("_froms") + F.coalesce(is_from, F.lit(0)))
     inside = (F.col("_opened") == 1) & (F.col("_later") == 0)
     ends = (inside & kind.isin(*AFTER_LIST)).cast("int")
     step = F.when(inside & (kind == "OPAREN"), 1).when(inside & (kind == "CPAREN"), -1).otherwise(0)

@@ -125,3 +125,9 @@ def test_requests_in_words_are_terminated(spark):
     assert 4 not in found
     empty = T.terminate_words(tokens.limit(0), membership, "r", "item", "container")
     assert empty.columns == ["r", "rank", "size", "text"] and empty.count() == 0
+
+
+def test_a_scope_is_read_in_one_sort(spark):
+    tokens = spark.createDataFrame([(1, *w) for w in words("SELECT a FROM x, y")], "s long, pos long, kind string, value string, end_off long")
+    plan = C.scope_entries(tokens, "s")._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"Sort \[.*pos", plan)) == 1
