@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqset.llm.frames import per_batch, table
+from seqset.operators.skew import apart
 from seqset.session import saved
 
 #: Rows and words, about, that one task fits; more are dealt over more shards.
@@ -365,14 +366,19 @@ def _calibrate(model: Model, rows: DataFrame) -> None:
     shared.unpersist()
 
 
+def _labelled(docs: DataFrame, labels: DataFrame, id_column: str, text_column: str, label: str) -> DataFrame:
+    """The rows (id, label, text) that teach. Labels grow with the rows, so the join shuffles at every size."""
+    marks = labels.where(F.col(label).isin(0, 1)).groupBy(F.col(id_column).alias("id")).agg(F.max(label).cast("int").alias("label"))
+    texts = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).where("text IS NOT NULL")
+    return apart(texts).join(marks.where("id IS NOT NULL"), "id").select("id", "label", "text")
+
+
 def train_on(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label: str = "toxic") -> Model:
     """A model from all labelled rows of `docs`; about every fifth, by a hash, calibrates the cuts, the others are fitted.
 
     Rows with a null id, text or label teach nothing; of rows repeated in `labels` one counts. If the rows to fit lack a class, all are
     fitted, and likewise for the cuts; with one class only, every text scores 0.
     """
-    marks = labels.where(F.col(label).isin(0, 1)).groupBy(F.col(id_column).alias("id")).agg(F.max(label).cast("int").alias("label"))
-    marks = marks.where("id IS NOT NULL")
 
     def encode(batch: pa.RecordBatch):
         texts = [np.array(hashed_words(t.as_py()), dtype="<u4").tobytes() for t in batch["text"]]
@@ -380,10 +386,7 @@ def train_on(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text
 
     kind = docs.schema[id_column].dataType.simpleString()
     found = saved(
-        docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
-        .where("text IS NOT NULL")
-        .join(marks, "id")
-        .select("id", "label", "text")
+        _labelled(docs, labels, id_column, text_column, label)
         .mapInArrow(per_batch(encode), f"id {kind}, label int, words binary")
         .withColumn("held", F.pmod(F.xxhash64("id", F.lit(SEED + 1)), F.lit(5)) == 4)
     )

@@ -248,3 +248,11 @@ def test_pipeline(spark):
 def test_query_equals_sql(spark, name):
     problem, rows = differences(spark, duck(FOLDER), name, QUERIES[name], SQL[name], FOLDER)
     assert not problem and rows > 0
+
+
+def test_labels_are_joined_alike_at_every_size(spark):
+    docs = spark.createDataFrame([(1, "a"), (2, None), (None, "b"), (3, "c"), (3, "d")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 1), (None, 1), (3, 0), (3, 0), (4, 1)], "doc_id long, toxic int")
+    found = toxicity._labelled(docs, labels, "doc_id", "text", "toxic")
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, found.collect())) == [(1, 1, "a"), (3, 0, "c"), (3, 0, "d")]
