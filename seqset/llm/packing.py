@@ -28,8 +28,8 @@ from seqset.session import saved
 
 WINDOW = 4096
 END_ID = 2
-#: Bytes of text whose words are looked up together.
-SLICE_BYTES = 16 << 20
+#: Bytes of text whose words are looked up together: their places and ids take some ten times as much of a worker's memory.
+SLICE_BYTES = 2 << 20
 #: Odd words and word parts whose ids a worker remembers, about; half of each are the older ones.
 CACHED_WORDS, CACHED_PARTS = 250_000, 500_000
 

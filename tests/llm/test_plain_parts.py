@@ -4,9 +4,12 @@ import collections
 import heapq
 import random
 import re
+import tracemalloc
 from fractions import Fraction
 
 import numpy as np
+import public_tokenizers
+import pyarrow as pa
 import xxhash
 import zstandard
 
@@ -104,6 +107,19 @@ def plain_sainte_lague(votes, seats, most):
     return found
 
 
+def test_word_ids_are_found_in_little_memory():
+    """What a worker holds beside the texts and their ids does not follow the size of a batch."""
+    words = pa.array([" ".join(f"w{k % 50}" for k in range(50_000))] * 60)  # 11 MB
+    tokens = packing.WordTokenizer(public_tokenizers.path("word_bpe_49k.json"))
+    want = len(tokens.ids(words[0].as_py()))
+    tracemalloc.start()
+    sizes = [len(x) for x in tokens.in_slices(words)]
+    _, most = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert sizes == [want] * 60
+    assert most < 64 << 20
+
+
 def test_apportionment_and_targets():
     rng = random.Random(4)
     for _ in range(200):
