@@ -29,6 +29,8 @@ _DATA_ERROR = re.compile(rf"SQLSTATE: ({'|'.join(_DATA_ERRORS)})")
 
 #: Jobs that a verb's failing calls may cost in one batch.
 ATTEMPTS = 512
+#: Buckets of keys that `first_answers` keeps its state in.
+BUCKETS = 2048
 
 
 def request_source(
@@ -272,15 +274,14 @@ def stream_correlate(
 class _Waiting:
     """The open requests and the answers of one key, as first_answers keeps them between batches."""
 
-    def __init__(self, held: bytes | None):
-        self.requests, self.answers = pickle.loads(held) if held else ([], [])
+    def __init__(self, requests: list | None = None, answers: list | None = None):
+        self.requests, self.answers = requests or [], answers or []
 
-    def add(self, rows) -> None:
-        for kind, at, limit, tie, body in rows:
-            if kind == 0:
-                self.requests.append((limit, at, body))
-            elif kind == 1:
-                bisect.insort(self.answers, (at, tie, body))
+    def add(self, kind: int, at: int, limit: int, tie: int, body: str) -> None:
+        if kind == 0:
+            self.requests.append((limit, at, body))
+        else:
+            bisect.insort(self.answers, (at, tie, body))
 
     def settled(self, now: int) -> list[tuple[str, str | None]]:
         """Requests whose limit has passed, each with its first answer; answers that no request can want any more go."""
@@ -301,24 +302,26 @@ class _Waiting:
             return min(r[0] for r in self.requests)
         return self.answers[-1][0] if self.answers else None
 
-    def held(self) -> bytes:
-        return pickle.dumps((self.requests, self.answers))
-
 
-def _wait(key, batches, state: GroupState):
-    """One key's step: take in its new rows, give out what is settled, and set a timer for the next limit."""
-    waiting = _Waiting(bytes(state.get[0]) if state.exists else None)
+def _wait(bucket, batches, state: GroupState):
+    """One bucket's step: take in the new rows of its keys, give out what is settled, and set a timer for the next limit."""
+    held = pickle.loads(bytes(state.get[0])) if state.exists else {}
+    waiting = {key: _Waiting(*lists) for key, lists in held.items()}
     if not state.hasTimedOut:
         for rows in batches:
-            waiting.add(rows[["kind", "at", "limit", "tie", "body"]].itertuples(index=False, name=None))
+            for key, kind, *row in rows[["key", "kind", "at", "limit", "tie", "body"]].itertuples(index=False, name=None):
+                if kind >= 0:
+                    if key not in waiting:
+                        waiting[key] = _Waiting()
+                    waiting[key].add(kind, *row)
     mark = state.getCurrentWatermarkMs()
-    settled = waiting.settled(mark * 1000)
-    until = waiting.until()
-    if until is None:
+    settled = [row for one in waiting.values() for row in one.settled(mark * 1000)]
+    open_keys = {key: until for key, one in waiting.items() if (until := one.until()) is not None}
+    if not open_keys:
         state.remove()
     else:
-        state.update((waiting.held(),))
-        state.setTimeoutTimestamp(max(-(-until // 1000), mark + 1))
+        state.update((pickle.dumps({key: (waiting[key].requests, waiting[key].answers) for key in open_keys}),))
+        state.setTimeoutTimestamp(max(-(-min(open_keys.values()) // 1000), mark + 1))
     yield pd.DataFrame(settled, columns=["request", "answer"], dtype=object)
 
 
@@ -333,7 +336,8 @@ def first_answers(
     come later than that are dropped, and so are answers that no request asked for. An answer may arrive before its request, and may answer
     several. Rows without a key or a time only move the watermark. Columns of both sides must have different names.
 
-    State is kept per key with an event-time timer: open requests, and answers until no request can want them. Where a key has
+    State is kept per bucket of keys with an event-time timer: open requests, and answers until no request can want them. A call of Python
+    and a timer cost far more than a row, so keys are dealt by a hash into BUCKETS. Where a key has
     very many requests, they are dealt over `salts` tasks, each of which sees the key's answers. Rows travel as JSON.
     """
     as_text = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "ignoreNullFields": "true"}
@@ -354,7 +358,11 @@ def first_answers(
     asking = side(requests, 0, asked, limit, none, F.pmod(F.xxhash64(*requests.columns), F.lit(salts)))
     every = F.explode(F.array(*[F.lit(i).cast("bigint") for i in range(salts)]))
     answering = side(answers, 1, answered, none, tie, every)
-    found = asking.union(answering).groupBy("key", "salt").applyInPandasWithState(
+    both = asking.union(answering)
+    # keys are compared as texts; -0.0 is 0.0
+    same = F.col("key") + F.lit(0) if isinstance(both.schema["key"].dataType, (T.FloatType, T.DoubleType)) else F.col("key")
+    both = both.withColumn("key", F.to_json(F.struct(same.alias("key")), as_text))
+    found = both.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(BUCKETS))).groupBy("bucket", "salt").applyInPandasWithState(
         _wait, "request string, answer string", "held binary", "append", GroupStateTimeout.EventTimeTimeout
     )
     own, other = (F.from_json(c, df.schema, as_text).alias(c) for c, df in (("request", requests), ("answer", answers)))

@@ -166,6 +166,29 @@ def test_first_answers(spark):
         assert all(r["answered"] == dict((a, u) for a, _, u in answered).get(r["answer"]) for r in got)
 
 
+def test_first_answers_keep_their_state_by_the_bucket(spark, monkeypatch):
+    """Keys share calls and state rows, whatever their number and type, and stay apart all the same."""
+    monkeypatch.setattr(R, "BUCKETS", 3)
+    for kind, value in (("long", lambda k: 2**60 + k), ("double", lambda k: -0.0 if k == 0 else k / 8)):
+        folder = work_dir(spark)
+        asked = [(k, value(k), at(k)) for k in range(40)] + [(40, None, at(5))]
+        answered = [(100 + k, abs(value(k)), at(k + 1)) for k in range(0, 40, 2)]
+        spark.createDataFrame(asked, f"id long, key {kind}, asked timestamp").write.parquet(f"{folder}/q")
+        spark.createDataFrame(answered, f"answer long, key {kind}, answered timestamp").write.parquet(f"{folder}/a")
+        total = 0
+        for minutes in (None, 10_000, 20_000):
+            for name, fields in (("q", f"id long, key {kind}, asked timestamp"), ("a", f"answer long, key {kind}, answered timestamp")):
+                if minutes:
+                    spark.createDataFrame([(None, None, at(minutes))], fields).write.mode("append").parquet(f"{folder}/{name}")
+            sides = [R.request_source(spark, f"{folder}/{n}", spark.read.parquet(f"{folder}/{n}").schema) for n in ("q", "a")]
+            query = R.response_sink(R.first_answers(*sides, "key", "asked", "answered", "45 minutes", "answer"), "id", f"{folder}/out", f"{folder}/state")
+            query.awaitTermination()
+            total = max([total, *[p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]])
+        got = {r["id"]: r["answer"] for r in spark.read.parquet(f"{folder}/out").collect()}
+        assert got == {k: 100 + k if k % 2 == 0 else None for k in range(40)}
+        assert 0 < total <= 3
+
+
 def test_an_exit_ends_its_session(spark):
     def ask(number, session, verb="kind"):
         return (number, session, f'{{"verb": "{verb}", "args": ["v"]}}')
