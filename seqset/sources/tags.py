@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from seqset.functions.tagline import AFTER_PREFIX, SECTION, format_header, format_tag, parse_tag
 from seqset.operators.running import Running, ordered, running
+from seqset.session import saved
 from seqset.sources.lines import bare_line, pieces_of, section_size, starts_of
 
 
@@ -48,6 +50,9 @@ PHP = (
 NAME = r"\$?([a-z0-9A-Z_]+)"
 HEADER = r"^(.+),([0-9]+)$"
 
+# characters of texts whose declarations one task sorts, about
+CHARS_PER_TASK = 8_000_000
+
 
 def _code(line: Column) -> Column:
     """The line without its quoted texts and line comments."""
@@ -59,6 +64,12 @@ def _count(text: Column, sign: str) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit(sign), F.lit("")))
 
 
+def _sorting_tasks(df: DataFrame, text: str) -> int:
+    """Tasks among which declarations are dealt, so that a task's share does not grow with the data."""
+    chars = df.agg(F.sum(F.length(text))).first()[0] or 0
+    return max(df.sparkSession.sparkContext.defaultParallelism, math.ceil(chars / CHARS_PER_TASK))
+
+
 def extract_declarations(
     df: DataFrame, key: str, text: str, declarations: Sequence[Declaration],
     block: tuple[str, str] | None = None,
@@ -120,6 +131,8 @@ def extract_declarations(
         .withColumns({"_nth": F.coalesce("_nth", F.lit(0)), "_role": of("role", F.col("_hit"))})
         .withColumn("_in", F.coalesce(F.call_function("locate", F.col("_hit.whole"), line), F.lit(0)))
         .drop("_found")
+        # three sorts by the key follow in the same task; a given number of tasks is not merged by the bytes, which pack well
+        .repartition(_sorting_tasks(df, text), key)
     )
     owner = F.struct(
         F.col("_hit.name").alias("name"), F.col("_depth").alias("depth"),
@@ -184,6 +197,8 @@ def write_tag_index(tags: DataFrame, path: str, scoped: bool = False) -> None:
     One section per file, in source order; files without tags write nothing. A
     section is never cut by the end of an output file.
     """
+    # read for headers, lines and the samples of their ranges
+    tags = saved(tags.select("path", "n_chars", "name", *(["full_name"] if scoped else []), "prefix", "line", "offset"))
     name = F.col("full_name" if scoped else "name")
     lines = tags.select(
         "path", F.lit(1).alias("_part"), "offset", "name",

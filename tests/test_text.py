@@ -1,5 +1,6 @@
 """Text, line, tag and catalog functions on small literals."""
 
+import re
 from pathlib import Path
 
 import pytest
@@ -170,6 +171,17 @@ def test_tag_index_round_trip(spark):
     assert len(want) == 17
 
 
+def test_declarations_are_sorted_in_shares(spark, monkeypatch):
+    """Tasks follow the size of the texts, and are not merged by their bytes."""
+    df = spark.createDataFrame([(f"f{k}", "<?php\nclass A {\n function f() {}\n}\n" * 20) for k in range(60)], "path string, text string")
+    plain = sorted(map(tuple, tags.extract_declarations(df, "path", "text", tags.PHP, ("{", "}")).collect()))
+    monkeypatch.setattr(tags, "CHARS_PER_TASK", 1000)
+    found = tags.extract_declarations(df, "path", "text", tags.PHP, ("{", "}"))
+    shuffles = re.findall(r"hashpartitioning\(path#\d+, (\d+)\), (\w+)", found._jdf.queryExecution().executedPlan().toString())
+    assert set(shuffles) == {("42", "REPARTITION_BY_NUM")}  # 42,000 characters
+    assert sorted(map(tuple, found.collect())) == plain and len(plain) == 60 * 40
+
+
 def test_comments_and_quotes(spark):
     df = texts(spark, "SELECT 'a--b  c' , x -- y", 'a  "b  --c"\n\t--d\n e', "it's  --x", "  a   b ")
     assert one(df.select("id", X.strip_comments(F.col("text")))) == ["SELECT 'a--b  c' , x", 'a "b  --c" e', "it's", "a b"]
