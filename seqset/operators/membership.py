@@ -12,6 +12,9 @@ from seqset.operators.running import Running, ordered, running
 from seqset.operators.skew import ROWS_PER_TASK, apart, hot_keys, names, skew_join
 from seqset.session import saved
 
+# holders of an item that are held as one list, and items of a request whose lists meet in one row
+LIST_HOLDERS, LIST_ITEMS = 200, 1_000
+
 
 def prefix_filter(df: DataFrame, column: str, prefix: str) -> DataFrame:
     """Rows whose column begins with the prefix, letter case respected."""
@@ -167,16 +170,78 @@ def contains_all(
 ) -> DataFrame:
     """Containers that hold every item a request requires (relational division).
 
-    The holders of the request's rarest item are the candidates. They are looked up
-    with its second rarest item, and the few that are left with all the others, so
-    frequent items are never expanded.
+    The holders of an item that has at most `LIST_HOLDERS` are one sorted-out list, made once for each item; the lists
+    of a request meet in its own row. What is left there is looked up, as rows, with the request's more frequent items,
+    so these are never expanded. Requests of frequent items only, or of more than `LIST_ITEMS` items, start from the
+    holders of their rarest item.
     """
     request = names(request)
-    held = membership.select(container, item).distinct()
-    wanted = required.select(*request, item).distinct()
-    # counted before repeats are removed, which is cheaper and never too low
-    hot_held, hot_wanted = hot_keys(membership, [item], rows), hot_keys(required, [item], rows)
-    hot_requests = hot_keys(required, request, rows)
+    held = saved(membership.select(container, item).distinct())
+    # a join by request would lose null requests
+    wanted = saved(required.select(*request, item).distinct().dropna(subset=request))
+    most, many = min(LIST_HOLDERS, rows), min(LIST_ITEMS, rows)
+    hot_wanted = hot_keys(wanted, [item], rows)
+    frequent = held.groupBy(item).agg(F.count(F.lit(1)).alias("_holders")).filter(F.col("_holders") > most)
+    some_frequent = bool(frequent.take(1))
+    needs = wanted.groupBy(*request).agg(F.count(F.lit(1)).alias("_needed"))
+    long = needs.filter(F.col("_needed") > many).select(*request)
+    some_long = bool(long.take(1))
+
+    listed, asked = held, wanted
+    if some_frequent:
+        frequent = saved(frequent)
+        listed = apart(held).join(frequent, item, "left_anti")
+    if some_long:
+        long = saved(long)
+        asked = apart(wanted).join(long, request, "left_anti")
+    lists = listed.groupBy(item).agg(
+        F.collect_list(container).alias("_list"), F.bool_or(F.col(container).isNull()).alias("_unnamed")
+    )
+    # an item without a list has a row too, and counts as needed
+    of_items = skew_join(asked, lists, item, hot_wanted, large=True, how="left")
+    met = of_items.groupBy(*request).agg(
+        F.count(F.lit(1)).alias("_needed"), F.collect_list("_list").alias("_lists"), F.bool_or("_unnamed").alias("_unnamed")
+    )
+    if some_frequent:
+        met = saved(met)
+    n = F.size("_lists")
+    common = F.aggregate(
+        F.slice("_lists", 2, n), F.get("_lists", F.lit(0)),
+        lambda left, other: F.when(F.size(left) == 0, left).otherwise(F.array_intersect(left, other)),
+    )
+    # a container without a name holds single items, but is not the same for two
+    unnamed = F.array(F.lit(None).cast(held.schema[container].dataType))
+    of_all = F.when(n > 1, common).when(F.col("_unnamed"), F.concat(F.get("_lists", F.lit(0)), unnamed)).otherwise(F.get("_lists", F.lit(0)))
+    out = met.filter(n == F.col("_needed")).select(*request, F.explode(of_all).alias(container))
+    if not (some_frequent or some_long):
+        return out
+
+    hard = long if some_long else None
+    if some_frequent:
+        to_check = skew_join(wanted, frequent, item, hot_wanted, large=True)
+        left = met.filter((n > 0) & (n < F.col("_needed"))).select(
+            *request, (F.col("_needed") - n).alias("_left"), F.explode(common).alias(container)
+        )
+        checked = (
+            apart(apart(left).join(to_check.select(*request, item), request))
+            .join(held, [item, container], "left_semi")
+            .groupBy(*request, container, "_left")
+            .agg(F.count(F.lit(1)).alias("_held"))
+        )
+        out = out.unionByName(checked.filter(F.col("_held") == F.col("_left")).select(*request, container))
+        unlisted = met.filter(n == 0).select(*request)
+        hard = unlisted if hard is None else hard.unionByName(unlisted)
+    return out.unionByName(_divided(held, saved(apart(wanted).join(hard, request, "left_semi")), request, container, item, rows))
+
+
+def _divided(held: DataFrame, wanted: DataFrame, request: list[str], container: str, item: str, rows: int) -> DataFrame:
+    """`contains_all` by rows alone, from memberships and wanted items without repeats.
+
+    The holders of the request's rarest item are the candidates. They are looked up
+    with its second rarest item, and the few that are left with all the others.
+    """
+    hot_held, hot_wanted = hot_keys(held, [item], rows), hot_keys(wanted, [item], rows)
+    hot_requests = hot_keys(wanted, request, rows)
 
     holders = held.groupBy(item).agg(F.count(F.lit(1)).alias("_holders"))
     needs = wanted.groupBy(*request).agg(F.count(F.lit(1)).alias("_needed"))
