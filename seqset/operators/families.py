@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqset.operators.covers import ROW_OPTIONS, _grow, grouped_lists, option_lists, rank_by_size
@@ -142,21 +143,55 @@ def family_of(lists: Sequence[tuple[tuple[int, ...], int]], pins: Sequence[tuple
     return families, found
 
 
+def _shaped(each: DataFrame) -> DataFrame:
+    """With `_shape`, the lists and pins of a row as places in `_names` (sorted): equal numbers, equal families.
+
+    For each list its copies, its length and its places; then -1; then for each pin its length and its places.
+    """
+    def places(options: Column) -> Column:
+        return F.transform(F.array_sort(options), lambda o: F.array_position("_names", o).cast("int") - 1)
+
+    def counted(options: Column) -> Column:
+        return F.concat(F.array(F.size(options)), options)
+
+    # a pin that no list has adds nothing
+    met = F.transform("_pins", lambda pin: counted(places(F.array_intersect(pin, F.col("_names")))))
+    lists = F.transform(F.arrays_zip("_lists", "_copies"), lambda x: F.concat(F.array(x["_copies"]), counted(places(x["_lists"]))))
+    pins = F.coalesce(F.flatten(F.array_sort(met)), F.array().cast("array<int>"))
+    return each.withColumn("_shape", F.concat(F.flatten(F.array_sort(lists)), F.array(F.lit(-1)), pins))
+
+
+def _lists_and_pins(shape: Sequence[int]) -> tuple[list, list]:
+    lists, pins, at = [], [], 0
+    while shape[at] >= 0:
+        copies, n = shape[at : at + 2]
+        lists.append((tuple(shape[at + 2 : at + 2 + n]), copies))
+        at += 2 + n
+    at += 1
+    while at < len(shape):
+        pins.append(tuple(shape[at + 1 : at + 1 + shape[at]]))
+        at += 1 + shape[at]
+    return lists, pins
+
+
 def _listed(each: DataFrame, request: str, container_type: str, max_covers: int | None, top: int | None, nodes: int) -> DataFrame:
     """(request, cover, size, rank, n_covers, state) from rows (request, _names, _lists, _copies, _pins): `listed`, `overflow` or `grown`."""
+    each = _shaped(each).select(request, "_names", "_shape")
     kind = each.schema[request].dataType.simpleString()
     schema = f"{request} {kind}, cover array<{container_type}>, size int, rank bigint, n_covers string, state string"
 
     def answer(lists, pins):
+        """State, number, and the sets: their sizes and, one after the other, their places; without sets no sizes but one empty row."""
         try:
             families, found = family_of(lists, pins, nodes)
         except TooLarge:
-            return "grown", None, None
+            return "grown", None, None, None
         number = families.count(found)
         if max_covers is not None and number > max_covers:
-            return "overflow", str(number), None
-        sets = families.best_first(found)
-        return "listed", str(number), [s for _, s in zip(range(number if top is None else top), sets)]
+            return "overflow", str(number), None, None
+        sets = [s for _, s in zip(range(number if top is None else top), families.best_first(found))]
+        flat = np.fromiter((k for s in sets for k in s), np.int64)
+        return "listed", str(number), np.fromiter(map(len, sets), np.int64, len(sets)), flat
 
     def of(batches):
         import sys
@@ -164,37 +199,45 @@ def _listed(each: DataFrame, request: str, container_type: str, max_covers: int
         sys.setrecursionlimit(1_000_000)  # a diagram is as deep as a request has containers
         remembered = {}
         for batch in batches:
-            done, held = [], 0
-            keys = batch[request]
-            for row, (names, lists, copies, pins) in enumerate(zip(*(batch[c].to_pylist() for c in ("_names", "_lists", "_copies", "_pins")))):
-                number = {name: k for k, name in enumerate(names)}
-                shape = tuple(sorted((tuple(sorted(number[o] for o in x)), n) for x, n in zip(lists, copies)))
-                met = tuple(sorted(tuple(sorted(number[o] for o in p if o in number)) for p in pins or ()))
-                if (shape, met) not in remembered:
+            shapes, names = batch["_shape"], batch["_names"]
+            ends, numbers = shapes.offsets.to_numpy(), np.ascontiguousarray(shapes.values.to_numpy(), np.int32)
+            written_out, width = numbers.tobytes(), numbers.itemsize
+            rows, answers, held = [], [], 0
+            for row in range(batch.num_rows):
+                shape = written_out[ends[row] * width : ends[row + 1] * width]
+                found = remembered.get(shape)
+                if found is None:
                     if len(remembered) >= REMEMBERED:
                         remembered.clear()
-                    remembered[shape, met] = answer(shape, met)
-                state, count, sets = remembered[shape, met]
-                if sets is None:
-                    done.append((row, None, None, None, count, state))
-                for place, chosen in enumerate(sets or ()):
-                    done.append((row, [names[k] for k in chosen], len(chosen), place + 1, count, state))
-                    held += len(chosen) + 4
-                    if held > 1 << 20:
-                        yield written(keys, done)
-                        done, held = [], 0
-            yield written(keys, done)
-
-    item = each.schema["_names"].dataType.elementType
-
-    def written(keys, done):
-        from pyspark.sql.pandas.types import to_arrow_type
-
-        columns = list(zip(*done)) or [()] * 6
-        kinds = [pa.list_(to_arrow_type(item)), pa.int32(), pa.int64(), pa.string(), pa.string()]
+                    found = remembered[shape] = answer(*_lists_and_pins(np.frombuffer(shape, np.int32).tolist()))
+                rows.append(row)
+                answers.append(found)
+                held += 4 if found[2] is None else len(found[3]) + 4 * len(found[2])
+                if held > 1 << 20:
+                    yield written(batch[request], names, rows, answers)
+                    rows, answers, held = [], [], 0
+            yield written(batch[request], names, rows, answers)
+
+    def written(keys, names, rows, answers):
+        one, none = np.zeros(1, np.int64), np.zeros(0, np.int64)
+        given = [(one, none) if a[2] is None else a[2:] for a in answers]
+        sizes = np.concatenate([none, *[s for s, _ in given]])
+        n_sets = np.array([len(s) for s, _ in given], np.int64)
+        of_answer = np.repeat(np.arange(len(rows)), n_sets)
+        rank = np.arange(len(sizes)) - np.repeat(np.cumsum(n_sets) - n_sets, n_sets) + 1
+        row = np.array(rows, np.int64)[of_answer]
+        missing = np.array([a[2] is None for a in answers], bool)[of_answer]
+        first = names.offsets.to_numpy().astype(np.int64)[row]
+        places = np.concatenate([none, *[f for _, f in given]]) + np.repeat(first, sizes)
+        ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+        cover = pa.ListArray.from_arrays(pa.array(ends, mask=np.append(missing, False)), names.values.take(pa.array(places)))
+
+        def told(k):
+            return pa.array([a[k] for a in answers], pa.string()).take(pa.array(of_answer))
+
+        columns = [pa.array(sizes.astype(np.int32), mask=missing), pa.array(rank, mask=missing), told(1), told(0)]
         return pa.RecordBatch.from_arrays(
-            [keys.take(pa.array(columns[0], pa.int64())), *[pa.array(c, t) for c, t in zip(columns[1:], kinds)]],
-            [request, "cover", "size", "rank", "n_covers", "state"],
+            [keys.take(pa.array(row)), cover, *columns], [request, "cover", "size", "rank", "n_covers", "state"]
         )
 
     return each.mapInArrow(of, schema)
@@ -219,7 +262,8 @@ def counted_covers(
     items = requests.filter(F.col(item).isNotNull())
     free, pins = items, None
     if qualifier is not None:
-        groups = items.select(request, qualifier, item).distinct()
+        membership = saved(membership.select(container, item).distinct())
+        groups = saved(items.select(request, qualifier, item).distinct())
         free, pinned = groups.filter(F.col(qualifier).isNull()), groups.filter(F.col(qualifier).isNotNull())
         pins = saved(contains_all(membership, pinned, [request, qualifier], container, item, rows))
     lists, long_rows = option_lists(free.select(request, item), membership, request, item, container, local_limit, rows)

@@ -96,3 +96,14 @@ def test_very_many_covers_are_counted_only(spark):
     assert len(best) == 6 and sorted(best[0]["cover"])[:29] == list(range(29))
 
 
+def test_rows_of_one_shape_are_one_diagram(spark):
+    rows_ = [
+        (1, ["a", "b", "c"], [["a", "b"], ["c"]], [2, 1], [["b", "q"], ["a"]]),
+        (2, ["d", "m", "x"], [["x"], ["m", "d"]], [1, 2], [["d"], ["m"]]),
+        (3, ["d", "m", "x"], [["x"], ["m", "d"]], [1, 1], None),
+    ]
+    df = spark.createDataFrame(rows_, "r int, _names array<string>, _lists array<array<string>>, _copies array<int>, _pins array<array<string>>")
+    one, two, three = (r["_shape"] for r in Z._shaped(df).orderBy("r").collect())
+    assert one == two != three
+    assert Z._lists_and_pins(one) == ([((2,), 1), ((0, 1), 2)], [(0,), (1,)])
+    assert Z._lists_and_pins(three) == ([((2,), 1), ((0, 1), 1)], [])
