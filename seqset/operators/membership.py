@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from seqset.operators.lists import PART_SIZE, collect_parts
 from seqset.operators.running import Running, ordered, running
 from seqset.operators.skew import ROWS_PER_TASK, apart, hot_keys, names, skew_join
-from seqset.session import saved
+from seqset.session import passing, saved
 
 # holders of an item that are held as one list, and items of a request whose lists meet in one row
 LIST_HOLDERS, LIST_ITEMS = 200, 1_000
@@ -175,17 +175,26 @@ def contains_all(
     so these are never expanded. Requests of frequent items only, or of more than `LIST_ITEMS` items, start from the
     holders of their rarest item.
     """
-    request = names(request)
     held = saved(membership.select(container, item).distinct())
+    return holders_of_all(held, required, request, container, item, rows)
+
+
+def holders_of_all(
+    held: DataFrame, required: DataFrame, request: str | Sequence[str], container: str, item: str, rows: int = ROWS_PER_TASK
+) -> DataFrame:
+    """`contains_all` from memberships (container, item) that are written and have no repeats."""
+    request = names(request)
     # a join by request would lose null requests
     wanted = saved(required.select(*request, item).distinct().dropna(subset=request))
     most, many = min(LIST_HOLDERS, rows), min(LIST_ITEMS, rows)
     hot_wanted = hot_keys(wanted, [item], rows)
     frequent = held.groupBy(item).agg(F.count(F.lit(1)).alias("_holders")).filter(F.col("_holders") > most)
-    some_frequent = bool(frequent.take(1))
+    with passing(held.sparkSession):
+        some_frequent = bool(frequent.take(1))
     needs = wanted.groupBy(*request).agg(F.count(F.lit(1)).alias("_needed"))
     long = needs.filter(F.col("_needed") > many).select(*request)
-    some_long = bool(long.take(1))
+    with passing(held.sparkSession):
+        some_long = bool(long.take(1))
 
     listed, asked = held, wanted
     if some_frequent:
