@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqset.functions.render import SECTIONS, render_from, render_request
-from seqset.operators.covers import pinned_covers
+from seqset.operators.covers import _listed, pinned_rows, rank_by_size
 from seqset.operators.running import Running, following, latest, ordered, running
 from seqset.operators.sequences import split_by_markers
 from seqset.operators.skew import ROWS_PER_TASK, apart
@@ -31,13 +31,27 @@ def terminate_requests(
     section are completed; the items they name are rows (request, qualifier, item).
     Result (request, rank, size, text).
     """
-    open_ones = sections.filter(
-        F.col("from").isNull() & F.col("group_by").isNull() & F.col("having").isNull()
-    )
-    named = apart(items).join(open_ones.select(request), request, "left_semi")
-    found = pinned_covers(named, membership, request, qualifier, item, container, local_limit, rows)
+    open_ones = _open_ones(sections)
+    named = saved(apart(items.select(request, qualifier, item)).join(open_ones.select(request), request, "left_semi"))
+    return _completed(open_ones, named, membership, request, qualifier, item, container, local_limit, rows)
+
+
+def _open_ones(sections: DataFrame) -> DataFrame:
+    return sections.filter(F.col("from").isNull() & F.col("group_by").isNull() & F.col("having").isNull())
+
+
+def _completed(
+    open_ones: DataFrame, named: DataFrame, membership: DataFrame, request: str, qualifier: str, item: str, container: str,
+    local_limit: int, rows: int,
+) -> DataFrame:
+    """`terminate_requests` of open requests only and what they name; their texts meet the requests' rows, not each cover."""
+    in_rows, others = pinned_rows(named, membership, request, qualifier, item, container, local_limit, rows)
+    found = _listed(apart(in_rows).join(open_ones, request), in_rows, request, SECTIONS)
+    if others is not None:
+        ranked = rank_by_size(others, request, "cover", rows=rows)
+        found = found.unionByName(apart(ranked).join(open_ones, request))
     text = render_request({s: render_from(F.col("cover")) if s == "from" else F.col(s) for s in SECTIONS})
-    return apart(found).join(open_ones, request).select(request, "rank", "size", text.alias("text"))
+    return found.select(request, "rank", "size", text.alias("text"))
 
 
 def request_parts(tokens: DataFrame, request: str) -> tuple[DataFrame, DataFrame]:
