@@ -63,6 +63,16 @@ def request_parts(tokens: DataFrame, request: str) -> tuple[DataFrame, DataFrame
     (request, qualifier, item): `a` and `q.a` at the head of an entry of the select list, with an alias or without.
     Calls and what stands in brackets name no items. A request that asks for `*` or `q.*` has no parts at all.
     """
+    whole = saved(_request_rows(tokens, request))
+    return whole.select(request, *SECTIONS), _named_items(whole, request)
+
+
+def _named_items(whole: DataFrame, request: str) -> DataFrame:
+    return whole.filter(F.col(request).isNotNull()).select(request, F.explode("_items").alias("_i")).select(request, "_i.*")
+
+
+def _request_rows(tokens: DataFrame, request: str) -> DataFrame:
+    """A row for each request that has parts: its sections, and `_items` with what it names. Words are shuffled once and not written."""
     kind = F.col("kind")
     in_list = F.col("section").eqNullSafe(F.lit("select"))
     o = ordered(split_by_markers(tokens, request, "pos", "kind", MARKERS, rows=None), request, "pos", rows=None)
@@ -75,27 +85,24 @@ def request_parts(tokens: DataFrame, request: str) -> tuple[DataFrame, DataFrame
     begins = in_list & (F.col("_depth") == 0) & before.isin("SELECT", "COMMA", "DISTINCT")
     named = begins & (kind == "IDENTIFIER")
     second = F.col("_next2.kind")
-    words = saved(
-        o.done().select(
-            request, "pos", "section",
-            F.when((kind == "DOT") | before.eqNullSafe(F.lit("DOT")), "").otherwise(" ").alias("_gap"),
-            F.coalesce("value", *[F.when(kind == k, sign) for k, sign in SIGNS.items()], kind).alias("_written"),
-            (kind != "SEMICOLON").alias("_shown"),
-            F.coalesce(begins & ((kind == "ASTERISK") | (named & (after == "DOT") & (second == "ASTERISK"))), F.lit(False)).alias("_all"),
-            F.when(named & (after == "DOT"), F.col("value")).alias("qualifier"),
-            F.when(named & (after == "DOT") & (second == "IDENTIFIER"), F.col("_next2.value"))
-            .when(named & ~after.isin("DOT", "OPAREN"), F.col("value")).alias("item"),
-        )
+    words = o.done().select(
+        request, "pos", "section",
+        F.when((kind == "DOT") | before.eqNullSafe(F.lit("DOT")), "").otherwise(" ").alias("_gap"),
+        F.coalesce("value", *[F.when(kind == k, sign) for k, sign in SIGNS.items()], kind).alias("_written"),
+        (kind != "SEMICOLON").alias("_shown"),
+        F.coalesce(begins & ((kind == "ASTERISK") | (named & (after == "DOT") & (second == "ASTERISK"))), F.lit(False)).alias("_all"),
+        F.when(named & (after == "DOT"), F.col("value")).alias("qualifier"),
+        F.when(named & (after == "DOT") & (second == "IDENTIFIER"), F.col("_next2.value"))
+        .when(named & ~after.isin("DOT", "OPAREN"), F.col("value")).alias("item"),
     )
     piece = F.struct("pos", F.concat("_gap", "_written").alias("text"))
     texts = {
         s: F.array_sort(F.collect_list(F.when((F.col("section") == s) & F.col("_shown"), piece))) for s in SECTIONS
     }
-    lists = words.groupBy(request).agg(F.bool_or("_all").alias("_all"), *[v.alias(s) for s, v in texts.items()])
+    items = F.collect_list(F.when(F.col("item").isNotNull(), F.struct("qualifier", "item")))
+    lists = words.groupBy(request).agg(F.bool_or("_all").alias("_all"), items.alias("_items"), *[v.alias(s) for s, v in texts.items()])
     whole = {s: F.ltrim(F.array_join(F.transform(s, lambda w: w["text"]), "")) for s in SECTIONS}
-    sections = lists.filter(~F.col("_all")).select(request, *[F.when(F.size(s) > 0, v).alias(s) for s, v in whole.items()])
-    items = words.filter(F.col("item").isNotNull()).select(request, "qualifier", "item")
-    return sections, apart(items).join(sections.select(request), request, "left_semi")
+    return lists.filter(~F.col("_all")).select(request, *[F.when(F.size(s) > 0, v).alias(s) for s, v in whole.items()], "_items")
 
 
 def terminate_words(
@@ -106,6 +113,6 @@ def terminate_words(
 
     Section texts are written anew from the words, single blanks between them and none around a dot.
     """
-    sections, items = request_parts(tokens, request)
-    named = items.withColumnRenamed("item", item)
-    return terminate_requests(saved(sections), named, membership, request, "qualifier", item, container, local_limit, rows)
+    whole = saved(_open_ones(_request_rows(tokens, request)))
+    named = _named_items(whole, request).withColumnRenamed("item", item)
+    return _completed(whole.drop("_items"), named, membership, request, "qualifier", item, container, local_limit, rows)

@@ -131,3 +131,18 @@ def test_a_scope_is_read_in_one_sort(spark):
     tokens = spark.createDataFrame([(1, *w) for w in words("SELECT a FROM x, y")], "s long, pos long, kind string, value string, end_off long")
     plan = C.scope_entries(tokens, "s")._jdf.queryExecution().executedPlan().toString()
     assert len(re.findall(r"Sort \[.*pos", plan)) == 1
+
+
+def test_words_are_shuffled_once_and_not_written(spark, monkeypatch):
+    written = []
+    keep = T.saved
+    monkeypatch.setattr(T, "saved", lambda df: written.append(df) or keep(df))
+    asked = ["SELECT tilt , o.body", "SELECT tail FROM comet", "SELECT mass", "SELECT * , mass"]
+    tokens = spark.createDataFrame([(i, *w) for i, text in enumerate(asked) for w in request_words(text)], "r long, pos long, kind string, value string")
+    membership = spark.createDataFrame([(c, i) for c, items in SCHEMA.items() for i in items], "container string, item string")
+    found = T.terminate_words(tokens, membership, "r", "item", "container")
+    # a row for each request that is completed
+    assert [df.count() for df in written] == [2] and "_items" in written[0].columns
+    plan = written[0]._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"Exchange hash", plan.split("== Initial Plan ==")[0])) == 1
+    assert sorted((r["r"], r["text"]) for r in found.collect() if r["rank"] == 1) == [(0, "SELECT tilt , o.body FROM orbit ;"), (2, "SELECT mass FROM moon ;")]
